@@ -82,7 +82,7 @@ def cart_state(events: DataFrame, products: DataFrame, rows_per_split: int = ROW
         .groupBy(*keys)
         .agg(
             F.coalesce(late_adds, F.lit(0)).alias("_added"),
-            F.max(F.least("_set.quantity", "stock")).alias("_base"),
+            F.max(F.when(F.col("_set").isNotNull(), F.least("_set.quantity", "stock"))).alias("_base"),
             F.max("stock").alias("stock"),
         )
         .select(

@@ -80,5 +80,6 @@ TESTDATA = {
         "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
     ),
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
 }

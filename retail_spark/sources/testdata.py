@@ -341,3 +341,124 @@ class Store:
         return self.raw("events").groupBy(F.expr("cast(ts as date)").alias("as_of")).agg(
             F.expr("cast(cast(avg(cast(value as decimal(18,2))) as decimal(18,2)) * 100 as decimal(18,6))").alias("rate")
         ).select(F.lit("USD").alias("currency"), "rate", "as_of")
+
+    def product_requests(self) -> DataFrame:
+        """Every part as a product to add; some rows bad, some barcodes taken."""
+        return self.raw("part").selectExpr(
+            "p_partkey as position",
+            "case when p_partkey % 19 = 0 then '' else concat('Nuevo ', p_name) end as name",
+            "'' as description",
+            "case when p_partkey % 7 = 0 then 'abc' when p_partkey % 11 = 0 then '-5' "
+            "else cast(cast(p_retailprice as decimal(18,2)) as string) end as unit_price",
+            "p_brand as brand",
+            "case cast(p_partkey % 3 as int) when 0 then lpad(cast(p_partkey as string), 13, '0') "
+            "when 1 then concat('N', p_partkey div 6) else '' end as barcode",
+            "case cast(p_partkey % 5 as int) when 0 then 'x' when 1 then null else '3' end as category_id",
+            "concat(p_size, ' und') as stock",
+            "'' as image_url",
+            *[f"cast(null as string) as image_url_{n}" for n in (2, 3, 4, 5)],
+        )
+
+    def product_edits(self) -> DataFrame:
+        """Every order as an edit of some product."""
+        return self.raw("orders").withColumn("pid", F.expr("(o_orderkey * 7) % 3001")).selectExpr(
+            "o_orderkey as position",
+            "pid as product_id",
+            "case when o_orderkey % 23 = 0 then '' else concat('Edit ', o_orderkey) end as name",
+            "'' as description",
+            "cast(cast(o_totalprice as decimal(18,2)) as string) as unit_price",
+            "cast(o_orderkey % 50 as string) as stock",
+            "'B' as brand",
+            "case cast(o_orderkey % 5 as int) when 0 then lpad(cast(pid as string), 13, '0') "
+            "when 1 then lpad(cast(pid + 1 as string), 13, '0') else concat('E', o_orderkey) end as barcode",
+            "cast(null as string) as category_id",
+            "'' as image_url",
+            *[f"cast(null as string) as image_url_{n}" for n in (2, 3, 4, 5)],
+        )
+
+    def registrations(self) -> DataFrame:
+        return self.raw("events").selectExpr(
+            "event_id as position",
+            "case when event_id % 9 = 0 then '' else concat('n', user_id) end as username",
+            "case when event_id % 4 = 0 then concat('user', user_id, '@example.com') "
+            "else concat('new', event_id % 3000, '@example.com') end as email",
+            "cast(event_id % 12 as int) as password_length",
+            "sha2(cast(event_id as string), 256) as password_hash",
+        )
+
+    def role_changes(self) -> DataFrame:
+        return self.raw("events").select(
+            F.col("event_id").alias("position"),
+            F.expr("case when event_id % 17 = 0 then user_id + 1000000 else user_id end").alias("user_id"),
+            pick(["admin", "cliente", "root"], "event_id % 3").alias("role"),
+        )
+
+    def status_changes(self) -> DataFrame:
+        return self.raw("orders").select(
+            F.col("o_orderkey").alias("position"),
+            F.expr("case when o_orderkey % 13 = 0 then o_orderkey + 1000000000 else o_orderkey end").alias("order_id"),
+            pick([*constants.ORDER_STATUSES, "Perdido"], "(o_orderkey * 5) % 8").alias("status"),
+        )
+
+    def message_changes(self) -> DataFrame:
+        return self.raw("conversations").select(
+            F.col("turn").alias("position"),
+            F.expr("conv_id * 1000 + turn").alias("message_id"),
+            pick(["read", "unread", "archived", "spam"], "(conv_id + turn) % 4").alias("status"),
+            F.expr("turn % 4 = 0").alias("is_starred"),
+        )
+
+    def policy_edit_lists(self) -> DataFrame:
+        """Every page as a request with two edits of one policy."""
+        schema = "struct<policy_id: bigint, title: string, body: string>"
+        return self.raw("pages").selectExpr(
+            "page_id as request_id",
+            "array("
+            f"cast(struct(page_id * 3 as policy_id, 'Borrador' as title, url as body) as {schema}), "
+            f"cast(struct(page_id * 3 as policy_id, url as title, html as body) as {schema})) as policies",
+        )
+
+    def faq_edits(self) -> DataFrame:
+        return self.raw("conversations").selectExpr(
+            "conv_id * 1000 + turn as faq_id", "turn as position", "concat('Edit ', conv_id) as question", "text as answer"
+        )
+
+    def replies(self) -> DataFrame:
+        return self.raw("conversations").filter("role = 'assistant'").selectExpr(
+            "conv_id * 1000 + turn as reply_id",
+            "case when conv_id % 7 = 0 then '' else concat('person', conv_id, '@example.com') end as recipient",
+            "case when conv_id % 3 = 0 then null else concat('Subject ', conv_id) end as subject",
+            "text as body",
+        )
+
+    def pending_changes(self) -> DataFrame:
+        """Every order becomes pending when placed and is settled some days later."""
+        orders = self.orders()
+        opened = orders.selectExpr("created_at as at", "cast(1 as bigint) as delta")
+        settled = orders.selectExpr(
+            "created_at + make_dt_interval(cast(order_id % 5 + 1 as int)) as at", "cast(-1 as bigint) as delta"
+        )
+        return opened.unionByName(settled)
+
+    def raw_attempts(self) -> DataFrame:
+        """Every order as a payment attempt; some without total, items, product or quantity."""
+        item = "struct<product_id: bigint, quantity: int, price: decimal(18,2)>"
+        return self.raw("orders").selectExpr(
+            "concat('ref_', o_orderkey) as reference",
+            "case when o_orderkey % 14 = 0 then null else cast(o_totalprice as decimal(18,2)) end as total",
+            f"case when o_orderkey % 9 = 0 then cast(array() as array<{item}>) else array("
+            f"cast(struct(nullif(o_custkey, 0), cast(o_orderkey % 5 as int), 1.00) as {item}), "
+            f"cast(struct(o_orderkey + 1, 1, 2.00) as {item})) end as items",
+        )
+
+    def webhook_messages(self) -> DataFrame:
+        """Payment events as the JSON texts the provider sends."""
+        transaction = F.struct(
+            "reference", "status", "amount_in_cents", "currency",
+            F.concat(F.col("reference"), F.lit("@example.com")).alias("customer_email"),
+        )
+        message = F.struct(
+            F.struct("checksum").alias("signature"), F.col("sent_at").alias("timestamp"),
+            F.struct(transaction.alias("transaction")).alias("data"),
+        )
+        return self.payment_events().select(F.to_json(message).alias("message"))
