@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def pending_monitor(changes: DataFrame, every_seconds: int = 30) -> DataFrame:
     """Pending orders at each look that sees a change, and whether to alert.
 
-    ``changes`` has (at, delta): 1 when an order becomes pending, -1 when it no longer is.
+    ``changes`` has (changed_at, delta): 1 when an order becomes pending, -1 when it no longer is.
     The alert rings when some are pending and more than at the last look. Counts run over time, so
     they are summed per look, then within each day, and carried from day to day: the
     window over days has one row per calendar day, the one within a day at most a look's worth
     per interval.
     """
-    seconds = F.unix_timestamp(F.col("at").cast("timestamp"))
+    seconds = F.unix_timestamp(F.col("changed_at").cast("timestamp"))
     look = (F.floor(seconds / every_seconds) + 1) * every_seconds
     looks = (
         changes.groupBy(look.alias("poll_second"))

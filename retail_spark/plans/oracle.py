@@ -211,7 +211,7 @@ VIEWS = {
     "reply": "select conv_id * 1000 + turn as reply_id, case when conv_id % 7 = 0 then '' else "
     "'person' || conv_id || '@example.com' end as recipient, case when conv_id % 3 = 0 then null else "
     "'Subject ' || conv_id end as subject, text as body from conversations where role = 'assistant'",
-    "pending_change": "select created_at as at, cast(1 as bigint) as delta from orders_v union all "
+    "pending_change": "select created_at as changed_at, cast(1 as bigint) as delta from orders_v union all "
     "select created_at + (order_id % 5 + 1) * interval '1' day, cast(-1 as bigint) from orders_v",
     "raw_attempt": "select 'ref_' || o_orderkey as reference, case when o_orderkey % 14 = 0 then null else "
     "cast(o_totalprice as decimal(18,2)) end as total, case when o_orderkey % 9 = 0 then [] else "

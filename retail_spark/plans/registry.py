@@ -27,6 +27,7 @@ from retail_spark.operators import (
 from retail_spark.plans import oracle
 from retail_spark.sources import tables
 from retail_spark.sources.testdata import TEST_SECRET, Store
+from retail_spark.streaming import ingest
 
 AS_OF = date(2001, 8, 1)
 DAYS_START = "timestamp '2001-07-02 00:00:00'"
@@ -544,7 +545,42 @@ def admitted(s: Store) -> DataFrame:
     return admission.admit_orders(s.order_lines(), s.products().select("product_id", "stock"), seq="order_id")
 
 
-@query("admit_orders")
+def served_sql(need: str, result: str) -> str:
+    """Serve orders strictly one by one. ``need`` numbers them 1, 2, ... in column n.
+
+    The table under way is keyed: products hold what is left, -1 the last order served, and -2 - n
+    whether order n was accepted.
+    """
+    return (
+        f"with recursive need as materialized ({need}), served(k, v) using key (k) as (select product_id, "
+        "cast(stock as bigint) from product union all select -1, cast(0 as bigint) union select k, v from (with turn as (select "
+        "n, unnest(items, recursive := true) from need where n = (select v + 1 from recurring.served where k = -1)), now as "
+        "(select t.*, s.v as remaining from turn t join recurring.served s on s.k = t.product_id), verdict as (select bool_and(remaining >= need) as ok, min(n) as n from now "
+        "having count(*) > 0) select -1 as k, n as v from verdict union all select -2 - n, cast(ok as bigint) from verdict "
+        "union all select product_id, cast(greatest(0, remaining - take) as bigint) from now where (select ok from "
+        f"verdict))) {result}"
+    )
+
+
+def need_sql(lines: str, *order: str) -> str:
+    """Orders numbered by ``order``, the last column of which is the key, each with a list of what it needs."""
+    by, key = ", ".join(order), order[-1]
+    return (
+        f"select cast(row_number() over (order by {by}) as bigint) as n, {key}, items from (select {by}, "
+        f"list({{'product_id': product_id, 'need': need, 'take': take}}) as items from (select {by}, product_id, "
+        f"max(quantity) as need, sum(quantity) as take from {lines} group by all) group by all)"
+    )
+
+
+@query(
+    "admit_orders",
+    "select * from ("
+    + served_sql(
+        need_sql("order_line", "order_id"),
+        "select order_id, v = 1 as accepted from need join served on k = -2 - n",
+    )
+    + ")",
+)
 def _(s: Store):
     return admitted(s)
 
@@ -627,15 +663,42 @@ def _(s: Store):
     )
 
 
-@query("capture_paypal_batch")
+def placed_need_sql(which: str) -> str:
+    return need_sql(
+        "(select v.created_at, l.* from checkout_line l join checkout_verdict v using (request_id) join cart_total t "
+        f"using (request_id) where v.reason is null and t.known and {which})",
+        "created_at",
+        "request_id",
+    )
+
+
+@query(
+    "capture_paypal_batch",
+    "select a.request_id, cast(t.total as double) as total, 'PayPal' as payment_method, 'Pagado' as status, "
+    "c.provider_order_id as payment_ref from ("
+    + served_sql(
+        placed_need_sql("request_id in (select request_id from capture where status = 'COMPLETED')"),
+        "select request_id from need join served on k = -2 - n where v = 1",
+    )
+    + ") a join cart_total t using (request_id) join capture c using (request_id)",
+)
 def _(s: Store):
     placed = checkout.capture_paypal_batch(
         s.captures(), s.checkout_heads(), s.checkout_lines(), s.products(), s.customers(), s.orders()
     )
-    return placed.orders
+    return placed.orders.select("request_id", "total", "payment_method", "status", "payment_ref")
 
 
-@query("place_orders")
+@query(
+    "place_orders",
+    "select v.request_id, coalesce(v.reason, case when not t.known then 'unknown_product' when a.v = 1 then 'accepted' else "
+    "'out_of_stock' end) as outcome from checkout_verdict v left join cart_total t using (request_id) left join ("
+    + served_sql(
+        placed_need_sql("true"),
+        "select request_id, v from need join served on k = -2 - n",
+    )
+    + ") a using (request_id)",
+)
 def _(s: Store):
     placed = checkout.place_orders(
         s.checkout_heads(), s.checkout_lines(), s.products(), s.customers(), s.orders()
@@ -786,37 +849,35 @@ def _(s: Store):
     )
 
 
-@query(
-    "ingest_views",
+VIEWS_SQL = (
     "select view_id, cast(product_id as bigint) as product_id, viewed_at from view_request "
-    "where try_cast(product_id as bigint) in (select product_id from product)",
+    "where try_cast(product_id as bigint) in (select product_id from product)"
+)
+REVIEWS_SQL = "select * from review_request where name <> '' and comment <> '' and rating between 1 and 5"
+CONTACTS_SQL = (
+    "select request_id, name, email, nullif(subject, '') as subject, message, created_at from contact_request "
+    "where name <> '' and email <> '' and message <> ''"
 )
-def _(s: Store):
-    from retail_spark.streaming import ingest
 
+
+@query("ingest_views", VIEWS_SQL)
+def _(s: Store):
     return ingest.valid_views(s.view_requests(), s.products())
 
 
-@query(
-    "ingest_reviews",
-    "select * from review_request where name <> '' and comment <> '' and rating between 1 and 5",
-)
+@query("ingest_reviews", REVIEWS_SQL)
 def _(s: Store):
     return maintenance.valid_reviews(s.review_requests())[0]
 
 
-@query(
-    "ingest_contacts",
-    "select request_id, name, email, nullif(subject, '') as subject, message, created_at from contact_request "
-    "where name <> '' and email <> '' and message <> ''",
-)
+@query("ingest_contacts", CONTACTS_SQL)
 def _(s: Store):
     return maintenance.valid_contacts(s.contact_requests())[0]
 
 
 @query(
     "pending_monitor",
-    "select * from (with looks as (select cast(floor(epoch(at) / 30) + 1 as bigint) * 30 as sec, sum(delta) as d from "
+    "select * from (with looks as (select cast(floor(epoch(changed_at) / 30) + 1 as bigint) * 30 as sec, sum(delta) as d from "
     "pending_change group by 1), run as (select sec, d, sum(d) over (order by sec) as c from looks) select cast(to_timestamp(sec) at time zone "
     "'UTC' as timestamp) as poll_at, cast(c as bigint) as pending_count, cast(c - d as bigint) as previous_count, "
     "c > 0 and c > c - d as alert from run)",

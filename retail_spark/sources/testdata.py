@@ -434,9 +434,9 @@ class Store:
     def pending_changes(self) -> DataFrame:
         """Every order becomes pending when placed and is settled some days later."""
         orders = self.orders()
-        opened = orders.selectExpr("created_at as at", "cast(1 as bigint) as delta")
+        opened = orders.selectExpr("created_at as changed_at", "cast(1 as bigint) as delta")
         settled = orders.selectExpr(
-            "created_at + make_dt_interval(cast(order_id % 5 + 1 as int)) as at", "cast(-1 as bigint) as delta"
+            "created_at + make_dt_interval(cast(order_id % 5 + 1 as int)) as changed_at", "cast(-1 as bigint) as delta"
         )
         return opened.unionByName(settled)
 
@@ -462,3 +462,14 @@ class Store:
             F.struct(transaction.alias("transaction")).alias("data"),
         )
         return self.payment_events().select(F.to_json(message).alias("message"))
+
+
+class StreamStore(Store):
+    """The same views over the test data read as streams of files."""
+
+    def raw(self, table: str) -> DataFrame:
+        return (
+            self.spark.readStream.schema(schemas.TESTDATA[table])
+            .option("pathGlobFilter", f"{table}.parquet")
+            .parquet(self.folder)
+        )

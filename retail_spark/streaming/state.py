@@ -1,0 +1,31 @@
+"""What stateful streams share."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
+
+import retail_spark
+
+# Processors travel to the Python workers as code, so the workers need no copy of this package.
+cloudpickle.register_pickle_by_value(retail_spark)
+
+PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Keyed state with timers and maps needs this store; a query keeps the setting it was started under."""
+    before = spark.conf.get(PROVIDER_KEY, None)
+    spark.conf.set(PROVIDER_KEY, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER_KEY)
+        else:
+            spark.conf.set(PROVIDER_KEY, before)
