@@ -23,7 +23,7 @@ from retail_spark.functions.scale import ROWS_PER_SPLIT, hot_keys
 from retail_spark.session import new_path
 
 OPEN, ACCEPTED, REFUSED = "open", "accepted", "refused"
-SMALL_ROWS = 50_000  # open lines that go into one partition
+SMALL_ROWS = 200_000  # open lines that go into one partition
 ROUNDS_AT_ONCE = 4
 STATE_SCHEMA = "seq BIGINT, product_id BIGINT, need BIGINT, take BIGINT, remaining BIGINT, state STRING"
 

@@ -42,9 +42,10 @@ def cart_state(events: DataFrame, products: DataFrame, rows_per_split: int = ROW
     product or with an unusable quantity are passed over.
 
     Folding a user's events in order would need them all in one task. The result depends on
-    less: the last time the product left the cart, the first add after that, the last set
-    after that add, and the sum of the adds after that set. Each is a plain aggregate that is
-    reduced before the shuffle; the event log is joined to them with hot keys spread out.
+    less: the last time the product left the cart, the first add after that, the last set after
+    that add, and the sum of the adds after that set. A set before the first add changes nothing, so
+    the last set counts when it is later than the first add. All of these are plain
+    aggregates, reduced before the shuffle; the log is joined to them with hot keys spread out.
     """
     keys = ["user_id", "product_id"]
     at = F.struct("ts", "event_id").alias("at")
@@ -67,27 +68,28 @@ def cart_state(events: DataFrame, products: DataFrame, rows_per_split: int = ROW
         F.col("_reset").isNull() | (F.col("at") > F.col("_reset"))
     )
     is_add = F.col("kind") == "add"
-    entered = recent.groupBy(*keys).agg(F.min(F.when(is_add, F.col("at"))).alias("_entered")).filter(
-        F.col("_entered").isNotNull()
-    )
-    present = salted_join(recent, entered, keys, spread, hot=hot).filter(F.col("at") >= F.col("_entered"))
-    fixed = present.groupBy(*keys).agg(
-        F.max(F.when(~is_add, F.struct("at", "quantity"))).alias("_set"), F.first("stock").alias("stock")
-    )
-    late_adds = F.sum(
-        F.when(is_add & (F.col("_set").isNull() | (F.col("at") > F.col("_set.at"))), F.col("quantity").cast("bigint"))
-    )
-    return (
-        salted_join(present.drop("stock"), fixed, keys, spread, hot=hot)
-        .groupBy(*keys)
+    added = F.sum(F.when(is_add, F.col("quantity").cast("bigint")))
+    stays = (
+        recent.groupBy(*keys)
         .agg(
-            F.coalesce(late_adds, F.lit(0)).alias("_added"),
-            F.max(F.when(F.col("_set").isNotNull(), F.least("_set.quantity", "stock"))).alias("_base"),
+            F.min(F.when(is_add, F.col("at"))).alias("_entered"),
+            F.max(F.when(~is_add, F.struct("at", "quantity"))).alias("_set"),
+            added.alias("_added"),
             F.max("stock").alias("stock"),
         )
-        .select(
-            *keys,
-            F.least(F.coalesce("_base", F.lit(0)) + F.col("_added"), F.col("stock").cast("bigint")).cast("int")
-            .alias("quantity"),
-        )
+        .filter(F.col("_entered").isNotNull())
+        .withColumn("_set", F.when(F.col("_set.at") > F.col("_entered"), F.col("_set")))
+    )
+    sets = stays.filter(F.col("_set").isNotNull()).select(*keys, F.col("_set.at").alias("_set_at"))
+    after_set = (
+        salted_join(recent.filter(is_add).drop("stock", "_reset"), sets, keys, spread, hot=hot)
+        .filter(F.col("at") > F.col("_set_at"))
+        .groupBy(*keys)
+        .agg(F.sum(F.col("quantity").cast("bigint")).alias("_after"))
+    )
+    total = F.when(F.col("_set").isNull(), F.col("_added")).otherwise(
+        F.least("_set.quantity", "stock") + F.coalesce("_after", F.lit(0))
+    )
+    return stays.join(after_set, keys, "left").select(
+        *keys, F.least(total, F.col("stock").cast("bigint")).cast("int").alias("quantity")
     )

@@ -37,14 +37,20 @@ def user_order_history(
 
 
 def nest_items(
-    headers: DataFrame, items: DataFrame, key: str, columns: Sequence[str], items_per_row: int = ITEMS_PER_ROW
+    headers: DataFrame,
+    items: DataFrame,
+    key: str,
+    columns: Sequence[str],
+    items_per_row: int = ITEMS_PER_ROW,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Headers with their items as an array; an empty one when there are none.
 
     Only an order with very many items takes more than one row: its items are dealt
     out over pages so that no task ever holds them all. Column ``page`` is 0 for all others.
+    ``counted`` is a cheaper frame with the same keys to find such orders in.
     """
-    hot = hot_keys(items, [key], items_per_row)
+    hot = hot_keys(items if counted is None else counted, [key], items_per_row)
     paged = (
         with_split(items, [key], hot, spread=columns)
         .groupBy(key, F.col("_split").alias("page"))
@@ -67,6 +73,7 @@ def user_order_documents(
         items,
         "order_id",
         ["product_id", "product_name", "image_url", "quantity", "price_paid"],
+        counted=lines,
     ).orderBy(F.desc("created_at"), F.desc("order_id"), "page")
 
 
@@ -117,6 +124,7 @@ def admin_order_documents(
         order_items(lines, products),
         "order_id",
         ["product_id", "product_name", "image_url", "quantity", "unit_price"],
+        counted=lines,
     )
 
 

@@ -11,6 +11,7 @@ from retail_spark.functions.scale import ROWS_PER_SPLIT, hot_keys, salted_join
 from retail_spark.operators.maintenance import split_by_rules
 
 SIGNED_FIELDS = ["reference", "amount_in_cents", "currency", "status", "sent_at"]
+MICROS_PER_MINUTE = 60_000_000
 TERMINAL_STATUSES = [constants.APPROVED, *constants.CLOSING_STATUSES]
 
 
@@ -71,28 +72,34 @@ def match_payments(
     stored = attempts.groupBy("reference").agg(
         F.min_by(F.struct("order_id", "user_id", "total", "attempted_at"), "attempted_at").alias("_attempt")
     ).select("reference", "_attempt.*")
-    hot = hot_keys(checked, ["reference"], rows_per_split)
+    hot = hot_keys(events, ["reference"], rows_per_split)
     spread = ["sent_at", "event_ts"]
-    age = F.col("event_ts").cast("timestamp").cast("double") - F.col("attempted_at").cast("timestamp").cast("double")
-    alive = F.coalesce((F.col("verdict") == "ok") & (age >= 0) & (age < minutes * 60), F.lit(False))
-    placed = salted_join(checked, stored, ["reference"], spread, "left", hot).withColumn("_alive", alive)
-    # Reduced in every map task before it meets the other events of its reference.
+    age = F.unix_micros(F.col("event_ts").cast("timestamp")) - F.unix_micros(F.col("attempted_at").cast("timestamp"))
+    alive = F.coalesce(
+        (F.col("verdict") == "ok") & (age >= 0) & (age < minutes * MICROS_PER_MINUTE), F.lit(False)
+    )
+    now = F.struct("event_ts", "sent_at")
+    # When each attempt ended: only events that can end one are looked at, and they are
+    # reduced in every map task before they meet the others of their reference.
+    enders = checked.filter((F.col("verdict") == "ok") & F.col("status").isin(TERMINAL_STATUSES)).select(
+        "reference", *spread, "verdict"
+    )
     ended = (
-        placed.filter(F.col("_alive") & F.col("status").isin(TERMINAL_STATUSES))
+        salted_join(enders, stored.select("reference", "attempted_at"), ["reference"], spread, hot=hot)
+        .filter(alive)
         .groupBy("reference")
-        .agg(F.min(F.struct("event_ts", "sent_at")).alias("_end"))
+        .agg(F.min(now).alias("_end"))
     )
-    now = F.struct("event_ts", "sent_at")
     outcome = (
         F.when(F.col("verdict") != "ok", F.col("verdict"))
-        .when(~F.col("_alive") | (now > F.col("_end")), F.lit("not_found"))
+        .when(~alive | (now > F.col("_end")), F.lit("not_found"))
         .when(F.col("status") == constants.APPROVED, F.lit("approved"))
         .when(F.col("status").isin(constants.CLOSING_STATUSES), F.lit("closed"))
         .otherwise(F.lit("waiting"))
     )
     settles = F.col("outcome") == "approved"
     return (
-        salted_join(placed, ended, ["reference"], spread, "left", hot)
+        salted_join(checked, stored.join(ended, "reference", "left"), ["reference"], spread, "left", hot)
         .withColumn("outcome", outcome)
         .select(
             "reference", "status", "sent_at", "event_ts", "outcome",

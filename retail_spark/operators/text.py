@@ -141,6 +141,7 @@ def order_confirmation_text(
         order_items(lines, products).select("order_id", "product_id", "quantity", "unit_price", "product_name"),
         "order_id",
         ["product_id", "quantity", "unit_price", "product_name"],
+        counted=lines,
     )
     line = lambda item: fill(
         "- {q}x {n} (${p})",

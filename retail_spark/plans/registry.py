@@ -141,7 +141,7 @@ def _(s: Store):
     f"else {oracle.quoted(constants.CAROUSEL_BLURB)} end as blurb from product order by product_id limit 5",
 )
 def _(s: Store):
-    return catalog.carousel(s.products()).select("product_id", "name", "unit_price", "image_url", "blurb")
+    return catalog.carousel(s.goods()).select("product_id", "name", "unit_price", "image_url", "blurb")
 
 
 @query("category_list", "select category_id, name from category order by name")
@@ -151,7 +151,7 @@ def _(s: Store):
 
 @query("stock_status", "select product_id, stock, coalesce(stock, 0) <= 0 as out_of_stock from product")
 def _(s: Store):
-    return catalog.with_stock_status(s.products()).select("product_id", "stock", "out_of_stock")
+    return catalog.with_stock_status(s.goods()).select("product_id", "stock", "out_of_stock")
 
 
 @query(
@@ -162,7 +162,7 @@ def _(s: Store):
     "as images from product)",
 )
 def _(s: Store):
-    return catalog.with_gallery(s.products()).select(
+    return catalog.with_gallery(s.goods()).select(
         "product_id", F.array_join("images", "|").alias("images"), F.size("images").alias("image_count"), "main_image"
     )
 
@@ -216,7 +216,7 @@ def item_text(price: str) -> Column:
     f"from orders_v o left join ({ITEMS_SQL}) i using (order_id) where o.user_id is not null",
 )
 def _(s: Store):
-    return orders.user_order_history(s.orders(), s.order_lines(), s.products())
+    return orders.user_order_history(s.orders(), s.order_lines(), s.goods())
 
 
 @query(
@@ -225,7 +225,7 @@ def _(s: Store):
     f"from orders_v o left join ({ITEM_TEXT_SQL}) i using (order_id) where o.user_id is not null",
 )
 def _(s: Store):
-    return orders.user_order_documents(s.orders(), s.order_lines(), s.products()).select(
+    return orders.user_order_documents(s.orders(), s.order_lines(), s.goods()).select(
         "user_id", *orders.HISTORY_COLUMNS, "page", item_text("price_paid").alias("items"),
         F.size("items").alias("item_count"),
     )
@@ -246,7 +246,7 @@ def _(s: Store):
     f"using (user_id) left join ({ITEMS_SQL}) i using (order_id)",
 )
 def _(s: Store):
-    return orders.admin_order_detail(s.orders(), s.users(), s.order_lines(), s.products()).select(
+    return orders.admin_order_detail(s.orders(), s.users(), s.order_lines(), s.goods()).select(
         "order_id", "user_id", "total", "status", "ship_address", "customer_name", "customer_email", "product_id",
         "quantity", "unit_price", "product_name", "image_url",
     )
@@ -258,7 +258,7 @@ def _(s: Store):
     f"left join ({ITEM_TEXT_SQL}) i using (order_id)",
 )
 def _(s: Store):
-    return orders.admin_order_documents(s.orders(), s.users(), s.order_lines(), s.products()).select(
+    return orders.admin_order_documents(s.orders(), s.users(), s.order_lines(), s.goods()).select(
         "order_id", "customer_name", "customer_email", item_text("unit_price").alias("items")
     )
 
@@ -352,7 +352,7 @@ def _(s: Store):
 
 @query("top_products_sold", TOP_SOLD_SQL)
 def _(s: Store):
-    return analytics.top_products_sold(s.order_lines(), s.products(), s.orders())
+    return analytics.top_products_sold(s.order_lines(), s.goods(), s.orders())
 
 
 @query(
@@ -361,7 +361,7 @@ def _(s: Store):
     "group by 1, 2 order by view_count desc, p.product_id limit 10",
 )
 def _(s: Store):
-    return analytics.top_products_viewed(s.views(), s.products())
+    return analytics.top_products_viewed(s.views(), s.goods())
 
 
 @query(
@@ -377,7 +377,7 @@ def _(s: Store):
 )
 def _(s: Store):
     return tables.to_json_rows(
-        analytics.sales_overview(s.orders(), s.users(), s.order_lines(), s.products(), AS_OF)
+        analytics.sales_overview(s.orders(), s.users(), s.order_lines(), s.goods(), AS_OF)
     )
 
 
@@ -428,7 +428,7 @@ PRODUCT_LINE = "'- ID:' || product_id || ', Nombre:' || name || ', Precio:' || u
     "(select * from product order by product_id limit 10)",
 )
 def _(s: Store):
-    return text.context_lines(s.policies(), s.faqs(), s.products()).drop("section_no")
+    return text.context_lines(s.policies(), s.faqs(), s.goods()).drop("section_no")
 
 
 CONTEXT_SQL = oracle.fill(
@@ -442,7 +442,7 @@ CONTEXT_SQL = oracle.fill(
 
 
 def shop_context(s: Store) -> DataFrame:
-    return text.assistant_context(s.shipping_policies(), s.shipping_faqs(), s.products(), store_name=STORE_NAME)
+    return text.assistant_context(s.shipping_policies(), s.shipping_faqs(), s.goods(), store_name=STORE_NAME)
 
 
 @query("assistant_context", f"select {CONTEXT_SQL} as context")
@@ -483,7 +483,7 @@ def _(s: Store):
     "using (product_id) group by 1) i using (order_id)",
 )
 def _(s: Store):
-    return text.order_confirmation_text(s.orders(), s.order_lines(), s.products(), STORE_NAME)
+    return text.order_confirmation_text(s.orders(), s.order_lines(), s.goods(), STORE_NAME)
 
 
 @query(
@@ -536,13 +536,13 @@ def _(s: Store):
     "case when not known then 'unknown_product' end as reason from cart_total",
 )
 def _(s: Store):
-    totals, refused = checkout.price_carts(s.checkout_lines(), s.products())
+    totals, refused = checkout.price_carts(s.checkout_lines(), s.goods())
     return totals.unionByName(refused, allowMissingColumns=True)
 
 
 def admitted(s: Store) -> DataFrame:
     """Every order line against the stock, served by order number."""
-    return admission.admit_orders(s.order_lines(), s.products().select("product_id", "stock"), seq="order_id")
+    return admission.admit_orders(s.order_lines(), s.goods().select("product_id", "stock"), seq="order_id")
 
 
 def served_sql(need: str, result: str) -> str:
@@ -591,7 +591,7 @@ def _(s: Store):
     "(select product_id, sum(quantity) as taken from order_line group by 1) t using (product_id)",
 )
 def _(s: Store):
-    return checkout.apply_stock(s.products(), s.order_lines()).select("product_id", "stock")
+    return checkout.apply_stock(s.goods(), s.order_lines()).select("product_id", "stock")
 
 
 @query(
@@ -625,10 +625,10 @@ NEW_ORDERS_SQL = (
 def new_orders(s: Store) -> tuple[DataFrame, DataFrame]:
     """Orders of all valid, priced requests, as if there were stock for all."""
     good, _ = checkout.validate_checkout(s.checkout_heads(), s.checkout_lines())
-    totals, _ = checkout.price_carts(s.checkout_lines(), s.products())
+    totals, _ = checkout.price_carts(s.checkout_lines(), s.goods())
     _, buyer_of, _ = checkout.resolve_customers(s.customers(), s.checkout_heads())
     made = checkout.build_orders(good, totals, buyer_of, s.orders())
-    return made, checkout.build_order_lines(made, checkout.price_items(s.checkout_lines(), s.products()))
+    return made, checkout.build_order_lines(made, checkout.price_items(s.checkout_lines(), s.goods()))
 
 
 @query(
@@ -684,7 +684,7 @@ def placed_need_sql(which: str) -> str:
 )
 def _(s: Store):
     placed = checkout.capture_paypal_batch(
-        s.captures(), s.checkout_heads(), s.checkout_lines(), s.products(), s.customers(), s.orders()
+        s.captures(), s.checkout_heads(), s.checkout_lines(), s.goods(), s.customers(), s.orders()
     )
     return placed.orders.select("request_id", "total", "payment_method", "status", "payment_ref")
 
@@ -701,7 +701,7 @@ def _(s: Store):
 )
 def _(s: Store):
     placed = checkout.place_orders(
-        s.checkout_heads(), s.checkout_lines(), s.products(), s.customers(), s.orders()
+        s.checkout_heads(), s.checkout_lines(), s.goods(), s.customers(), s.orders()
     )
     return placed.orders.select("request_id", F.lit("accepted").alias("outcome")).unionByName(
         placed.rejects.select("request_id", F.col("reason").alias("outcome"))
@@ -768,7 +768,7 @@ CART_STATE_SQL = (
 
 @query("cart_state", CART_STATE_SQL)
 def _(s: Store):
-    return cart.cart_state(s.cart_events(), s.products())
+    return cart.cart_state(s.cart_events(), s.goods())
 
 
 @query(
@@ -791,7 +791,7 @@ def _(s: Store):
     "product p using (product_id)",
 )
 def _(s: Store):
-    return cart.enrich_cart(s.checkout_lines(), s.products())
+    return cart.enrich_cart(s.checkout_lines(), s.goods())
 
 
 # --- payments and other streams, batch twins --------------------------------------------------
@@ -862,7 +862,7 @@ CONTACTS_SQL = (
 
 @query("ingest_views", VIEWS_SQL)
 def _(s: Store):
-    return ingest.valid_views(s.view_requests(), s.products())
+    return ingest.valid_views(s.view_requests(), s.goods())
 
 
 @query("ingest_reviews", REVIEWS_SQL)

@@ -31,7 +31,7 @@ def streamed(s: Store) -> StreamStore:
 
 @query("ingest_views_stream", VIEWS_SQL)
 def _(s: Store):
-    rows = ingest.valid_views(streamed(s).view_requests(), s.products())
+    rows = ingest.valid_views(streamed(s).view_requests(), s.goods())
     return drained(rows, "views", ingest.append_stream)
 
 
@@ -60,5 +60,5 @@ def _(s: Store):
         with rocksdb_state(rows.sparkSession):
             return ingest.append_stream(rows, path, checkpoint)
 
-    changes = carts.cart_stream(streamed(s).cart_events(), s.products())
+    changes = carts.cart_stream(streamed(s).cart_events(), s.goods())
     return carts.carts_from_changes(drained(changes, "carts", start))

@@ -34,8 +34,9 @@ class Store:
             "cast(row_number() over (order by name) as int) as category_id", "name"
         )
 
-    def products(self) -> DataFrame:
-        parts = self.raw("part").selectExpr(
+    def goods(self) -> DataFrame:
+        """Products without their category, for queries that do not show it."""
+        return self.raw("part").selectExpr(
             "p_partkey as product_id",
             "p_name as name",
             "concat(p_brand, ' ', p_type, ' ', p_name) as description",
@@ -51,8 +52,10 @@ class Store:
                 for n in (2, 3, 4, 5)
             ],
         )
+
+    def products(self) -> DataFrame:
         types = self.categories().withColumnRenamed("name", "p_type")
-        return parts.join(types, "p_type", "left").select(
+        return self.goods().join(F.broadcast(types), "p_type", "left").select(
             "product_id", "name", "description", "unit_price", "brand", "barcode", "category_id", "stock",
             "image_url", "image_url_2", "image_url_3", "image_url_4", "image_url_5",
         )
