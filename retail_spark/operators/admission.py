@@ -40,20 +40,25 @@ def admit_orders(
     ``seq`` is a whole number per order that grows with arrival. An order that names a
     product twice needs its largest line and takes the sum. Unknown products have no stock.
     """
-    lines = (
-        items.groupBy(F.col(seq).alias("seq"), "product_id")
-        .agg(F.max("quantity").cast("bigint").alias("need"), F.sum("quantity").cast("bigint").alias("take"))
-    )
-    demand = lines.groupBy("product_id").agg(F.sum("take").alias("_demand"))
-    # Only products asked for beyond their stock can refuse an order. The others drop out here.
+    # Only products asked for beyond their stock can refuse an order. The lines of all others drop
+    # out before anything is shuffled by order.
+    remaining = F.coalesce(F.col("stock").cast("bigint"), F.lit(0))
     contended = (
-        demand.join(stock.select("product_id", "stock"), "product_id", "left")
-        .withColumn("remaining", F.coalesce(F.col("stock").cast("bigint"), F.lit(0)))
-        .filter(F.col("_demand") > F.col("remaining"))
-        .select("product_id", "remaining")
+        items.groupBy("product_id")
+        .agg(F.sum("quantity").alias("_demand"))
+        .join(stock.select("product_id", "stock"), "product_id", "left")
+        .filter(F.col("_demand") > remaining)
+        .select("product_id", remaining.alias("remaining"))
     )
-    opened = lines.join(contended, "product_id").select(
-        "seq", "product_id", "need", "take", "remaining", F.lit(OPEN).alias("state")
+    opened = (
+        items.join(contended, "product_id")
+        .groupBy(F.col(seq).alias("seq"), "product_id")
+        .agg(
+            F.max("quantity").cast("bigint").alias("need"),
+            F.sum("quantity").cast("bigint").alias("take"),
+            F.max("remaining").alias("remaining"),
+        )
+        .withColumn("state", F.lit(OPEN))
     )
     spark = items.sparkSession
     table = new_path(spark, "admission")

@@ -64,30 +64,44 @@ def featured_products(products: DataFrame, reviews: DataFrame, views: DataFrame,
     """The ``k`` most viewed products with their rating, null when nobody reviewed them.
 
     When no product has views, the first ``k`` products take their place, rated 0.
-    The top is found on counts alone; reviews are aggregated only for the winners.
+    The winners are found on counts alone; reviews are aggregated only for them.
     """
-    seen = views.groupBy("product_id").agg(F.count(F.lit(1)).alias("view_count"))
-    top = products.join(seen, "product_id").orderBy(F.desc("view_count"), "product_id").limit(k)
-    rated = ratings(reviews.join(F.broadcast(top.select("product_id")), "product_id", "left_semi"))
-    featured = top.join(rated, "product_id", "left").withColumn(
-        "review_count", F.coalesce("review_count", F.lit(0))
+    counts = views.groupBy("product_id").agg(F.count(F.lit(1)).alias("view_count"))
+    # Rank ids alone; the wide product rows are fetched for the winners, never shuffled.
+    best = (
+        counts.join(products.select("product_id"), "product_id")
+        .orderBy(F.desc("view_count"), "product_id")
+        .limit(k)
+    )
+    top = products.join(F.broadcast(best), "product_id").withColumn("_fallback", F.lit(False))
+    chosen = top.unionByName(featured_fallback(products, views, k))
+    rated = ratings(reviews.join(F.broadcast(chosen.select("product_id")), "product_id", "left_semi"))
+    unrated = F.when(F.col("_fallback"), F.lit(0.0))
+    return (
+        chosen.join(rated, "product_id", "left")
+        .withColumns(
+            {
+                "average_rating": F.coalesce("average_rating", unrated),
+                "review_count": F.coalesce("review_count", F.lit(0)),
+            }
+        )
+        .drop("_fallback")
+        .orderBy(F.desc("view_count"), "product_id")
     )
-    return featured.unionByName(featured_fallback(products, reviews, featured, k))
 
 
-def featured_fallback(products: DataFrame, reviews: DataFrame, featured: DataFrame, k: int = 4) -> DataFrame:
-    """The first ``k`` products rated 0 without reviews, but only when ``featured`` is empty.
+def featured_fallback(products: DataFrame, views: DataFrame, k: int = 4) -> DataFrame:
+    """The first ``k`` products, but only when no known product was ever viewed.
 
-    The emptiness test is a one-row subquery inside the plan, so no driver step is needed.
+    The test is a one-row subquery inside the plan that stops at the first viewed product.
     """
-    featured_count = featured.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
-    first = products.orderBy("product_id").limit(k).filter(featured_count == 0)
-    rated = ratings(reviews.join(F.broadcast(first.select("product_id")), "product_id", "left_semi"))
-    return first.join(rated, "product_id", "left").select(
-        *products.columns,
-        F.lit(0).cast("bigint").alias("view_count"),
-        F.coalesce("average_rating", F.lit(0.0)).alias("average_rating"),
-        F.coalesce("review_count", F.lit(0)).alias("review_count"),
+    viewed = views.join(products.select("product_id"), "product_id", "left_semi").limit(1)
+    viewed_count = viewed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return (
+        products.orderBy("product_id")
+        .limit(k)
+        .filter(viewed_count == 0)
+        .withColumns({"view_count": F.lit(0).cast("bigint"), "_fallback": F.lit(True)})
     )
 
 

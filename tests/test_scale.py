@@ -78,3 +78,23 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_shared_folder_is_the_one_configured(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert materialise(spark.range(5), "t").count() == 5
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    from retail_spark.operators.analytics import top_products_sold
+    from retail_spark.sources.tables import save_bucketed
+
+    s = Store(spark, "/root/testdata/sf0.001")
+    plain = top_products_sold(s.order_lines(), s.goods(), s.orders())
+    save_bucketed(s.orders(), "bucketed_orders", "order_id", 4, str(tmp_path / "orders"))
+    save_bucketed(s.order_lines(), "bucketed_lines", "order_id", 4, str(tmp_path / "lines"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        best = top_products_sold(spark.table("bucketed_lines"), s.goods(), spark.table("bucketed_orders"))
+        text = best._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(order_id" not in text
+        assert best.collect() == plain.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table bucketed_orders")
+        spark.sql("drop table bucketed_lines")
