@@ -12,6 +12,7 @@ from retail_spark.functions import semantics as sem
 from retail_spark.functions.scale import number_rows
 from retail_spark.operators.admission import admit_orders
 from retail_spark.operators.maintenance import split_by_rules
+from retail_spark.session import materialise
 
 REQUIRED_FIELDS = ["name", "phone", "address", "department", "city", "email"]
 
@@ -165,18 +166,19 @@ def place_orders(
     valid, invalid = validate_checkout(heads, items)
     valid_items = items.join(valid.select("request_id"), "request_id", "left_semi")
     totals, unpriced = price_carts(valid_items, products)
-    priced = valid.join(totals.select("request_id"), "request_id", "left_semi")
-    arrivals = number_rows(priced.select("request_id", "created_at"), ["created_at", "request_id"], "seq", "arrivals")
-    decided = admit_orders(
-        valid_items.join(arrivals.select("request_id", "seq"), "request_id"), products.select("product_id", "stock")
+    # Numbering writes the priced requests once; everything below starts from those files.
+    arrivals = number_rows(valid.join(totals, "request_id"), ["created_at", "request_id"], "seq", "arrivals")
+    numbers = arrivals.select("request_id", "seq")
+    decided = materialise(
+        admit_orders(items.join(numbers, "request_id"), products.select("product_id", "stock")).join(numbers, "seq"),
+        "decided",
     )
-    by_request = decided.join(arrivals.select("request_id", "seq"), "seq")
-    admitted = by_request.filter("accepted").select("request_id")
-    short = by_request.filter("not accepted").select("request_id", F.lit("out_of_stock").alias("reason"))
-    kept = priced.join(admitted, "request_id", "left_semi")
+    admitted = decided.filter("accepted").select("request_id")
+    short = decided.filter("not accepted").select("request_id", F.lit("out_of_stock").alias("reason"))
+    kept = arrivals.join(admitted, "request_id", "left_semi").drop("seq")
     buyers, buyer_of, _ = resolve_customers(customers, kept.select("request_id", "name", "email"))
-    new_orders = build_orders(kept, totals, buyer_of, orders)
-    kept_items = valid_items.join(admitted, "request_id", "left_semi")
+    new_orders = build_orders(kept.drop("total"), kept.select("request_id", "total"), buyer_of, orders)
+    kept_items = items.join(admitted, "request_id", "left_semi")
     return Checkout(
         orders=new_orders,
         lines=build_order_lines(new_orders, price_items(kept_items, products)),
