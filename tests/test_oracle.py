@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from retail_spark.plans import registry, streams  # noqa: F401  (streams adds its queries)
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLE = queries(), oracle_sql()
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
