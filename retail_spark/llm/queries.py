@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retail_spark.llm import licenses, linededup, quality, secrets
+from retail_spark.llm import bpe, licenses, linededup, packing, quality, secrets
 from retail_spark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,10 @@ def _over(name: str, report: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op2_license_scan": _over("documents", licenses.license_report),
     "op3_secret_scan": _over("documents", secrets.secret_report),
+    "op5_bpe_round_trip": _over("documents", bpe.bpe_report),
     "op7_line_dedup": _over("documents", linededup.line_report),
     "op8_quality_rules": _over("documents", quality.quality_report),
+    "op10_packing": _over("documents", packing.packing_report),
 }
 
 ORACLE: dict[str, str] = {
