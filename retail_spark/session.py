@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="retail_spark_")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -64,3 +64,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote, once nothing reads them any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        if "/retail_spark/" in path:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
