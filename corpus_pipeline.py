@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retail_spark.llm import linededup, quality, secrets
+from retail_spark.llm import linededup, neardup, packing, quality, secrets
 from retail_spark.llm.common import table
 from retail_spark.session import materialise
 
@@ -19,15 +19,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.drop_lines(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with secrets replaced by a mark."""
     return secrets.redact(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in token windows: which document, where from, how long, which window, where in it."""
+    return packing.packing_report(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("secret_scan", secret_scan),
+    ("packing", pack),
 ]
 
 #: Shingles, samples and byte pairs have no SQL: tests hold the stages against plain Python.

@@ -10,12 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_spark.llm.common import per_worker, runs
+from retail_spark.llm.common import per_worker, runs, store_bucketed
 from retail_spark.llm.tokenizing import special_cut, tokenizer
-from retail_spark.session import new_path
 
 #: Words of whole documents that share one local numbering. A block's numbers take 4 bytes a word in a task.
 BLOCK_WORDS = 6_000_000
@@ -200,12 +199,12 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
     id or a text are rows of their own. Special tokens in a text are one id each, as in the library.
     """
     path = path or default_tokenizer()
-    spark = docs.sparkSession
-    blocks = _store_blocks(
-        spark,
+    blocks = store_bucketed(
         docs.select(F.col("doc_id").cast("bigint"), F.col(text)).mapInArrow(
             _blocks(path), "block bigint, docs array<bigint>, sizes array<int>, places binary, words array<string>"
         ),
+        "block",
+        "bpe_blocks",
     )
     asked = blocks.select("block", F.posexplode("words").alias("place", "word"))
     replies = (
@@ -224,20 +223,6 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
     )
 
 
-def _store_blocks(spark: SparkSession, blocks: DataFrame) -> DataFrame:
-    """The blocks as a table bucketed by name, in the shared folder."""
-    name = f"bpe_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        blocks.write.format("parquet")
-        .option("compression", "zstd")
-        .option("path", new_path(spark, name))
-        .bucketBy(buckets, "block")
-        .saveAsTable(name)
-    )
-    return spark.table(name)
-
-
 def bpe_report(docs: DataFrame) -> DataFrame:
     """One row per document with the contract's columns."""
     return encode_decode(docs, digest=True)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retail_spark.session import new_path
+
 
 #: Stands for a null id where one is needed: before every other.
 NO_ID = -(2**63)
@@ -74,6 +77,16 @@ class Sink:
         return batch
 
 
+def store_bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key``, so that it can later be grouped without a shuffle."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name))
+    writer.bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def text_key(name: str = "text"):
     """128 bits that stand for a text, null included; equal texts have equal keys."""
     return F.md5(F.encode(F.coalesce(F.col(name), F.lit("")), "UTF-8"))

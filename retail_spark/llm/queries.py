@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retail_spark.llm import bpe, licenses, linededup, packing, quality, secrets
+from retail_spark.llm import bpe, hpylm, licenses, linededup, neardup, packing, passages, quality, secrets, vafile
 from retail_spark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,14 +17,19 @@ def _over(name: str, report: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": _over("documents", neardup.near_duplicates),
     "op2_license_scan": _over("documents", licenses.license_report),
     "op3_secret_scan": _over("documents", secrets.secret_report),
+    "op4_top_k_search": _over("embeddings", vafile.top_k),
     "op5_bpe_round_trip": _over("documents", bpe.bpe_report),
+    "op6_lm_scores": _over("documents", hpylm.score_texts),
     "op7_line_dedup": _over("documents", linededup.line_report),
     "op8_quality_rules": _over("documents", quality.quality_report),
+    "op9_shared_passages": _over("documents", passages.shared_passages),
     "op10_packing": _over("documents", packing.packing_report),
 }
 
 ORACLE: dict[str, str] = {
+    "op4_top_k_search": vafile.TOP_K_SQL,
     "op7_line_dedup": linededup.REPORT_SQL,
 }
