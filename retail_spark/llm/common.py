@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retail_spark.session import new_path
@@ -22,6 +22,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def box(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, text): all columns but the text in one struct, so that an operator's own names can't clash with them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.select(F.struct(*others).alias("row"), F.col(text).alias("text"))
+
+
+def unbox(boxed: DataFrame, docs: DataFrame, changed: Column, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` again, with the text of ``boxed``; ``n_chars`` is counted anew where the text has ``changed``."""
+
+    def column(name: str) -> Column:
+        if name == text:
+            return F.col("text").alias(name)
+        value = F.col("row").getField(name)
+        if name == "n_chars":
+            value = F.when(changed, F.length("text").cast(docs.schema[name].dataType)).otherwise(value)
+        return value.alias(name)
+
+    return boxed.select(*map(column, docs.columns))
+
+
 def per_worker(name: str, make: Callable[[], object]) -> object:
     """An object that lives as long as the Python worker: made once, found again by later tasks."""
     kept = sys.modules.setdefault("_llm_worker_objects", types.ModuleType("_llm_worker_objects"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retail_spark.llm.common import NO_ID, Sink, text_key
+from retail_spark.llm.common import NO_ID, Sink, box, text_key, unbox
 from retail_spark.session import materialise
 
 # Fixed values of the contract.
@@ -170,45 +170,36 @@ def keep_bitmaps(
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with ``text`` cut to its kept lines, plus ``_n_lines`` and ``_n_dropped``; ``n_chars`` to match.
+    """(row, text, n_lines, n_dropped): ``text`` cut to its kept lines, beside a struct of all other columns.
 
     A null text stays null, and counts as one line like an empty one.
     """
-    columns = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
-    right = bitmaps.select(
-        F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), F.col("n_dropped").alias("_dropped"), F.col("bitmap").alias("_bitmap")
-    )
-    keyed = docs.select(
-        *columns, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_doc"), text_key(text).alias("_copy")
-    )
-    joined = keyed.join(right, ["_doc", "_copy"], "left").select(*columns, "_dropped", "_bitmap")
-    at = columns.index(text)
-    kept_columns = docs.select(*columns).schema
-    schema = T.StructType(
-        [*kept_columns.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())]
+    keyed = box(docs, text)
+    row_type = keyed.schema["row"]
+    keyed = keyed.withColumns(
+        {"doc": F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(NO_ID)), "copy": text_key("text")}
     )
+    joined = keyed.join(bitmaps.select("doc", "copy", "n_dropped", "bitmap"), ["doc", "copy"], "left")
+    names = ["row", "text", "n_lines", "n_dropped"]
+    numbers = [T.StructField(n, T.LongType()) for n in names[2:]]
+    schema = T.StructType([row_type, T.StructField("text", T.StringType()), *numbers])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *arrays, dropped, packed = batch.columns
-            texts, counts = arrays[at].to_pylist(), []
+            rows, values, dropped, packed = batch.columns
+            texts, counts = values.to_pylist(), []
             for i, (value, bits) in enumerate(zip(texts, packed.to_pylist(), strict=True)):
                 n_lines = (value or "").count("\n") + 1
                 counts.append(n_lines)
                 if bits is not None:
                     keep = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=n_lines).tolist()
                     texts[i] = "\n".join(part for part, k in zip(value.split("\n"), keep, strict=True) if k)
-            arrays[at] = pa.array(texts, arrays[at].type)
-            dropped = pa.array([d or 0 for d in dropped.to_pylist()], pa.int64())
+            gone = pa.array([d or 0 for d in dropped.to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(counts, pa.int64()), dropped], names=[*columns, "_n_lines", "_n_dropped"]
+                [rows, pa.array(texts, values.type), pa.array(counts, pa.int64()), gone], names=names
             )
 
-    out = joined.mapInArrow(cut, schema)
-    if "n_chars" in columns:
-        n_chars = F.when(F.col("_n_dropped") > 0, F.length(text).cast(kept_columns["n_chars"].dataType))
-        out = out.withColumn("n_chars", n_chars.otherwise(F.col("n_chars")))
-    return out
+    return joined.select("row", "text", "n_dropped", "bitmap").mapInArrow(cut, schema)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -216,17 +207,16 @@ def line_report(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     return apply_bitmaps(docs, keep_bitmaps(docs)).select(
-        "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_dropped").alias("n_dropped"),
+        F.col("row.doc_id").alias("doc_id"),
+        "n_lines",
+        "n_dropped",
         F.sha2(F.encode(text, "UTF-8"), 256).alias("kept_sha256"),
     )
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """The documents without the lines that a larger document repeats."""
-    columns = docs.columns
-    return apply_bitmaps(docs, keep_bitmaps(docs)).select(*columns)
+    """The documents without the lines that a larger document repeats, ``n_chars`` to match."""
+    return unbox(apply_bitmaps(docs, keep_bitmaps(docs)), docs, F.col("n_dropped") > 0)
 
 
 REPORT_SQL = r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retail_spark.llm.common import box, unbox
 from retail_spark.llm.native import SPACE, SPACES, indexes, let, whole_text, with_one
 
 WORD = f"[^{SPACES}]+"
@@ -185,9 +186,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, their text without the lines that fail, ``n_chars`` to match."""
-    columns = docs.columns
     q = F.col("_quality")
-    kept = quality(docs).filter(q["kept"]).withColumn("text", q["cleaned"])
-    if "n_chars" in columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*columns)
+    good = quality(box(docs)).filter(q["kept"])
+    return unbox(good.select("row", q["cleaned"].alias("text")), docs, F.lit(True))

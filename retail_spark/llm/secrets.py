@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retail_spark.llm.common import box, unbox
 from retail_spark.llm.native import find_all, indexes, let, prefixes, whole_text, with_one
 
 # The base patterns, kind by kind in the order that breaks ties.
@@ -222,7 +223,6 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Texts without a span, null ones included, stay as they are.
     """
-    columns = docs.columns
     spans = F.col("_secrets")
 
     def covered(s: Column) -> Column:
@@ -260,10 +260,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         )
         return F.array_join(kept, mark)
 
-    found = secrets(docs)
-    text = F.when(F.size(spans) > 0, let(covered(spans), rewritten)).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
-    if "n_chars" in columns:
-        n_chars = F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-        found = found.withColumn("n_chars", n_chars.otherwise(F.col("n_chars")))
-    return found.select(*columns)
+    found = F.size(spans) > 0
+    text = F.when(found, let(covered(spans), rewritten)).otherwise(F.col("text"))
+    masked = secrets(box(docs)).select("row", text.alias("text"), found.alias("_found"))
+    return unbox(masked, docs, F.col("_found"))

@@ -1,7 +1,11 @@
 """The contracts said once more in plain Python, for small inputs."""
 
 import hashlib
+import math
 import re
+import zlib
+
+from retail_spark.llm.quality import BOILERPLATE
 
 
 def sha(text):
@@ -92,3 +96,102 @@ def line_dedup(rows):
                 kept.append(line)
         out.append((doc, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
     return out
+
+
+def words5(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text or ""))
+    if len(words) < 5:
+        return {tuple(words): 1} if words else {}
+    out = {}
+    for i in range(len(words) - 4):
+        out[tuple(words[i : i + 5])] = out.get(tuple(words[i : i + 5]), 0) + 1
+    return out
+
+
+def near_classes(rows):
+    """rows: (doc_id, text), ids distinct -> {doc_id: smallest id of its group}."""
+    counts = {d: words5(t) for d, t in rows}
+    df = {}
+    for c in counts.values():
+        for x in c:
+            df[x] = df.get(x, 0) + 1
+    n = len(rows)
+    idf = {x: min(1.0, math.log((n + 1) / k) / math.log(3)) for x, k in df.items()}
+    weights = {d: {x: (1 + math.log(k)) * idf[x] for x, k in c.items()} for d, c in counts.items()}
+    group = {d: d for d in counts}
+
+    def root(d):
+        while group[d] != d:
+            d = group[d]
+        return d
+
+    docs = sorted(counts)
+    for i, a in enumerate(docs):
+        for b in docs[:i]:
+            x, y = weights[a], weights[b]
+            if not x or not y:
+                alike = not x and not y
+            else:
+                least = sum(min(w, y[k]) for k, w in x.items() if k in y)
+                alike = least >= 0.8 * (sum(x.values()) + sum(y.values()) - least)
+            if alike:
+                a_, b_ = root(a), root(b)
+                group[max(a_, b_)] = min(a_, b_)
+    return {d: root(d) for d in docs}
+
+
+def shared_windows(rows, n=50):
+    """{doc_id: places where n words begin that an earlier document holds too}."""
+    first, found = {}, {}
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t or "")) for d, t in rows}
+    for d in sorted(words):
+        w = words[d]
+        for i in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[i : i + n]), d) != d:
+                found.setdefault(d, []).append(i)
+    return found
+
+
+def lm_base(rows):
+    """rows: (doc_id, text) -> [(doc_id, held_out, n_tokens, n_known, train_tokens, base_score)]."""
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t or "")) + [None] for _, t in rows]
+    counts = {}
+    for (d, _), own in zip(rows, tokens, strict=True):
+        if not held(d):
+            for x in own:
+                counts[x] = counts.get(x, 0) + 1
+    total = sum(counts.values())
+    return [
+        (
+            d, held(d), len(own), sum(x in counts for x in own), total,
+            sum(math.log10((counts.get(x, 0) + 1) / (total + len(counts) + 1)) for x in own),
+        )
+        for (d, _), own in zip(rows, tokens, strict=True)
+    ]
+
+
+def line_fails(line):
+    words = re.findall(r"[^\x20\x09-\x0D]+", line)
+    n = len(words)
+    if not n:
+        return False
+    marked = sum(bool(re.search(r"(?:[#*$%&|<>]|[!?][!?])$", w)) for w in words)
+    bars = sum(w in tuple("|»›><·•/") for w in words)
+    phrase = any(p in line.lower() for p in BOILERPLATE)
+    return (
+        marked > 0.3 * n
+        or bars > 0.15 * n
+        or (n >= 10 and len(set(words)) < 0.2 * min(n, 400))
+        or (n <= 25 and phrase)
+        or (len(line) > 1500 and not re.search(r"[.!?…:;]", line))
+    )
+
+
+def cleaned(text):
+    """The text without failing lines, or None if the document is refused."""
+    if quality_base(text)[5]:
+        return None
+    kept = "\n".join(x for x in (text or "").split("\n") if not line_fails(x))
+    size = lambda t: len(re.sub(r"[\x20\x09-\x0D]", "", t))
+    return kept if size(kept) >= 0.5 * size(text) else None
