@@ -17,6 +17,7 @@ PENDING_STATUSES = ["Pendiente de Pago", "Pendiente de Confirmacion"]
 # Payment methods, and the status an order gets from its method.
 CASH_ON_DELIVERY = "ContraEntrega"
 WOMPI = "Wompi"
+NAMELESS_PAYER = "Cliente Wompi"
 PAYPAL = "PayPal"
 STATUS_OF_NEW_CASH_ORDER = "Pendiente de Confirmacion"
 STATUS_OF_NEW_PAID_ORDER = "Pagado"
@@ -26,6 +27,7 @@ APPROVED = "APPROVED"
 CLOSING_STATUSES = ["DECLINED", "VOIDED", "ERROR"]
 PAYMENT_LIFETIME_MINUTES = 30
 
+# Account roles, and statuses of contact messages.
 ROLES = ["admin", "cliente"]
 DEFAULT_ROLE = "cliente"
 MESSAGE_STATUSES = ["read", "unread", "archived"]

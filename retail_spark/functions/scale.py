@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from retail_spark.session import materialise
 
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
-# fewer than HOT_SHARE hot keys whatever the data: small enough to broadcast.
-HOT_SHARE = 1000
+# A key with more rows than this is spread over several tasks, whatever the size of the table.
 ROWS_PER_SPLIT = 250_000
 NULL_KEY_SPLITS = 1024
 
@@ -47,15 +45,13 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "seq",
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
     """The keys that hold too many rows for one task, with the splits each needs.
 
-    At most ``HOT_SHARE`` rows come out, because every one of them holds more
-    than that share of the input.
+    There is one row out for more than ``rows_per_split`` rows in. How the list is
+    joined is left to Spark, which sees its size when it has run.
     """
-    rows = F.count(F.lit(1))
-    total = df.agg(rows.alias("n")).scalar()
     return (
         df.groupBy(*keys)
-        .agg(rows.alias("_n"))
-        .filter((F.col("_n") > rows_per_split) & (F.col("_n") * HOT_SHARE > total))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > rows_per_split)
         .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_split)).cast("int").alias("_splits"))
     )
 
@@ -72,7 +68,7 @@ def with_split(df: DataFrame, keys: Sequence[str], hot: DataFrame, spread: Seque
         .otherwise(F.lit(0))
         .cast("int")
     )
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn("_split", split).drop("_splits")
+    return df.join(hot, list(keys), "left").withColumn("_split", split).drop("_splits")
 
 
 def salted_join(
@@ -91,7 +87,7 @@ def salted_join(
     if hot is None:
         hot = hot_keys(many, keys)
     repeated = (
-        one.join(F.broadcast(hot), list(keys), "left")
+        one.join(hot, list(keys), "left")
         .withColumn("_split", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)))
         .drop("_splits")
     )

@@ -36,8 +36,8 @@ def null_if_empty(value: str | Column) -> Column:
 
 
 def js_trim(value: str | Column) -> Column:
-    """The text without white space of any kind at its ends."""
-    return F.regexp_replace(_column(value), r"^\s+|\s+$", "")
+    """The text without white space of any kind, Unicode's included, at its ends."""
+    return F.regexp_replace(_column(value), r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
 
 
 def js_float(value: str | Column) -> Column:
@@ -79,9 +79,11 @@ def es_number(value: str | Column) -> Column:
 
 
 def format_cop(value: str | Column) -> Column:
-    """Pesos without decimals, half away from zero; anything not a number is ``$ 0``."""
-    text = _column(value).cast("string")
-    number = F.when(F.trim(text) == "", F.lit(0.0)).otherwise(text.try_cast("double"))
+    """Pesos without decimals, half away from zero. Null and blank text count as zero; what is not a number is ``$ 0``."""
+    text = js_trim(_column(value).cast("string"))
+    number = F.when(F.coalesce(text, F.lit("")) == "", F.lit(0.0)).otherwise(
+        F.when(is_number_text(text), text.try_cast("double"))
+    )
     rounded = F.round(number, 0)
     digits = F.translate(F.format_number(F.abs(rounded), 0), ",", ".")
     sign = F.when(rounded < 0, F.lit("-")).otherwise(F.lit(""))

@@ -23,8 +23,7 @@ from retail_spark.functions.scale import ROWS_PER_SPLIT, hot_keys
 from retail_spark.session import new_path
 
 OPEN, ACCEPTED, REFUSED = "open", "accepted", "refused"
-SMALL_ROWS = 200_000  # open lines that go into one partition
-ROUNDS_AT_ONCE = 4
+ROUNDS_AT_ONCE = 4  # rounds between two writes
 STATE_SCHEMA = "seq BIGINT, product_id BIGINT, need BIGINT, take BIGINT, remaining BIGINT, state STRING"
 
 
@@ -33,7 +32,6 @@ def admit_orders(
     stock: DataFrame,
     seq: str = "seq",
     rows_per_split: int = ROWS_PER_SPLIT,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Decide every order of ``items`` (``seq``, product_id, quantity): one row (``seq``, accepted).
 
@@ -73,15 +71,10 @@ def admit_orders(
     hot = hot_keys(state, ["product_id"], rows_per_split)
     hot_products = None if hot.isEmpty() else hot.select("product_id")
     round_no = 0
-    while open_lines := state.filter(F.col("state") == OPEN).count():
+    while not state.filter(F.col("state") == OPEN).isEmpty():
         round_no += 1
         current = state.filter(F.col("state") != REFUSED)
-        if open_lines <= small_rows:
-            # Counted: the rest fits one partition, where rounds need no shuffle.
-            current = current.coalesce(1)
-            for _ in range(ROUNDS_AT_ONCE):
-                current = _next_round(current, None, rows_per_split)
-        else:
+        for _ in range(ROUNDS_AT_ONCE):
             current = _next_round(current, hot_products, rows_per_split)
         state = save(round_no, current)
 
@@ -139,7 +132,7 @@ def _sums_before(lines: DataFrame, hot_products: DataFrame | None, rows_per_spli
             "*",
             *[F.coalesce(F.sum(c).over(window), F.lit(0)).alias(f"{c}_before") for c in ("_charged", "_claimed")],
         )
-    marked = lines.join(F.broadcast(hot_products.withColumn("_hot", F.lit(True))), "product_id", "left").withColumn(
+    marked = lines.join(hot_products.withColumn("_hot", F.lit(True)), "product_id", "left").withColumn(
         "_block", F.when(F.col("_hot"), F.floor(F.col("seq") / rows_per_split)).otherwise(F.lit(0))
     )
     blocks = marked.groupBy("product_id", "_block").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retail_spark import constants
@@ -20,14 +20,18 @@ def sold(orders: DataFrame) -> DataFrame:
 
 
 def sales_kpis(orders: DataFrame, users: DataFrame, as_of: date, days: int = 30) -> DataFrame:
-    """Sales of the window from sold orders; counts of all orders and of all users."""
-    recent = F.col("status").isin(constants.SOLD_STATUSES) & (F.col("created_at") >= _window_start(as_of, days))
-    user_count = users.agg(F.count(F.lit(1)).alias("n")).scalar()
-    # The order count ignores the status, so both figures come from one scan.
-    return orders.agg(
-        F.coalesce(F.sum(F.when(recent, F.col("total"))), F.lit(0)).alias("total_sales_30_days"),
-        F.count(F.lit(1)).alias("total_orders"),
-    ).withColumn("total_users", user_count)
+    """Sales of the window from sold orders; counts of all orders and of all users.
+
+    The window's filter reaches the scan, and the counts read no column.
+    """
+    recent = sold(orders).filter(F.col("created_at") >= _window_start(as_of, days))
+    return recent.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total_sales_30_days")).select(
+        "total_sales_30_days", _count(orders).alias("total_orders"), _count(users).alias("total_users")
+    )
+
+
+def _count(rows: DataFrame) -> Column:
+    return rows.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 def daily_sales(orders: DataFrame, as_of: date, days: int = 30) -> DataFrame:
@@ -90,8 +94,14 @@ def sales_overview(
             F.sort_array(F.collect_list("row")), lambda r: F.struct(r["name"].alias("name"), r["units_sold"].alias("units_sold"))
         ).alias("v")
     )
-    return sales_kpis(orders, users, as_of, days).select(
-        F.struct("total_sales_30_days", "total_orders", "total_users").alias("kpis"),
-        by_day.scalar().alias("daily_sales"),
+    # The window's sales are the sum of its days.
+    total = F.aggregate(
+        F.col("v"), F.lit(0).cast("decimal(28,2)"), lambda s, day: (s + day["total_sales"]).cast("decimal(28,2)")
+    )
+    return by_day.select(
+        F.struct(
+            total.alias("total_sales_30_days"), _count(orders).alias("total_orders"), _count(users).alias("total_users")
+        ).alias("kpis"),
+        F.col("v").alias("daily_sales"),
         best.scalar().alias("top_products"),
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retail_spark import constants
 from retail_spark.functions import semantics as sem
+from retail_spark.session import materialise
 
 DETAIL_COLUMNS = [
     "product_id", "name", "description", "unit_price", "brand", "barcode", "category_id", "stock",
@@ -25,8 +28,9 @@ def ratings(reviews: DataFrame) -> DataFrame:
 def catalog_with_ratings(products: DataFrame, reviews: DataFrame, limit: int | None = None) -> DataFrame:
     """All products with mean rating and count, 0 without reviews; the first ``limit`` by id when it is above 0."""
     if isinstance(limit, int) and limit > 0:
-        # Cut before the join: the left join keeps one row per product.
+        # Cut before the join: the left join keeps one row per product, and only its reviews are counted.
         products = products.orderBy("product_id").limit(limit)
+        reviews = reviews.join(F.broadcast(products.select("product_id")), "product_id", "left_semi")
     rated = products.join(ratings(reviews), "product_id", "left").withColumns(
         {
             "average_rating": F.coalesce("average_rating", F.lit(0.0)),
@@ -42,14 +46,13 @@ def product_by_id(products: DataFrame, product_id: int | str) -> DataFrame:
 
 
 def checked_id(value: int | str) -> int | None:
-    """The id as a number. Empty text is accepted and matches nothing, as for the store."""
+    """The id as a number. Empty text and numbers that are not whole are accepted and match nothing, as for the store."""
     if isinstance(value, str):
-        if not value.strip():
-            return None
-        try:
-            return int(value)
-        except ValueError:
-            raise ValueError(f"id must be a number: {value!r}") from None
+        found = re.fullmatch(sem.WHOLE_NUMBER_TEXT, value)
+        if not found:
+            raise ValueError(f"id must be a number: {value!r}")
+        number = float(found[1] or "nan")
+        return int(number) if number.is_integer() else None
     return value
 
 
@@ -68,13 +71,14 @@ def featured_products(products: DataFrame, reviews: DataFrame, views: DataFrame,
     """
     counts = views.groupBy("product_id").agg(F.count(F.lit(1)).alias("view_count"))
     # Rank ids alone; the wide product rows are fetched for the winners, never shuffled.
-    best = (
+    best = materialise(
         counts.join(products.select("product_id"), "product_id")
         .orderBy(F.desc("view_count"), "product_id")
-        .limit(k)
+        .limit(k),
+        "featured",
     )
     top = products.join(F.broadcast(best), "product_id").withColumn("_fallback", F.lit(False))
-    chosen = top.unionByName(featured_fallback(products, views, k))
+    chosen = top.unionByName(featured_fallback(products, best, k))
     rated = ratings(reviews.join(F.broadcast(chosen.select("product_id")), "product_id", "left_semi"))
     unrated = F.when(F.col("_fallback"), F.lit(0.0))
     return (
@@ -90,13 +94,9 @@ def featured_products(products: DataFrame, reviews: DataFrame, views: DataFrame,
     )
 
 
-def featured_fallback(products: DataFrame, views: DataFrame, k: int = 4) -> DataFrame:
-    """The first ``k`` products, but only when no known product was ever viewed.
-
-    The test is a one-row subquery inside the plan that stops at the first viewed product.
-    """
-    viewed = views.join(products.select("product_id"), "product_id", "left_semi").limit(1)
-    viewed_count = viewed.agg(F.count(F.lit(1)).alias("n")).scalar()
+def featured_fallback(products: DataFrame, best: DataFrame, k: int = 4) -> DataFrame:
+    """The first ``k`` products, but only when ``best``, the most viewed ones, is empty."""
+    viewed_count = best.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
         products.orderBy("product_id")
         .limit(k)

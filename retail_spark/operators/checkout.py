@@ -77,8 +77,8 @@ def resolve_customers(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The buyer of every request by address, creating those not known yet.
 
-    ``requests`` has (request_id, name, email). The first request of an address names the
-    new buyer. Returns (customers, request_id with customer_id, rejects without address).
+    ``requests`` has (request_id, name, email) and ``order``, by which the first request of
+    an address names the new buyer. Returns (customers, request_id with customer_id, rejects without address).
     """
     good, bad = split_by_rules(requests, [("missing_email", ~sem.has_text("email"))])
     known = customers.groupBy("email").agg(F.min("customer_id").alias("customer_id"))
@@ -175,9 +175,9 @@ def place_orders(
     )
     admitted = decided.filter("accepted").select("request_id")
     short = decided.filter("not accepted").select("request_id", F.lit("out_of_stock").alias("reason"))
-    kept = arrivals.join(admitted, "request_id", "left_semi").drop("seq")
-    buyers, buyer_of, _ = resolve_customers(customers, kept.select("request_id", "name", "email"))
-    new_orders = build_orders(kept.drop("total"), kept.select("request_id", "total"), buyer_of, orders)
+    kept = arrivals.join(admitted, "request_id", "left_semi")
+    buyers, buyer_of, _ = resolve_customers(customers, kept.select("request_id", "name", "email", "seq"), order="seq")
+    new_orders = build_orders(kept.drop("total", "seq"), kept.select("request_id", "total"), buyer_of, orders)
     kept_items = items.join(admitted, "request_id", "left_semi")
     return Checkout(
         orders=new_orders,

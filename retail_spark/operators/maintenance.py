@@ -42,10 +42,11 @@ def merge(
 
     Modes: insert (keys in the table are refused, and so are later rows of a key),
     update and delete (unknown keys are refused), upsert. Columns the changes lack keep their value.
+    All but delete need a position, one for each change: without it no change of a key comes first or last.
     """
     keys = list(keys)
-    if position not in changes.columns:
-        changes = changes.withColumn(position, F.lit(0))
+    if mode != "delete" and position not in changes.columns:
+        raise ValueError(f"changes to {mode} need a column {position!r}")
     known = target.select(*keys)
     if mode == "insert":
         values = [c for c in changes.columns if c not in keys]
@@ -166,24 +167,33 @@ def create_products(products: DataFrame, new: DataFrame, position: str = "positi
 def update_products(
     products: DataFrame, changes: DataFrame, position: str = "position"
 ) -> tuple[DataFrame, DataFrame]:
-    """Replace whole rows by id. Unknown ids are refused, and barcodes another product holds."""
+    """Replace whole rows by id, in order of ``position``; the last edit of a product that stands wins.
+
+    An edit is refused if the id is unknown, or if its barcode is another product's: one
+    that held it before the batch, or that took it with an earlier edit of the batch, whatever came after.
+    So every edit is applied, followed by a later one of its product, or refused.
+    """
     good, bad = valid_products(changes)
-    newest = good.groupBy("product_id").agg(
-        F.max_by(F.struct(*[c for c in good.columns if c != "product_id"]), F.col(position)).alias("_v")
-    ).select("product_id", "_v.*")
-    owners = products.filter(F.col("barcode").isNotNull()).select("barcode", F.col("product_id").alias("owner_id"))
-    clash = newest.join(owners, "barcode").filter(F.col("owner_id") != F.col("product_id"))
-    free = newest.join(clash.select(position), position, "left_anti")
-    fresh = _first_per_barcode(free, position)
-    clashing = newest.join(fresh.select(position), position, "left_anti").select(position, "product_id")
-    updated, unknown = merge(products, fresh.select(*products.columns, position), ["product_id"], "update", position)
+    known = good.join(products.select("product_id"), "product_id", "left_semi")
     missing = good.join(products.select("product_id"), "product_id", "left_anti")
+    owners = products.filter(F.col("barcode").isNotNull()).select("barcode", F.col("product_id").alias("_owner"))
+    free = known.join(owners, "barcode", "left").filter(
+        F.col("_owner").isNull() | (F.col("_owner") == F.col("product_id"))
+    ).drop("_owner")
+    claims = (
+        free.filter(F.col("barcode").isNotNull())
+        .groupBy("barcode")
+        .agg(F.min_by("product_id", position).alias("_claimant"))
+    )
+    stands = free.join(claims, "barcode", "left").filter(
+        F.col("_claimant").isNull() | (F.col("_claimant") == F.col("product_id"))
+    ).drop("_claimant")
+    updated, _ = merge(products, stands.select(*products.columns, position), ["product_id"], "update", position)
+    clashing = known.join(stands.select(position), position, "left_anti")
     rejects = (
         bad.select(position, "product_id", "reason")
         .unionByName(missing.select(position, "product_id", F.lit("not_found").alias("reason")))
-        .unionByName(
-            clashing.join(missing.select(position), position, "left_anti").withColumn("reason", F.lit("duplicate_barcode"))
-        )
+        .unionByName(clashing.select(position, "product_id", F.lit("duplicate_barcode").alias("reason")))
     )
     return updated, rejects
 
@@ -304,7 +314,7 @@ def upsert_settings(settings: DataFrame, changes: DataFrame, strict: bool = Fals
         newest = latest(cleaned, ["setting_key"])
         kept = settings.withColumnRenamed("setting_value", "_old")
         differing = newest.join(kept, "setting_key", "left").filter(~F.col("setting_value").eqNullSafe(F.col("_old")))
-        cleaned = differing.drop("_old")
+        cleaned = differing.drop("_old").withColumn("position", F.lit(0))  # one change a key
     return merge(settings, cleaned, ["setting_key"], "upsert")[0], bad
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from retail_spark import constants
 from retail_spark.functions import semantics as sem
-from retail_spark.functions.scale import hot_keys, spread_nulls, with_split
+from retail_spark.functions.scale import number_rows, spread_nulls
+from retail_spark.session import materialise
 
 HISTORY_COLUMNS = ["order_id", "created_at", "total", "status", "payment_method", "payment_ref"]
-ITEMS_PER_ROW = 100_000
+PAGE_SIZE = 100_000  # items in one row of an order; the next ones go to the next page
 
 
 def order_items(lines: DataFrame, products: DataFrame) -> DataFrame:
@@ -27,35 +28,54 @@ def user_order_history(
 
     An order none of whose lines survives keeps one row with null item columns.
     """
-    mine = orders.filter(F.col("user_id").isNotNull() if user_id is None else F.col("user_id") == user_id)
-    items = order_items(lines, products).withColumnRenamed("unit_price", "price_paid")
-    return (
-        mine.select("user_id", *HISTORY_COLUMNS)
-        .join(items, "order_id", "left")
-        .orderBy(F.desc("created_at"), F.desc("order_id"), "product_id", "quantity", "price_paid")
+    mine, items = _mine(orders, lines, products, user_id)
+    history = mine.join(items, "order_id", "left")
+    return _newest_first(history, user_id, "product_id", "quantity", "price_paid")
+
+
+def _mine(
+    orders: DataFrame, lines: DataFrame, products: DataFrame, user_id: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """The orders of one user or of all accounts, and their items. Lines of other orders drop out before products are joined."""
+    mine = orders.filter(F.col("user_id").isNotNull() if user_id is None else F.col("user_id") == user_id).select(
+        "user_id", *HISTORY_COLUMNS
     )
+    own = lines.join(mine.select("order_id"), "order_id", "left_semi")
+    return mine, order_items(own, products).withColumnRenamed("unit_price", "price_paid")
+
+
+def _newest_first(history: DataFrame, user_id: int | None, *then: str) -> DataFrame:
+    """Newest orders first. For all users the order holds within each: there is no order across users to sort for."""
+    by = [F.desc("created_at"), F.desc("order_id"), *then]
+    if user_id is not None:
+        return history.orderBy(*by)
+    return history.repartition("user_id").sortWithinPartitions("user_id", *by)
 
 
 def nest_items(
-    headers: DataFrame,
-    items: DataFrame,
-    key: str,
-    columns: Sequence[str],
-    items_per_row: int = ITEMS_PER_ROW,
-    counted: DataFrame | None = None,
+    headers: DataFrame, items: DataFrame, key: str, columns: Sequence[str], page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """Headers with their items as an array; an empty one when there are none.
+    """Headers with their items in pages: arrays of at most ``page_size`` items, in the order of ``columns``.
 
-    Only an order with very many items takes more than one row: its items are dealt
-    out over pages so that no task ever holds them all. Column ``page`` is 0 for all others.
-    ``counted`` is a cheaper frame with the same keys to find such orders in.
+    The place of an item among those of its order, divided by ``page_size``, is
+    its page; pages in order, joined, are the whole list. An order without items has one empty page.
+    Only orders with more items than a page holds need those places: their items are numbered
+    in a range partitioning, so that no task holds them all.
     """
-    hot = hot_keys(items if counted is None else counted, [key], items_per_row)
-    paged = (
-        with_split(items, [key], hot, spread=columns)
-        .groupBy(key, F.col("_split").alias("page"))
-        .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("items"))
-    )
+    counts = items.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    long_ones = materialise(counts.filter(F.col("_n") > page_size).select(key), "long_orders")
+    if long_ones.isEmpty():
+        placed = items.withColumn("page", F.lit(0))
+    else:
+        numbered = number_rows(items.join(long_ones, key, "left_semi"), [key, *columns], "_item_no", "order_items")
+        first = numbered.groupBy(key).agg(F.min("_item_no").alias("_first"))
+        page = F.floor((F.col("_item_no") - F.col("_first")) / page_size).cast("int")
+        placed = (
+            items.join(long_ones, key, "left_anti")
+            .withColumn("page", F.lit(0))
+            .unionByName(numbered.join(first, key).withColumn("page", page).drop("_item_no", "_first"))
+        )
+    paged = placed.groupBy(key, "page").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("items"))
     empty = F.array().cast(paged.schema["items"].dataType)
     return headers.join(paged, key, "left").withColumns(
         {"page": F.coalesce("page", F.lit(0)), "items": F.coalesce("items", empty)}
@@ -66,15 +86,9 @@ def user_order_documents(
     orders: DataFrame, lines: DataFrame, products: DataFrame, user_id: int | None = None
 ) -> DataFrame:
     """The order history with each order's items nested, newest first."""
-    mine = orders.filter(F.col("user_id").isNotNull() if user_id is None else F.col("user_id") == user_id)
-    items = order_items(lines, products).withColumnRenamed("unit_price", "price_paid")
-    return nest_items(
-        mine.select("user_id", *HISTORY_COLUMNS),
-        items,
-        "order_id",
-        ["product_id", "product_name", "image_url", "quantity", "price_paid"],
-        counted=lines,
-    ).orderBy(F.desc("created_at"), F.desc("order_id"), "page")
+    mine, items = _mine(orders, lines, products, user_id)
+    nested = nest_items(mine, items, "order_id", ["product_id", "product_name", "image_url", "quantity", "price_paid"])
+    return _newest_first(nested, user_id, "page")
 
 
 def with_customer_names(orders: DataFrame, users: DataFrame) -> DataFrame:
@@ -124,7 +138,6 @@ def admin_order_documents(
         order_items(lines, products),
         "order_id",
         ["product_id", "product_name", "image_url", "quantity", "unit_price"],
-        counted=lines,
     )
 
 

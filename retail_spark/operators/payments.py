@@ -116,7 +116,7 @@ def paid_order_heads(approved: DataFrame) -> DataFrame:
     )
     return approved.withColumns(
         {
-            "name": sem.or_default("full_name", sem.or_default("attempt_name", "Cliente Wompi")),
+            "name": sem.or_default("full_name", sem.or_default("attempt_name", constants.NAMELESS_PAYER)),
             "phone": sem.or_default("phone_number", F.col("attempt_phone")),
             "address": sem.js_trim(address),
             "department": F.col("region"),

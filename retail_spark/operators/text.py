@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark import constants
 from retail_spark.functions import semantics as sem
+from retail_spark.functions.scale import number_rows
 from retail_spark.operators.orders import nest_items, order_items
 
-# One prompt repeats the whole context, so it has to stay small enough for one row.
-MAX_CONTEXT_BYTES = 8 * 1024 * 1024
-
 # Fixed text: the assistant's instruction. The slots are filled in order.
 ASSISTANT_INSTRUCTION = (
     "Eres {store} IA, un asistente experto de la ferretería {store}. Responde amistosamente y basa tus respuestas "
@@ -89,35 +89,36 @@ def assistant_context(
     products: DataFrame,
     n: int = 10,
     store_name: str = constants.STORE_NAME,
-    max_bytes: int = MAX_CONTEXT_BYTES,
+    context_id: int = 1,
 ) -> DataFrame:
-    """The whole instruction as one row.
+    """The whole instruction as a numbered table of lines: (context_id, line_no, line).
 
-    Its size is checked first, on sums alone. Content beyond ``max_bytes`` fits no prompt:
-    take ``context_lines`` then and write it once beside the messages.
+    In order of number and joined by line feeds, the lines are the instruction. They stay spread over the
+    cluster, so there is no limit to what the assistant is told; joining them is left to delivery.
+    A section without content has one empty line.
     """
-    lines = context_lines(policies, faqs, products, n)
-    size = lines.agg(F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("b")).first()["b"]
-    if size > max_bytes:
-        raise ValueError(f"context of {size} bytes exceeds {max_bytes}; use context_lines")
-
-    def section(number: int) -> Column:
-        rows = F.collect_list(F.when(F.col("section_no") == number, F.struct("item_id", "line")))
-        return F.array_join(F.transform(F.array_sort(rows), lambda row: row["line"]), "\n")
-
-    return lines.agg(*[section(i).alias(name) for i, name in enumerate(SECTIONS)]).select(
-        fill(
-            ASSISTANT_INSTRUCTION, store=store_name, policies=F.col("policies"), faqs=F.col("faqs"),
-            products=F.col("products"),
-        ).alias("context")
+    fixed = [part.strip("\n") for part in re.split(r"\{(?:policies|faqs|products)\}", ASSISTANT_INSTRUCTION)]
+    lines = context_lines(policies, faqs, products, n).select("section_no", "item_id", "line")
+    spark = lines.sparkSession
+    places = [(no, text.replace("{store}", store_name)) for no, text in enumerate(fixed)]
+    headings = spark.createDataFrame(places, "section_no INT, line STRING").select(
+        "section_no", F.lit(0).alias("_after"), F.lit(None).cast("bigint").alias("item_id"), "line"
+    )
+    sections = spark.range(len(SECTIONS)).select(F.col("id").cast("int").alias("section_no"))
+    filled = lines.groupBy("section_no").agg(F.count(F.lit(1)).alias("_n")).select("section_no")
+    blanks = sections.join(filled, "section_no", "left_anti").select(
+        "section_no", F.lit(1).alias("_after"), F.lit(None).cast("bigint").alias("item_id"), F.lit("").alias("line")
     )
+    content = lines.select("section_no", F.lit(1).alias("_after"), "item_id", "line")
+    numbered = number_rows(
+        headings.unionByName(blanks).unionByName(content), ["section_no", "_after", "item_id"], "line_no", "context"
+    )
+    return numbered.select(F.lit(context_id).cast("bigint").alias("context_id"), "line_no", "line")
 
 
-def assistant_prompts(messages: DataFrame, context: DataFrame, column: str = "message") -> DataFrame:
-    """One prompt per message that is not empty. The context enters as a one-row subquery."""
-    return messages.filter(sem.has_text(column)).withColumn(
-        "prompt", F.concat(context.scalar(), F.lit("\n"), F.col(column))
-    )
+def assistant_prompts(messages: DataFrame, column: str = "message", context_id: int = 1) -> DataFrame:
+    """What to ask for each message that is not empty: the context by its id, and the message to put on the line after it."""
+    return messages.filter(sem.has_text(column)).withColumn("context_id", F.lit(context_id).cast("bigint"))
 
 
 def chat_history_window(conversations: DataFrame, n: int = 10) -> DataFrame:
@@ -135,13 +136,16 @@ def chat_history_window(conversations: DataFrame, n: int = 10) -> DataFrame:
 def order_confirmation_text(
     orders: DataFrame, lines: DataFrame, products: DataFrame, store_name: str = constants.STORE_NAME
 ) -> DataFrame:
-    """The message a buyer gets, and the number it goes to. A huge order gets several pages."""
+    """The message a buyer gets, in parts, and the number it goes to.
+
+    Part 0 greets, the next ones list a page of items each, the last one has the
+    total. In order and joined as they are, the parts are the message; no order is too long for it.
+    """
     items = nest_items(
         orders.select("order_id", "total", "ship_name", "ship_phone"),
         order_items(lines, products).select("order_id", "product_id", "quantity", "unit_price", "product_name"),
         "order_id",
         ["product_id", "quantity", "unit_price", "product_name"],
-        counted=lines,
     )
     line = lambda item: fill(
         "- {q}x {n} (${p})",
@@ -149,19 +153,26 @@ def order_confirmation_text(
         n=F.coalesce(item["product_name"], F.lit("undefined")),
         p=sem.es_number(item["unit_price"]),
     )
-    return items.select(
+    head, _, foot = CONFIRMATION.partition("{items}")
+    first = F.col("page") == 0
+    pages = items.select(
         "order_id",
-        "page",
+        (F.col("page") + 1).alias("part"),
         sem.normalize_phone("ship_phone").alias("recipient"),
-        fill(
-            CONFIRMATION,
-            name=shown("ship_name"),
-            order=F.col("order_id").cast("string"),
-            store=store_name,
-            items=F.array_join(F.transform("items", line), "\n"),
-            total=sem.es_number("total"),
-        ).alias("body"),
+        F.concat(F.when(first, F.lit("")).otherwise(F.lit("\n")), F.array_join(F.transform("items", line), "\n")).alias("body"),
+    )
+    ends = items.groupBy("order_id").agg(
+        (F.max("page") + 2).alias("last"), *[F.first(c).alias(c) for c in ("total", "ship_name", "ship_phone")]
+    )
+    slots = {"name": shown("ship_name"), "order": F.col("order_id").cast("string"), "store": store_name}
+    parts = F.array(
+        F.struct(F.lit(0).alias("part"), fill(head, **slots).alias("body")),
+        F.struct(F.col("last").alias("part"), fill(foot, total=sem.es_number("total"), **slots).alias("body")),
     )
+    around = ends.select(
+        "order_id", sem.normalize_phone("ship_phone").alias("recipient"), F.explode(parts).alias("_p")
+    ).select("order_id", "_p.part", "recipient", "_p.body")
+    return around.unionByName(pages)
 
 
 def reply_message_body(replies: DataFrame, store_name: str = constants.STORE_NAME) -> tuple[DataFrame, DataFrame]:

@@ -118,10 +118,6 @@ VIEWS = {
     "faq": "select q.conv_id * 1000 + q.turn as faq_id, q.text as question, a.text as answer, q.turn % 3 as sort_order "
     "from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 "
     "and q.role = 'user' and a.role = 'assistant'",
-    "shipping_policy": "select cast(r_regionkey as bigint) as policy_id, 'Envios ' || r_name as title, "
-    "case when r_regionkey = 2 then null else 'Enviamos a ' || r_name end as body from region",
-    "shipping_faq": "select cast(n_nationkey as bigint) as faq_id, 'Llega a ' || n_name || '?' as question, "
-    "r_name as answer from nation join region on r_regionkey = n_regionkey",
     "setting_change": f"select event_id as position, {pick([*constants.SETTING_KEYS, 'unknownKey'], 'event_id % 14')} "
     "as setting_key, case when event_id % 5 = 0 then '  v' || event_id || ' ' when event_id % 5 = 1 then null "
     "when event_id % 5 = 2 then '#' || lpad(cast(event_id % 1000 as varchar), 3, '0') "
@@ -186,10 +182,13 @@ VIEWS = {
     "'B' as brand, case cast(o_orderkey % 5 as int) when 0 then "
     "lpad(cast((o_orderkey * 7) % 3001 as varchar), 13, '0') when 1 then "
     "lpad(cast((o_orderkey * 7) % 3001 + 1 as varchar), 13, '0') else 'E' || o_orderkey end as barcode from orders",
-    "newest_edit": "select * from product_edit where name <> '' qualify row_number() over "
-    "(partition by product_id order by position desc) = 1",
-    "edit_clash": "select e.position from newest_edit e join product p on p.barcode = e.barcode "
-    "and p.product_id <> e.product_id",
+    "edit_free": "select e.* from product_edit e join product p using (product_id) where e.name <> '' and not exists "
+    "(select 1 from product o where o.barcode = e.barcode and o.product_id <> e.product_id)",
+    "edit_standing": "select e.* from edit_free e where not exists (select 1 from edit_free f where f.barcode = e.barcode "
+    "and f.product_id <> e.product_id and f.position < e.position and f.position = (select min(g.position) from edit_free "
+    "g where g.barcode = f.barcode))",
+    "newest_edit": "select * from edit_standing qualify row_number() over (partition by product_id order by position desc) "
+    "= 1",
     "registration": "select event_id as position, case when event_id % 9 = 0 then '' else 'n' || user_id end as username, "
     "case when event_id % 4 = 0 then 'user' || user_id || '@example.com' else 'new' || (event_id % 3000) || "
     "'@example.com' end as email, cast(event_id % 12 as int) as password_length, "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import date
 
@@ -131,7 +132,7 @@ def _(s: Store):
     f"select {P_COLUMNS}, {RATED} from product p left join rating r using (product_id) order by p.product_id limit 3",
 )
 def _(s: Store):
-    return catalog.first_products(catalog.catalog_with_ratings(s.products(), s.reviews()))
+    return catalog.catalog_with_ratings(s.products(), s.reviews(), limit=3)
 
 
 @query(
@@ -431,31 +432,33 @@ def _(s: Store):
     return text.context_lines(s.policies(), s.faqs(), s.goods()).drop("section_no")
 
 
-CONTEXT_SQL = oracle.fill(
-    text.ASSISTANT_INSTRUCTION,
-    store=oracle.quoted(STORE_NAME),
-    policies=f"(select string_agg({POLICY_LINE}, chr(10) order by policy_id) from shipping_policy)",
-    faqs=f"(select string_agg({FAQ_LINE}, chr(10) order by faq_id) from shipping_faq)",
-    products=f"(select string_agg({PRODUCT_LINE}, chr(10) order by product_id) from "
-    "(select * from product order by product_id limit 10))",
-)
-
+# The instruction cut at its slots; each piece but the first and the last stands between two lists of lines.
+CONTEXT_PIECES = [
+    oracle.fill(piece.strip("\n"), store=oracle.quoted(STORE_NAME))
+    for piece in re.split(r"\{(?:policies|faqs|products)\}", text.ASSISTANT_INSTRUCTION)
+]
 
-def shop_context(s: Store) -> DataFrame:
-    return text.assistant_context(s.shipping_policies(), s.shipping_faqs(), s.goods(), store_name=STORE_NAME)
 
-
-@query("assistant_context", f"select {CONTEXT_SQL} as context")
+@query(
+    "assistant_context",
+    "select cast(1 as bigint) as context_id, row_number() over (order by section, after, item_id) as line_no, line from ("
+    + " union all ".join(
+        f"select {no} as section, 0 as after, cast(null as bigint) as item_id, {piece} as line"
+        for no, piece in enumerate(CONTEXT_PIECES)
+    )
+    + f" union all select 0, 1, policy_id, {POLICY_LINE} from policy union all select 1, 1, faq_id, {FAQ_LINE} from faq "
+    f"union all select 2, 1, product_id, {PRODUCT_LINE} from (select * from product order by product_id limit 10))",
+)
 def _(s: Store):
-    return shop_context(s)
+    return text.assistant_context(s.policies(), s.faqs(), s.goods(), store_name=STORE_NAME)
 
 
 @query(
     "assistant_prompts",
-    f"select message_id, {CONTEXT_SQL} || chr(10) || message as prompt from contact_message where message <> ''",
+    "select message_id, cast(1 as bigint) as context_id, message from contact_message where message <> ''",
 )
 def _(s: Store):
-    return text.assistant_prompts(s.messages(), shop_context(s)).select("message_id", "prompt")
+    return text.assistant_prompts(s.messages()).select("message_id", "context_id", "message")
 
 
 @query(
@@ -466,18 +469,19 @@ def _(s: Store):
     return text.chat_history_window(s.raw("conversations"), n=3)
 
 
+CONFIRMATION_HEAD, _, CONFIRMATION_FOOT = text.CONFIRMATION.partition("{items}")
+CONFIRMATION_SLOTS = {
+    "name": "o.ship_name", "order": "o.order_id", "store": oracle.quoted(STORE_NAME), "total": oracle.es_number("o.total"),
+}
+RECIPIENT = "'whatsapp:+57' || regexp_replace(o.ship_phone, '[^0-9]', '', 'g') as recipient"
+
+
 @query(
     "order_confirmation_text",
-    "select o.order_id, 0 as page, 'whatsapp:+57' || regexp_replace(o.ship_phone, '[^0-9]', '', 'g') as recipient, "
-    + oracle.fill(
-        text.CONFIRMATION,
-        name="o.ship_name",
-        order="o.order_id",
-        store=oracle.quoted(STORE_NAME),
-        items="coalesce(i.items, '')",
-        total=oracle.es_number("o.total"),
-    )
-    + " as body from orders_v o left join (select l.order_id, string_agg('- ' || l.quantity || 'x ' || p.name || ' ($' || "
+    f"select o.order_id, 0 as part, {RECIPIENT}, {oracle.fill(CONFIRMATION_HEAD, **CONFIRMATION_SLOTS)} as body from "
+    f"orders_v o union all select o.order_id, 2, {RECIPIENT}, {oracle.fill(CONFIRMATION_FOOT, **CONFIRMATION_SLOTS)} from "
+    f"orders_v o union all select o.order_id, 1, {RECIPIENT}, coalesce(i.items, '') from orders_v o left join "
+    "(select l.order_id, string_agg('- ' || l.quantity || 'x ' || p.name || ' ($' || "
     + oracle.es_number("l.unit_price")
     + " || ')', chr(10) order by l.product_id, l.quantity, l.unit_price) as items from order_line l join product p "
     "using (product_id) group by 1) i using (order_id)",
@@ -509,12 +513,12 @@ def _(s: Store):
 @query(
     "format_cop",
     "select product_id, case when v is null then '$ 0' else '$' || chr(160) || translate(format('{:,}', "
-    "cast(floor(v + 0.5) as bigint)), ',', '.') end as price_text from (select product_id, "
-    f"try_cast(nullif(unit_price, '') as double) as v from raw_product where coalesce(unit_price, 'x') <> '' "
+    "cast(floor(v + 0.5) as bigint)), ',', '.') end as price_text from (select product_id, case when "
+    "trim(coalesce(unit_price, '')) = '' then 0 else try_cast(unit_price as double) end as v from raw_product "
     "union all select p_partkey, p_retailprice * 1000.5 from part)",
 )
 def _(s: Store):
-    texts = s.raw_products().filter("coalesce(unit_price, 'x') <> ''").select("product_id", "unit_price")
+    texts = s.raw_products().select("product_id", "unit_price")
     amounts = s.raw("part").selectExpr("p_partkey as product_id", "cast(p_retailprice * 1000.5D as string) as unit_price")
     return texts.unionByName(amounts).select("product_id", sem.format_cop("unit_price").alias("price_text"))
 
@@ -587,11 +591,17 @@ def _(s: Store):
 
 @query(
     "apply_stock",
-    "select p.product_id, cast(greatest(0, p.stock - coalesce(t.taken, 0)) as int) as stock from product p left join "
-    "(select product_id, sum(quantity) as taken from order_line group by 1) t using (product_id)",
+    "select * from ("
+    + served_sql(
+        need_sql("order_line", "order_id"),
+        "select k as product_id, cast(v as int) as stock from served where k >= 0",
+    )
+    + ")",
 )
 def _(s: Store):
-    return checkout.apply_stock(s.goods(), s.order_lines()).select("product_id", "stock")
+    """What the admitted orders leave."""
+    taken = s.order_lines().join(admitted(s).filter("accepted"), "order_id", "left_semi")
+    return checkout.apply_stock(s.goods(), taken).select("product_id", "stock")
 
 
 @query(
@@ -613,8 +623,8 @@ def _(s: Store):
 
 NEW_ORDERS_SQL = (
     "select v.request_id, (select max(order_id) from orders_v) + row_number() over (order by v.created_at, v.request_id) "
-    "as order_id, v.user_id, cast(t.total as double) as total, case when v.method = 'ContraEntrega' then "
-    "'Pendiente de Confirmacion' else 'Pagado' end as status, v.method as payment_method, cast(null as varchar) as "
+    f"as order_id, v.user_id, cast(t.total as double) as total, case when v.method = {oracle.quoted(constants.CASH_ON_DELIVERY)} "
+    f"then {oracle.quoted(constants.STATUS_OF_NEW_CASH_ORDER)} else {oracle.quoted(constants.STATUS_OF_NEW_PAID_ORDER)} end as status, v.method as payment_method, cast(null as varchar) as "
     "payment_ref, v.name as ship_name, v.address as ship_address, v.department as ship_department, v.city as ship_city, "
     "nullif(v.complement, '') as ship_reference, v.phone as ship_phone, v.email as ship_email, v.created_at, "
     "{customer} as customer_id from checkout_verdict v join cart_total t on t.request_id = v.request_id and t.known "
@@ -674,7 +684,8 @@ def placed_need_sql(which: str) -> str:
 
 @query(
     "capture_paypal_batch",
-    "select a.request_id, cast(t.total as double) as total, 'PayPal' as payment_method, 'Pagado' as status, "
+    f"select a.request_id, cast(t.total as double) as total, {oracle.quoted(constants.PAYPAL)} as payment_method, "
+    f"{oracle.quoted(constants.STATUS_OF_NEW_PAID_ORDER)} as status, "
     "c.provider_order_id as payment_ref from ("
     + served_sql(
         placed_need_sql("request_id in (select request_id from capture where status = 'COMPLETED')"),
@@ -708,6 +719,78 @@ def _(s: Store):
     )
 
 
+def placed_sql(which: str, result: str) -> str:
+    """``result`` over the accepted requests ``a``, the buyers ``created`` for them and the orders ``made`` of them."""
+    accepted = served_sql(placed_need_sql(which), "select request_id from need join served on k = -2 - n where v = 1")
+    return (
+        f"select * from (with a as materialized (select * from ({accepted})), first as (select v.* from checkout_verdict v "
+        "join a using (request_id) where v.email not in (select email from buyer) qualify row_number() over (partition by "
+        "v.email order by v.created_at, v.request_id) = 1), created as materialized (select (select max(customer_id) from "
+        "buyer) + row_number() over (order by created_at, request_id) as customer_id, coalesce(nullif(name, ''), "
+        "split_part(email, '@', 1)) as first_name, '' as last_name, email from first), made as (select "
+        "v.request_id, (select max(order_id) from orders_v) + row_number() over (order by v.created_at, v.request_id) as "
+        "order_id, v.user_id, cast(t.total as double) as total, v.email, coalesce(k.customer_id, c.customer_id) as "
+        "customer_id from a join checkout_verdict v using (request_id) join cart_total t using (request_id) left join "
+        f"buyer k on k.email = v.email left join created c on c.email = v.email) {result})"
+    )
+
+
+PLACED_ORDERS = "select request_id, order_id, user_id, total, email as ship_email, customer_id from made"
+PLACED_LINES = (
+    "select m.order_id, l.product_id, l.quantity, cast(p.unit_price as double) as unit_price from made m join checkout_line l "
+    "using (request_id) join product p using (product_id)"
+)
+PLACED_STOCK = (
+    "select p.product_id, cast(greatest(0, p.stock - coalesce(t.taken, 0)) as int) as stock from product p left join (select "
+    "product_id, sum(quantity) as taken from checkout_line join a using (request_id) group by 1) t using (product_id)"
+)
+PLACED_BUYERS = "select * from buyer union all select * from created"
+CAPTURED = "request_id in (select request_id from capture where status = 'COMPLETED')"
+
+
+def placed(s: Store) -> checkout.Checkout:
+    return checkout.place_orders(s.checkout_heads(), s.checkout_lines(), s.goods(), s.customers(), s.orders())
+
+
+def captured(s: Store) -> checkout.Checkout:
+    return checkout.capture_paypal_batch(
+        s.captures(), s.checkout_heads(), s.checkout_lines(), s.goods(), s.customers(), s.orders()
+    )
+
+
+PLACED_COLUMNS = ["request_id", "order_id", "user_id", "total", "ship_email", "customer_id"]
+
+
+@query("place_orders_orders", placed_sql("true", PLACED_ORDERS))
+def _(s: Store):
+    return placed(s).orders.select(*PLACED_COLUMNS)
+
+
+@query("place_orders_lines", placed_sql("true", PLACED_LINES))
+def _(s: Store):
+    return placed(s).lines
+
+
+@query("place_orders_stock", placed_sql("true", PLACED_STOCK))
+def _(s: Store):
+    return placed(s).products.select("product_id", "stock")
+
+
+@query("place_orders_buyers", placed_sql("true", PLACED_BUYERS))
+def _(s: Store):
+    return placed(s).customers
+
+
+@query("capture_paypal_orders", placed_sql(CAPTURED, PLACED_ORDERS))
+def _(s: Store):
+    return captured(s).orders.select(*PLACED_COLUMNS)
+
+
+@query("capture_paypal_stock", placed_sql(CAPTURED, PLACED_STOCK))
+def _(s: Store):
+    return captured(s).products.select("product_id", "stock")
+
+
 @query("total_in_cents", "select order_id, cast(round(total * 100) as bigint) as amount_in_cents from orders_v")
 def _(s: Store):
     return s.orders().select("order_id", sem.total_in_cents("total").alias("amount_in_cents"))
@@ -964,8 +1047,7 @@ def _(s: Store):
         f"case when e.position is null then p.{c} end as {c}"
         for c in ("image_url", "image_url_2", "image_url_3", "image_url_4", "image_url_5")
     )
-    + " from product p left join (select * from newest_edit where position not in (select position from edit_clash)) e "
-    "using (product_id)",
+    + " from product p left join newest_edit e using (product_id)",
 )
 def _(s: Store):
     return maintenance.update_products(s.products(), s.product_edits())[0]
@@ -974,36 +1056,45 @@ def _(s: Store):
 @query(
     "update_products_rejects",
     "select position, product_id, case when name = '' then 'missing_field' when product_id not in (select product_id from "
-    "product) then 'not_found' else 'duplicate_barcode' end as reason from product_edit where name = '' or product_id not "
-    "in (select product_id from product) or position in (select position from edit_clash)",
+    "product) then 'not_found' else 'duplicate_barcode' end as reason from product_edit where position not in "
+    "(select position from edit_standing)",
 )
 def _(s: Store):
     return maintenance.update_products(s.products(), s.product_edits())[1]
 
 
-DELETE_IDS = "(select p_partkey * 2 as product_id from part)"
+# A draft of every product, never sold; ids to delete are those of products, of drafts, and of neither.
+DRAFT = 1_000_000_000
+PRODUCTS_AND_DRAFTS = f"(select * from product union all select * replace (product_id + {DRAFT} as product_id) from product)"
+DELETE_IDS = f"(select p_partkey * 2 as product_id from part union all select p_partkey * 2 + {DRAFT} from part)"
+
+
+def products_and_drafts(s: Store) -> DataFrame:
+    drafts = s.products().withColumn("product_id", F.col("product_id") + DRAFT)
+    return s.products().unionByName(drafts)
 
 
 def doomed_products(s: Store) -> DataFrame:
-    return s.raw("part").selectExpr("p_partkey * 2 as product_id")
+    return s.raw("part").selectExpr(f"explode(array(p_partkey * 2, p_partkey * 2 + {DRAFT})) as product_id")
 
 
 @query(
     "delete_products",
-    f"{TABLE_P} where product_id not in {DELETE_IDS} or product_id in (select product_id from review)",
+    f"select {P_COLUMNS} from {PRODUCTS_AND_DRAFTS} p where product_id not in {DELETE_IDS} or product_id in "
+    "(select product_id from order_line)",
 )
 def _(s: Store):
-    return maintenance.delete_products(s.products(), doomed_products(s), s.reviews())[0]
+    return maintenance.delete_products(products_and_drafts(s), doomed_products(s), s.order_lines())[0]
 
 
 @query(
     "delete_products_rejects",
-    f"select product_id, case when product_id in (select product_id from product) then 'referenced' else 'not_found' end as "
-    f"reason from {DELETE_IDS} where product_id not in (select product_id from product) or product_id in "
-    "(select product_id from review)",
+    f"select product_id, case when product_id in (select product_id from {PRODUCTS_AND_DRAFTS}) then 'referenced' else "
+    f"'not_found' end as reason from {DELETE_IDS} where product_id not in (select product_id from {PRODUCTS_AND_DRAFTS}) "
+    "or product_id in (select product_id from order_line)",
 )
 def _(s: Store):
-    return maintenance.delete_products(s.products(), doomed_products(s), s.reviews())[1]
+    return maintenance.delete_products(products_and_drafts(s), doomed_products(s), s.order_lines())[1]
 
 
 @query(

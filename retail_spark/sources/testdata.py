@@ -1,4 +1,7 @@
-"""The store's tables as views over the test data's wide tables. All views keep all rows."""
+"""The store's tables as views over the test data's wide tables.
+
+Most views keep all rows. Views, reviews, messages, questions, replies and buyers are the rows that bear such a thing.
+"""
 
 from __future__ import annotations
 
@@ -190,21 +193,6 @@ class Store:
             "conv_id * 1000 + turn as faq_id", "question", "answer", "turn % 3 as sort_order"
         )
 
-    def shipping_policies(self) -> DataFrame:
-        """A store's own few policies, one for each region."""
-        return self.raw("region").selectExpr(
-            "cast(r_regionkey as bigint) as policy_id",
-            "concat('Envios ', r_name) as title",
-            "case when r_regionkey = 2 then null else concat('Enviamos a ', r_name) end as body",
-        )
-
-    def shipping_faqs(self) -> DataFrame:
-        nations = self.raw("nation")
-        regions = self.raw("region").withColumnRenamed("r_regionkey", "n_regionkey")
-        return nations.join(regions, "n_regionkey").selectExpr(
-            "cast(n_nationkey as bigint) as faq_id", "concat('Llega a ', n_name, '?') as question", "r_name as answer"
-        )
-
     def setting_changes(self) -> DataFrame:
         """Every event as an edit of a site setting; some keys are unknown, some values bad."""
         keys = [*constants.SETTING_KEYS, "unknownKey"]

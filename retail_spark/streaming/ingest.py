@@ -12,9 +12,9 @@ from retail_spark.operators.maintenance import valid_contacts, valid_reviews
 
 def valid_views(requests: DataFrame, products: DataFrame) -> DataFrame:
     """View requests with a number as product id, of products that exist. Works on streams and tables."""
-    numeric = requests.filter(sem.is_number_text("product_id")).withColumn(
-        "product_id", F.col("product_id").try_cast("bigint")
-    )
+    number = sem.js_trim("product_id").try_cast("double")  # 5.0 and 1e3 are whole numbers too
+    whole = F.when(number == F.floor(number), number.try_cast("bigint"))
+    numeric = requests.filter(sem.is_number_text("product_id")).withColumn("product_id", whole)
     return numeric.join(products.select("product_id"), "product_id", "left_semi").select(*requests.columns)
 
 

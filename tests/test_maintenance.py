@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from retail_spark import schemas
@@ -92,6 +95,31 @@ def test_update_products(spark, rows):
     assert rows(rejects, "position", "reason") == [(3, "duplicate_barcode"), (4, "not_found"), (5, "missing_field")]
 
 
+def test_an_edit_before_a_refused_one_stands(spark, rows):
+    """Edits replayed one by one: a barcode belongs to its holder, or to the first product that took it."""
+    rnd = random.Random(4)
+    codes = ["A", "B", "C", None]
+    edits = [(n, rnd.randint(1, 5), rnd.choice(["A", "B", "C", "X", "Y", "Z", ""])) for n in range(1, 40)]
+    owner = {c: i for i, c in enumerate(codes, 1) if c}
+    names, refused = {}, set()
+    for n, product, code in edits:
+        if product > 4 or (code and owner.setdefault(code, product) != product):
+            refused.add(n)
+        else:
+            names[product] = (f"e{n}", code or None)
+    changes = spark.createDataFrame([request(n, product_id=p, name=f"e{n}", barcode=c) for n, p, c in edits], PRODUCT_REQUEST)
+    table, rejects = m.update_products(product_table(spark, codes), changes)
+    expected = [(i, *names.get(i, (f"p{i}", c))) for i, c in enumerate(codes, 1)]
+    assert rows(table, "product_id", "name", "barcode") == sorted(expected, key=repr)
+    assert {r.position for r in rejects.collect()} == refused
+
+
+def test_inserts_need_a_position(spark):
+    table = spark.createDataFrame([(1, "a")], "id int, v string")
+    with pytest.raises(ValueError):
+        m.merge(table, table, ["id"], "insert")
+
+
 def test_referenced_rows_stay(spark, rows):
     users = spark.createDataFrame([(1,), (2,), (3,)], "user_id bigint")
     orders = spark.createDataFrame([(2,), (None,)], "user_id bigint")

@@ -49,6 +49,10 @@ def test_ids_that_are_no_numbers_are_refused(spark):
         catalog.product_by_id(products(spark), "abc")
     assert catalog.product_by_id(products(spark), "").count() == 0
     assert catalog.product_by_id(products(spark), "3").count() == 1
+    assert catalog.product_by_id(products(spark), " 3.0e0 ").count() == 1
+    assert catalog.product_by_id(products(spark), "1.5").count() == 0
+    with pytest.raises(ValueError):
+        catalog.product_by_id(products(spark), "1_0")
 
 
 def test_shown_parts(spark, rows):
@@ -87,6 +91,13 @@ def test_guest_orders_show_the_delivery_name(spark, rows):
     assert [r.order_id for r in named.collect()] == [5, 4, 1, 3, 2]
 
 
+def test_one_users_lines_are_cut_before_products_are_joined(spark):
+    lines = spark.createDataFrame([(1, 1, 2, D(5))], schemas.TABLES["order_line"])
+    plan = orders.user_order_history(order_rows(spark), lines, products(spark), user_id=1)
+    text_plan = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in text_plan and text_plan.index("LeftSemi") > text_plan.index("Inner")  # deeper in the tree
+
+
 def test_history_keeps_orders_whose_products_are_gone(spark, rows):
     lines = spark.createDataFrame([(1, 1, 2, D(5)), (2, 77, 1, D(5))], schemas.TABLES["order_line"])
     flat = orders.user_order_history(order_rows(spark), lines, products(spark), user_id=1)
@@ -109,13 +120,25 @@ def test_content_without_place_comes_first(spark):
     assert [r.policy_id for r in content.content_list(df, "policy_id").collect()] == [2, 3, 4, 1]
 
 
-def test_context_prints_null_and_is_bounded(spark):
+def test_context_lines_join_to_the_instruction(spark):
     policies = spark.createDataFrame([(1, "T", None)], "policy_id bigint, title string, body string")
     faqs = spark.createDataFrame([], "faq_id bigint, question string, answer string")
-    body = text.assistant_context(policies, faqs, products(spark, 2), n=1).first()[0]
-    assert "Políticas:\n- T: null\n---\nFAQ:\n\n---\nContexto de Productos:\n- ID:1, Nombre:p1, Precio:1.00, Stock:0\n---" in body
-    with pytest.raises(ValueError):
-        text.assistant_context(policies, faqs, products(spark, 2), max_bytes=10)
+    got = text.assistant_context(policies, faqs, products(spark, 2), n=1).orderBy("line_no").collect()
+    assert [r.line_no for r in got] == list(range(1, len(got) + 1))
+    assert "\n".join(r.line for r in got) == text.ASSISTANT_INSTRUCTION.format(
+        store=constants.STORE_NAME, policies="- T: null", faqs="", products="- ID:1, Nombre:p1, Precio:1.00, Stock:0"
+    )
+
+
+def test_confirmation_parts_join_to_the_message(spark, monkeypatch):
+    lines = spark.createDataFrame([(2, p, 1, D(p)) for p in range(1, 7)], schemas.TABLES["order_line"])
+    monkeypatch.setattr(text, "nest_items", lambda *a: orders.nest_items(*a, page_size=4))
+    got = text.order_confirmation_text(order_rows(spark).filter("order_id <= 2"), lines, products(spark), "S").collect()
+    parts = sorted((r.part, r.body) for r in got if r.order_id == 2)
+    assert [p for p, _ in parts] == [0, 1, 2, 3]
+    items = "\n".join(f"- 1x p{p} (${p})" for p in range(1, 7))
+    assert "".join(b for _, b in parts) == text.CONFIRMATION.format(name="guest2", order=2, store="S", items=items, total=50)
+    assert [(r.part, r.body) for r in got if r.order_id == 1 and r.part == 1] == [(1, "")]
 
 
 def test_replies_need_all_parts(spark, rows):

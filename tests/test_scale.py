@@ -27,6 +27,12 @@ def test_hot_keys_are_those_with_many_rows(spark):
     assert 7 in hot and hot[7] >= 4 and len(hot) == 1
 
 
+def test_a_key_is_hot_by_its_rows_not_by_its_share(spark):
+    """400 of a million rows: far under a thousandth."""
+    df = spark.range(1_000_000).select(F.when(F.col("id") < 400, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    assert [(r.k, r._splits) for r in hot_keys(df, ["k"], 100).collect()] == [(-1, 4)]
+
+
 def test_hot_and_null_keys_are_spread(spark):
     df = skewed(spark)
     marked = with_split(df, ["k"], hot_keys(df, ["k"], 300), ["id"])
@@ -47,10 +53,10 @@ def test_huge_orders_are_paged_and_keep_every_item(spark):
     items = spark.range(1000).select(F.lit(1).cast("bigint").alias("order_id"), F.col("id").alias("product_id")).unionByName(
         spark.createDataFrame([(2, 5)], "order_id bigint, product_id bigint")
     )
-    got = nest_items(heads, items, "order_id", ["product_id"], items_per_row=100).collect()
-    pages = [r for r in got if r.order_id == 1]
-    assert len(pages) == 10 and max(len(r["items"]) for r in pages) < 200
-    assert sorted(i.product_id for r in pages for i in r["items"]) == list(range(1000))
+    got = nest_items(heads, items.repartition(5), "order_id", ["product_id"], page_size=100).collect()
+    pages = sorted((r for r in got if r.order_id == 1), key=lambda r: r.page)
+    assert [(r.page, len(r["items"])) for r in pages] == [(p, 100) for p in range(10)]
+    assert [i.product_id for r in pages for i in r["items"]] == list(range(1000))
     assert [(r.page, len(r["items"])) for r in got if r.order_id == 2] == [(0, 1)]
     assert [(r.page, r["items"]) for r in got if r.order_id == 3] == [(0, [])]
 

@@ -26,7 +26,7 @@ def test_missing_text(spark):
 def test_pesos_round_half_up_and_use_dots(spark):
     texts = ["2.5", "1234567.49", "abc", None, "", "-1500.5", "999.5"]
     assert column(spark, texts, sem.format_cop) == [
-        "$ 3", "$ 1.234.567", "$ 0", "$ 0", "$ 0", "-$ 1.501", "$ 1.000",
+        "$ 3", "$ 1.234.567", "$ 0", "$ 0", "$ 0", "-$ 1.501", "$ 1.000",
     ]
 
 
