@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 from retail_spark.llm.common import per_worker
 
@@ -13,6 +14,26 @@ _ODD_WHITE = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile(f"[^{WHITE}]+")
 
 
+#: Characters for which Python's classes and case agree with the libraries', and that no normal form changes.
+PLAIN = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
+_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\u024f]+")
+
+
+def byte_values() -> dict[str, int]:
+    """The byte that each character of a byte-level piece stands for: printable bytes are themselves, the rest follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+_BYTE_CHARACTERS = {b: c for c, b in byte_values().items()}
+
+
+def byte_level(word: str) -> str:
+    """A word as byte-level models take it: a character for each byte."""
+    return word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+
+
 def tokenizer(path: str):
     """The tokenizer of a file, without truncation and padding; loaded once per Python worker."""
 
@@ -44,23 +65,23 @@ class WordIds(dict):
 
     Holds two generations of at most ``most`` words: when the young one is full it
     becomes the old one, and words asked for again move back. A word that ends
-    in a stop after a letter is its parts' ids; capitals of ASCII words are folded first.
+    in a stop after a letter is its parts' ids. A word of plain letters is one piece to the normalizer and
+    the pre-tokenizer, so it goes to the merges directly.
     """
 
-    def __init__(self, tok, most: int = 400_000):
+    def __init__(self, tok, most: int = 600_000):
         super().__init__()
-        self.tok, self.most, self.old = tok, most, {}
+        self.tok, self.model, self.most, self.old = tok, tok.model, most, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            lower = word.lower() if word.isascii() else word
-            if lower != word:
-                ids = self[lower]
-            elif len(word) > 1 and word[-1] in ",.!?;:" and word[-2].isascii() and word[-2].isalpha():
+            if len(word) > 1 and word[-1] in ",.!?;:" and word[-2].isascii() and word[-2].isalpha():
                 ids = self[word[:-1]] + self[word[-1]]
+            elif word.islower() and _LETTERS.fullmatch(word):
+                ids = array("I", [t.id for t in self.model.tokenize(byte_level(word))]).tobytes()
             else:
-                ids = b"".join(i.to_bytes(4, "little") for i in self.tok.encode(word, add_special_tokens=False).ids)
+                ids = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -74,12 +95,11 @@ def word_ids(path: str) -> WordIds:
 
 def encode_words(text: str, ids: WordIds, cut: re.Pattern | None) -> bytes:
     """The ids of a whole text, special strings in it included, as bytes."""
-    if cut is None or not cut.search(text):
-        return b"".join(map(ids.__getitem__, white_words(text)))
+    parts = cut.split(text) if cut is not None else [text]
     out = []
-    for k, part in enumerate(cut.split(text)):
+    for k, part in enumerate(parts):
         if k % 2:
             out.append(ids.tok.token_to_id(part).to_bytes(4, "little"))
         else:
-            out += map(ids.__getitem__, white_words(part))
+            out += map(ids.__getitem__, white_words(part if PLAIN.search(part) else part.lower()))
     return b"".join(out)
