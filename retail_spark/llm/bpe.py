@@ -10,17 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retail_spark.llm.common import per_worker, runs, store_bucketed
-from retail_spark.llm.tokenizing import special_cut, tokenizer
+from retail_spark.llm.tokenizing import PLAIN, byte_level, byte_values, special_cut, tokenizer
 
 #: Words of whole documents that share one local numbering. A block's numbers take 4 bytes a word in a task.
 BLOCK_WORDS = 6_000_000
 
-#: Characters for which Python's classes agree with Unicode's letters and numbers; other texts are cut by the tokenizer itself.
-_PLAIN = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-ɏ]")
 _CUT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 BLOCKS = pa.schema(
@@ -45,7 +44,7 @@ def split_words(text: str, tok, special: re.Pattern | None) -> list[str]:
     if special is not None and special.search(text):
         parts = special.split(text)
         return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else split_words(part, tok, None))]
-    if not _PLAIN.search(text):
+    if not PLAIN.search(text):
         return _CUT.findall(text)
     return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -94,15 +93,17 @@ def _encode(path: str):
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, held, size = tokenizer(path), {}, 0
+        model, special = tok.model, {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
+        pack = zstandard.ZstdCompressor(level=1).compress
 
         def replies() -> pa.RecordBatch:
-            rows = [(block, *(x.tobytes() for x in parts)) for block, parts in held.items()]
+            rows = [(block, *(pack(x.tobytes()) for x in parts)) for block, parts in held.items()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), REPLIES, strict=True)], schema=REPLIES
             )
 
         for (word,), rows in runs(batches, ["word"]):
-            ids = tok.encode(word, add_special_tokens=False).ids
+            ids = [special[word]] if word in special else [t.id for t in model.tokenize(byte_level(word))]
             for block, place in zip(rows["block"], rows["place"], strict=True):
                 places, lengths, out = held.setdefault(block, (array("I"), array("I"), array("I")))
                 places.append(place)
@@ -124,13 +125,6 @@ DIGEST = pa.schema(
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
-def byte_values() -> dict[str, int]:
-    """The byte that each character of a byte-level piece stands for: printable bytes are themselves, the rest follow from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def piece_bytes(tok) -> list[bytes]:
     """What each id decodes to, by id; a special token is its own text."""
     values = byte_values()
@@ -146,11 +140,15 @@ def _assemble(path: str, digest: bool):
 
     def assembled(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         pieces = per_worker(f"pieces:{path}", lambda: piece_bytes(tokenizer(path)))
+        unpack = zstandard.ZstdDecompressor().decompress
         rows = []
         for block in blocks.to_pylist():
-            ids_of: list = [()] * (sum(len(x) for x in replies["places"].to_pylist()) // 4)
-            for reply in replies.to_pylist():
-                places, lengths, ids = (np.frombuffer(reply[c], np.uint32) for c in ("places", "lengths", "ids"))
+            answers = [
+                [np.frombuffer(unpack(reply[c]), np.uint32) for c in ("places", "lengths", "ids")]
+                for reply in replies.to_pylist()
+            ]
+            ids_of: list = [()] * sum(len(places) for places, _, _ in answers)
+            for places, lengths, ids in answers:
                 ends = np.cumsum(lengths).tolist()
                 ids = ids.tolist()
                 for place, start, end in zip(places.tolist(), [0, *ends[:-1]], ends, strict=True):
