@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ K = 20
 
 #: Bits of a cell: each component is told apart to one of 2**BITS steps between its least and largest value in the block.
 BITS = 5
-#: Vectors in a block of the file, queries in a block of queries, and blocks of the file that one task row meets.
+#: Vectors in a block of the file, about, queries in a block of queries, and blocks of the file that one task row meets.
 VECTORS, QUERIES, SPAN = 4096, 512, 4
 #: Exact vectors read at once, in the order of their bounds.
 READ = 64
@@ -44,41 +43,23 @@ def whole_numbers(vectors: DataFrame, id_column: str = "vec_id", vector: str = "
     )
 
 
-def _blocks(rows: int):
-    """Rows to blocks: ids, per component the least value and the step, the cells, and the exact vectors apart."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-
-        def block(dim: int) -> pa.RecordBatch:
-            ids, vectors = held.pop(dim)
-            exact = np.array(vectors, np.float64).reshape(len(ids), dim)
-            low = exact.min(axis=0) if dim else np.zeros(0)
-            top = exact.max(axis=0) if dim else np.zeros(0)
-            step = np.floor((top - low) / 2**BITS) + 1
-            cells = np.floor((exact - low) / step).astype(np.uint8)
-            values = (
-                uuid.uuid4().int >> 65,  # written once, then only read
-                dim,
-                np.array(ids, np.int64).tobytes(),
-                low.tobytes(),
-                step.tobytes(),
-                cells.tobytes(),
-                exact.tobytes(),
-            )
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, FILE, strict=True)], schema=FILE)
-
-        for batch in batches:
-            for vec_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                ids, vectors = held.setdefault(len(v), ([], []))
-                ids.append(vec_id)
-                vectors.append(v)
-                if len(ids) >= rows:
-                    yield block(len(v))
-        for dim in list(held):
-            yield block(dim)
-
-    return build
+def _blocks(rows: pa.Table) -> pa.Table:
+    """The rows of one deal to a block per dimension: ids, per component the least value and the step, the cells, and the exact vectors apart."""
+    out = []
+    by_dim: dict[int, tuple[list, list]] = {}
+    for vec_id, v in zip(rows["vec_id"].to_pylist(), rows["v"].to_pylist(), strict=True):
+        ids, vectors = by_dim.setdefault(len(v), ([], []))
+        ids.append(vec_id)
+        vectors.append(v)
+    for dim, (ids, vectors) in by_dim.items():
+        exact = np.array(vectors, np.float64).reshape(len(ids), dim)
+        low = exact.min(axis=0) if dim else np.zeros(0)
+        top = exact.max(axis=0) if dim else np.zeros(0)
+        step = np.floor((top - low) / 2**BITS) + 1
+        cells = np.floor((exact - low) / step).astype(np.uint8)
+        numbers = (np.array(ids, np.int64), low, step, cells, exact)
+        out.append((rows["block"][0].as_py(), dim, *(x.tobytes() for x in numbers)))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), FILE, strict=True)], schema=FILE)
 
 
 def bounds(queries: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,25 +154,28 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "emb
     """
     numbers = whole_numbers(vectors, vector=vector)
     same = Window.partitionBy("v").orderBy("vec_id")
+    distinct = materialise(
+        numbers.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).drop("_n"), "va_vectors"
+    )
+    blocks = max(1, -(-distinct.count() // VECTORS))
     stored = (
-        numbers.withColumn("_n", F.row_number().over(same))
-        .filter(F.col("_n") <= k + 1)
-        .drop("_n")
-        .mapInArrow(_blocks(VECTORS), "block bigint, dim int, ids binary, low binary, step binary, cells binary, exact binary")
+        distinct.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
+        .groupBy("block")
+        .applyInArrow(_blocks, "block bigint, dim int, ids binary, low binary, step binary, cells binary, exact binary")
     )
     file = materialise(stored, "va_file")
     queries = materialise(
         numbers.filter(F.col("vec_id") % every == 0).withColumn("row", F.monotonically_increasing_id()), "va_queries"
     )
     q_blocks = max(1, -(-queries.count() // QUERIES))
-    spans = max(1, -(-file.count() // SPAN))
+    spans = max(1, -(-blocks // SPAN))
     dealt = (
         queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id", "row"), F.lit(q_blocks)))
         .groupBy("q_block")
         .applyInArrow(_query_block, "q_block bigint, q_dim int, q_rows binary, q_ids binary, q_exact binary")
         .withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
     )
-    grid = file.withColumn("span", F.pmod("block", F.lit(spans)).cast("int")).withColumn(
+    grid = file.withColumn("span", (F.col("block") % spans).cast("int")).withColumn(
         "q_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint")))
     )
     found = grid.join(dealt, ["q_block", "span"]).mapInArrow(
