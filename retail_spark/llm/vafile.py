@@ -22,6 +22,8 @@ BITS = 5
 VECTORS, QUERIES, SPAN = 4096, 512, 4
 #: Exact vectors read at once, in the order of their bounds.
 READ = 64
+#: Bounds are exact for whole numbers up to this; blocks with larger ones are read whole.
+EXACT = 2.0**21
 
 FILE = pa.schema(
     [(n, t) for n, t in (("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("low", pa.binary()), ("step", pa.binary()), ("cells", pa.binary()), ("exact", pa.binary()))]
@@ -31,9 +33,13 @@ FOUND = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.
 
 def whole_numbers(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v): each component x as floor(64 x). Rows with a null id, vector or component, or a component that is not finite, go."""
-    v = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+    def whole(x):  # floor() gives a bigint; beyond 2**53 a double has no fraction
+        y = x.cast("double") * SCALE
+        return F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)
+
+    v = F.transform(F.col(vector), whole)
     finite = F.forall(
-        F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(2.0**40))
+        F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))
     )
     return (
         vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(vector).alias(vector))
@@ -55,8 +61,9 @@ def _blocks(rows: pa.Table) -> pa.Table:
         exact = np.array(vectors, np.float64).reshape(len(ids), dim)
         low = exact.min(axis=0) if dim else np.zeros(0)
         top = exact.max(axis=0) if dim else np.zeros(0)
-        step = np.floor((top - low) / 2**BITS) + 1
-        cells = np.floor((exact - low) / step).astype(np.uint8)
+        with np.errstate(all="ignore"):  # cells of blocks with numbers beyond EXACT are not used
+            step = np.floor((top - low) / 2**BITS) + 1
+            cells = np.floor((exact - low) / step).astype(np.uint8)
         numbers = (np.array(ids, np.int64), low, step, cells, exact)
         out.append((rows["block"][0].as_py(), dim, *(x.tobytes() for x in numbers)))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), FILE, strict=True)], schema=FILE)
@@ -103,10 +110,15 @@ def _search(k: int):
                 exact = real("exact").reshape(len(ids), dim)
                 rows, q_ids = (np.frombuffer(pair[name], np.int64) for name in ("q_rows", "q_ids"))
                 queries = real("q_exact").reshape(len(q_ids), dim)
-                least, most = bounds(queries, real("low"), real("step"), cells)
+                if max(np.abs(exact).max(initial=0), np.abs(queries).max(initial=0)) <= EXACT:
+                    least, most = bounds(queries, real("low"), real("step"), cells)
+                else:
+                    least, most = (np.full((len(q_ids), len(ids)), x) for x in (-np.inf, np.inf))
                 out = [[], [], [], []]
                 for i in range(len(q_ids)):
                     scores, found = nearest(queries[i], ids == q_ids[i], least[i], most[i], ids, exact, k)
+                    if not (np.abs(scores) < 2.0**63).all():
+                        raise OverflowError(f"a score of query {q_ids[i]} is no bigint")
                     for column, values in zip(
                         out, (np.full(len(found), rows[i]), np.full(len(found), q_ids[i]), found, scores.astype(np.int64)), strict=True
                     ):
@@ -147,16 +159,16 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "emb
     rows. Every meeting leaves at most k rows a query, and a
     rank limit takes the best of them.
 
-    Of rows with the same vector, however many, only the k + 1 of smallest id can be among the best, so
-    the rest are left out of the file by a rank limit before it is built. All
-    rows with a query's own id are its own. Repeated query rows are answered
+    Of rows with the same vector, however many, only those of the k + 1 smallest ids can be among the best, as a
+    query's own id takes one of them at most, and of each id k rows. The rest are left out of the file by rank
+    limits before it is built. All rows with a query's own id are its own. A score that is no bigint is an error, as in SQL. Repeated query rows are answered
     each. Vectors of different length do not meet. Ties go to the smaller id.
     """
     numbers = whole_numbers(vectors, vector=vector)
+    repeated = Window.partitionBy("v", "vec_id").orderBy("vec_id")
     same = Window.partitionBy("v").orderBy("vec_id")
-    distinct = materialise(
-        numbers.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).drop("_n"), "va_vectors"
-    )
+    few = numbers.withColumn("_n", F.row_number().over(repeated)).filter(F.col("_n") <= k)
+    distinct = materialise(few.withColumn("_n", F.dense_rank().over(same)).filter(F.col("_n") <= k + 1).drop("_n"), "va_vectors")
     blocks = max(1, -(-distinct.count() // VECTORS))
     stored = (
         distinct.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
