@@ -116,14 +116,15 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
 def pack(parts: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset: pieces in windows of ``window`` ids, gapless from 0.
 
-    ``parts`` is a written table of pieces. It is dealt by hash into groups of about ``group`` pieces,
+    ``parts`` is a written table of pieces. It is dealt by hash of row and number into groups of about ``group`` pieces, repeated rows too,
     and each group is packed by best-fit decreasing. Ids of windows are the
     group's number above 32 bits of the window's; ties go by the pieces' other columns.
     """
     n = parts.count()
     groups = max(1, -(-n // group))
     columns = [c for c in parts.columns if c not in ("sequence_id", "offset", "_group")]
-    key = F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups)).cast("int")
+    number = F.monotonically_increasing_id()  # the same on every reading of a written table; tells repeated rows apart
+    key = F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", number), F.lit(groups)).cast("int")
     schema = T.StructType(
         [*parts.select(*columns).schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
