@@ -47,6 +47,9 @@ ALLOWED = (
     r"abcdefghij",
     r"deadbeef",
 )
+#: Runs and counting strings stand in long keys by chance or by format, so they clear the windows they touch; words clear the candidate.
+ALLOWED_RUNS = (r"x{6}", r"0{8}", r"(.)\1{7}", r"0123456789", r"abcdefghij", r"deadbeef")
+ALLOWED_WORDS = tuple(p for p in ALLOWED if p not in ALLOWED_RUNS)
 
 
 def _spans(text: Column, kind: str, pattern: str, keep=lambda m: F.lit(True)) -> Column:
@@ -68,12 +71,13 @@ def _gain(count: Column) -> Column:
     return F.get(table, count)
 
 
-def high_entropy(candidate: Column, alphabet: str, bits: float) -> Column:
-    """(first, end) of the windows of ``candidate`` whose entropy is at least ``bits``; null without one.
+def high_entropy(candidate: Column, alphabet: str, bits: float, cleared: Column) -> Column:
+    """(first, end) of the windows of ``candidate`` whose entropy is at least ``bits`` and that touch no run of ``cleared``; null without one.
 
     The window slides by one character. Its entropy is log2 W - (sum of c log2 c)/W;
     the counts c and that sum are carried along, and only the character that
-    enters and the one that leaves change them.
+    enters and the one that leaves change them. So is the place of the first run of ``cleared``, an
+    array of (start, end) in order, that ends behind the window's start.
     """
     n = len(alphabet)
     start = F.struct(
@@ -81,6 +85,7 @@ def high_entropy(candidate: Column, alphabet: str, bits: float) -> Column:
         F.lit(0.0).cast("double").alias("sum"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
+        F.lit(0).alias("run"),
     )
     least = WINDOW * (math.log2(WINDOW) - bits)  # the sum may be this at most
 
@@ -105,12 +110,17 @@ def high_entropy(candidate: Column, alphabet: str, bits: float) -> Column:
                         - F.when(k == leaves, 1).otherwise(0),
                     )
                 )
-                hit = (i >= WINDOW - 1) & (total <= least + 1e-9)
+                begin = i - (WINDOW - 1)
+                passed = F.coalesce(F.get(cleared, state["run"])["end"] <= begin, F.lit(False))
+                run = F.when(passed, state["run"] + 1).otherwise(state["run"])  # one at a time: runs are longer than a step
+                touched = F.coalesce(F.get(cleared, run)["start"] <= i, F.lit(False))
+                hit = (i >= WINDOW - 1) & (total <= least + 1e-9) & ~touched
                 return F.struct(
                     counts.alias("counts"),
                     total.alias("sum"),
                     F.when(hit & state["first"].isNull(), i - (WINDOW - 1)).otherwise(state["first"]).alias("first"),
                     F.when(hit, i + 1).otherwise(state["last"]).alias("last"),
+                    run.alias("run"),
                 )
 
             return let(
@@ -131,6 +141,10 @@ def high_entropy(candidate: Column, alphabet: str, bits: float) -> Column:
 
 def _entropy_spans(text: Column) -> Column:
     """Spans of the entropy method: one per candidate that mixes letters and digits, is not allowed, and has a window."""
+    runs = lambda m: F.transform(
+        find_all(F.lower(m), "|".join(ALLOWED_RUNS), F.length),
+        lambda r: F.struct(r["start"].alias("start"), (r["start"] + F.length(r["match"])).alias("end")),
+    )
     lower_hex = lambda m: m.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
 
     def found(candidates: Column) -> Column:
@@ -141,7 +155,7 @@ def _entropy_spans(text: Column) -> Column:
                 F.transform(
                     F.filter(candidates, lambda m: of_class(m["match"])),
                     lambda m: let(
-                        high_entropy(fold(m["match"]), alphabet, bits),
+                        let(runs(m["match"]), lambda cleared: high_entropy(fold(m["match"]), alphabet, bits, cleared)),
                         lambda w: F.when(
                             w.isNotNull(),
                             F.struct(
@@ -160,7 +174,7 @@ def _entropy_spans(text: Column) -> Column:
             spans("entropy_hex", lower_hex), spans("entropy_base64", lambda m: ~lower_hex(m))
         )
 
-    suspect = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~F.lower(m).rlike("|".join(ALLOWED))
+    suspect = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~F.lower(m).rlike("|".join(ALLOWED_WORDS))
     return let(F.filter(find_all(text, CANDIDATE, F.length), lambda m: suspect(m["match"])), found)
 
 
@@ -170,7 +184,7 @@ def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     Places are code points, ends exclusive. Kinds assign, access and hex are the
     base patterns, each leftmost and non-overlapping, and never suppressed. The
     entropy kinds slide a window over every candidate string of the text; the
-    allow-list clears placeholders, counting strings and the like. Spans of
+    allow-list clears placeholder words' candidates, and the windows that touch a run or a counting string. Spans of
     different kinds may overlap.
 
     A null text reads as empty and has no spans. Repeated rows are scanned each
