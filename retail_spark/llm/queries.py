@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retail_spark.llm import bpe, hpylm, licenses, linededup, neardup, packing, passages, quality, secrets, vafile
+from retail_spark.llm import (
+    bpe,
+    divergence,
+    fingerprints,
+    hpylm,
+    licenses,
+    linededup,
+    neardup,
+    packing,
+    passages,
+    quality,
+    resampling,
+    secrets,
+    vafile,
+)
 from retail_spark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,9 +41,16 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": _over("documents", quality.quality_report),
     "op9_shared_passages": _over("documents", passages.shared_passages),
     "op10_packing": _over("documents", packing.packing_report),
+    "op11_source_divergence": _over("documents", divergence.divergences),
+    "op12_importance_resampling": lambda spark, folder: resampling.importance(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    ),
+    "op13_fingerprints": _over("documents", fingerprints.fingerprint_report),
 }
 
 ORACLE: dict[str, str] = {
     "op4_top_k_search": vafile.TOP_K_SQL,
     "op7_line_dedup": linededup.REPORT_SQL,
+    "op11_source_divergence": divergence.AUDIT_SQL,
+    "op12_importance_resampling": resampling.IMPORTANCE_SQL,
 }

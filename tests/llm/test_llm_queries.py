@@ -14,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from __spark_entry__ import oracle_sql, queries
+from retail_spark.llm import fingerprints
 from retail_spark.llm.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -42,7 +43,7 @@ def picked(rows, *names):
 
 def test_all_are_registered():
     names = sorted(k for k in queries() if k.startswith("op") or k == "pipeline")
-    assert [n.split("_")[0] for n in names] == sorted([*(f"op{n}" for n in range(1, 11)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{n}" for n in range(1, 14)), "pipeline"])
     assert set(ORACLE) <= set(oracle_sql())
 
 
@@ -71,10 +72,14 @@ def test_license_base(result, documents):
         assert 0 <= r.score <= 1
 
 
-def test_secret_base(result, documents):
-    found = picked(result("op3_secret_scan"), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+def test_secret_base(spark):
+    folder = "/root/testdata/sf0.01"  # the smallest table that holds secrets of every kind
+    documents = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    rows = QUERIES["op3_secret_scan"](spark, folder).collect()
+    assert sum(r.n_assign for r in rows) and sum(r.n_hex for r in rows)
+    found = picked(rows, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
     assert found == sorted(((d, *brute.secret_base(t)) for d, t in documents), key=repr)
-    for r in result("op3_secret_scan"):
+    for r in rows:
         base = [s for s in r.spans.split(",") if s and not s.startswith("entropy")]
         assert brute.sha(",".join(base)) == r.base_sha256
 
@@ -119,6 +124,27 @@ def test_shared_passages_cover_all_common_windows(result, documents):
         assert all({i, i + 49} <= covered[d] for i in places)
 
 
+def check_fingerprints(rows, ordered):
+    """``ordered``: (doc_id, text), each followed by the next, the last by the first."""
+    texts = [t or "" for _, t in ordered]
+    after = texts[1:] + texts[:1]
+    edited = [t[: len(t) - len(t) // 3] + a[: len(t) // 3] for t, a in zip(texts, after, strict=True)]
+    prints, edits, nexts = map(fingerprints.fingerprints, (texts, edited, after))
+    expected = [
+        (d, len(t), brute.sha(e), p.hex(), q.hex(), fingerprints.likeness(p, q), fingerprints.likeness(p, n))
+        for (d, _), t, e, p, q, n in zip(ordered, texts, edited, prints, edits, nexts, strict=True)
+    ]
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert picked(rows, *names) == sorted(expected, key=repr)
+
+
+def test_fingerprints(result, documents):
+    rows = result("op13_fingerprints")
+    check_fingerprints(rows, sorted(documents, reverse=True))
+    long = [r for r in rows if r.n_chars >= 300]
+    assert np.mean([r.near_edited for r in long]) > 0.4 and np.mean([r.near_next for r in long]) < 0.05
+
+
 def check_packing(rows, documents):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     pieces, windows = defaultdict(list), defaultdict(list)
