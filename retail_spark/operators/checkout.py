@@ -73,12 +73,13 @@ def apply_stock(products: DataFrame, accepted_items: DataFrame) -> DataFrame:
 
 
 def resolve_customers(
-    customers: DataFrame, requests: DataFrame, order: str = "request_id"
+    customers: DataFrame, requests: DataFrame, order: str = "request_id", largest: Column | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The buyer of every request by address, creating those not known yet.
 
     ``requests`` has (request_id, name, email) and ``order``, by which the first request of
     an address names the new buyer. Returns (customers, request_id with customer_id, rejects without address).
+    New ids follow ``largest``, or the largest in ``customers`` where it is not given.
     """
     good, bad = split_by_rules(requests, [("missing_email", ~sem.has_text("email"))])
     known = customers.groupBy("email").agg(F.min("customer_id").alias("customer_id"))
@@ -88,7 +89,8 @@ def resolve_customers(
         .select("email", "_v.*")
         .join(known, "email", "left_anti")
     )
-    largest = customers.agg(F.coalesce(F.max("customer_id"), F.lit(0)).cast("bigint").alias("m")).scalar()
+    if largest is None:
+        largest = customers.agg(F.coalesce(F.max("customer_id"), F.lit(0)).cast("bigint").alias("m")).scalar()
     numbered = number_rows(first, ["_order", "email"], "_seq", "new_customers")
     created = numbered.select(
         (F.col("_seq") + largest).alias("customer_id"),
@@ -108,16 +110,19 @@ def new_order_status(method: str | Column = "method") -> Column:
     )
 
 
-def build_orders(heads: DataFrame, totals: DataFrame, buyers: DataFrame, orders: DataFrame | None = None) -> DataFrame:
-    """Order rows of accepted requests, numbered after the largest order in arrival order.
+def build_orders(
+    heads: DataFrame, totals: DataFrame, buyers: DataFrame, orders: DataFrame | None = None, largest: Column | None = None
+) -> DataFrame:
+    """Order rows of accepted requests, numbered in arrival order after ``largest`` or the largest of ``orders``.
 
-    Without ``orders`` the request id serves as order id.
+    Without either the request id serves as order id.
     """
     rows = heads.join(totals, "request_id").join(buyers, "request_id")
-    if orders is None:
+    if orders is None and largest is None:
         numbered = rows.withColumn("order_id", F.col("request_id"))
     else:
-        largest = orders.agg(F.coalesce(F.max("order_id"), F.lit(0)).cast("bigint").alias("m")).scalar()
+        if largest is None:
+            largest = orders.agg(F.coalesce(F.max("order_id"), F.lit(0)).cast("bigint").alias("m")).scalar()
         numbered = number_rows(rows, ["created_at", "request_id"], "_seq", "new_orders").withColumn(
             "order_id", F.col("_seq") + largest
         )

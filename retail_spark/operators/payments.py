@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_spark import constants
 from retail_spark.functions import semantics as sem
-from retail_spark.functions.scale import ROWS_PER_SPLIT, hot_keys, salted_join
+from retail_spark.functions.scale import ROWS_PER_SPLIT, number_rows
+from retail_spark.operators.admission import admit_orders
+from retail_spark.operators.checkout import apply_stock, build_order_lines, build_orders, resolve_customers
 from retail_spark.operators.maintenance import split_by_rules
+from retail_spark.session import materialise
 
 SIGNED_FIELDS = ["reference", "amount_in_cents", "currency", "status", "sent_at"]
 MICROS_PER_MINUTE = 60_000_000
@@ -55,6 +60,74 @@ def verify_signature(events: DataFrame, secret: str) -> DataFrame:
     return events.withColumn("verdict", signature_verdict(secret))
 
 
+def event_order(events: DataFrame) -> list[Column]:
+    """What tells events of one instant apart: sending time, event id where there is one, then all else they say."""
+    named = [F.col("event_id")] if "event_id" in events.columns else []
+    return [F.col("sent_at"), *named, F.col("status"), F.xxhash64(*[F.col(c) for c in events.columns])]
+
+
+def attempts_in_force(
+    attempts: DataFrame, events: DataFrame, minutes: int, approval_ends: bool, rows_per_block: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """(event, attempt): every event, as a struct, with the attempt that waits under its reference when it comes, or null.
+
+    Storing an attempt replaces the one before; ``minutes`` later its timer deletes whatever then waits there, a newer
+    attempt too. Declined, voided and failed payments delete it, and so do approvals where ``approval_ends``. At one
+    instant timers go first, then attempts, then events in the order of ``event_order``; rows that are equal in all
+    columns are each taken once, in any order. Events without reference find nothing.
+
+    All of these are one log by reference and time, numbered in that order and cut into blocks of ``rows_per_block`` numbers, so a
+    reference with any number of rows is spread. What is in force before a row is the last action before it in its block, or
+    else what the blocks before leave.
+    """
+    at = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
+    rows = lambda frame: F.struct(*[F.col(c) for c in frame.columns])
+    order = event_order(events)
+    ties = [f"_t{i}" for i in range(4)]
+    no_event, no_attempt = (F.lit(None).cast(df.select(rows(df).alias("r")).schema["r"].dataType) for df in (events, attempts))
+    nothing = [F.lit(None).cast(kind).alias(t) for t, kind in zip(ties, ("bigint", "bigint", "string", "bigint"), strict=True)]
+    ends = F.col("status").isin(TERMINAL_STATUSES if approval_ends else constants.CLOSING_STATUSES)
+    cleared, put = F.struct(no_attempt.alias("attempt")), F.struct(rows(attempts).alias("attempt"))
+    by_attempt = [F.xxhash64(*[F.col(c) for c in attempts.columns]).alias(ties[3])]
+    number = F.col("attempt_id") if "attempt_id" in attempts.columns else F.col("order_id")
+    by_attempt = [number.cast("bigint").alias(ties[0]), *nothing[1:3], *by_attempt]
+    if "event_id" not in events.columns:
+        order.insert(1, F.lit(None))
+    log = (
+        attempts.select("reference", at("attempted_at").alias("_at"), F.lit(1).alias("_rank"), *by_attempt,
+                        no_event.alias("event"), put.alias("_act"))
+        .unionByName(attempts.select("reference", (at("attempted_at") + minutes * MICROS_PER_MINUTE).alias("_at"), F.lit(0).alias("_rank"),
+                                     *nothing, no_event.alias("event"), cleared.alias("_act")))
+        .unionByName(events.select("reference", at("event_ts").alias("_at"), F.lit(2).alias("_rank"),
+                                   *[c.cast(n.split()[1]).alias(n.split()[0]) for c, n in zip(order, ("_t0 bigint", "_t1 bigint", "_t2 string", "_t3 bigint"), strict=True)],
+                                   rows(events).alias("event"), F.when(ends, cleared).alias("_act")))
+    )
+    numbered = number_rows(log, ["reference", "_at", "_rank", *ties], "_seq", "payment_log").select(
+        "reference", "_seq", F.floor(F.col("_seq") / rows_per_block).alias("_block"), "event", "_act"
+    )
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    left = numbered.groupBy("reference", "_block").agg(
+        F.max_by("_act", F.when(F.col("_act").isNotNull(), F.col("_seq"))).alias("_act")
+    )
+    carried = left.select(
+        "reference", "_block", F.last("_act", ignorenulls=True).over(before("reference").orderBy("_block")).alias("_carried")
+    ).filter(F.col("_carried").isNotNull())
+    here = F.last("_act", ignorenulls=True).over(before("reference", "_block").orderBy("_seq"))
+    return (
+        numbered.withColumn("_here", here)
+        .filter(F.col("event").isNotNull())
+        .join(carried, ["reference", "_block"], "left")
+        .select("event", F.coalesce("_here", "_carried")["attempt"].alias("attempt"))
+    )
+
+
+def signed_events(events: DataFrame, secret: str) -> tuple[DataFrame, DataFrame]:
+    """Events that may count, and the others with ``outcome`` incomplete or bad_signature."""
+    checked = verify_signature(events, secret)
+    good = checked.filter(F.col("verdict") == "ok").drop("verdict")
+    return good, checked.filter(F.col("verdict") != "ok").withColumnRenamed("verdict", "outcome")
+
+
 def match_payments(
     attempts: DataFrame,
     events: DataFrame,
@@ -64,48 +137,116 @@ def match_payments(
 ) -> DataFrame:
     """What each payment event does, with the order it settles: one row per event.
 
-    outcome is incomplete, bad_signature, not_found (no attempt, too late, or settled before),
-    approved, closed (declined, voided, failed) or waiting. An attempt lives ``minutes`` from its
-    first storing; the first approving or closing event in that time ends it.
+    outcome is incomplete, bad_signature, not_found (no attempt waits under the reference), approved, closed
+    (declined, voided, failed) or waiting. Which attempt waits when is told by ``attempts_in_force``; an approval ends it.
     """
-    checked = verify_signature(events, secret)
-    stored = attempts.groupBy("reference").agg(
-        F.min_by(F.struct("order_id", "user_id", "total", "attempted_at"), "attempted_at").alias("_attempt")
-    ).select("reference", "_attempt.*")
-    hot = hot_keys(events, ["reference"], rows_per_split)
-    spread = ["sent_at", "event_ts"]
-    age = F.unix_micros(F.col("event_ts").cast("timestamp")) - F.unix_micros(F.col("attempted_at").cast("timestamp"))
-    alive = F.coalesce(
-        (F.col("verdict") == "ok") & (age >= 0) & (age < minutes * MICROS_PER_MINUTE), F.lit(False)
-    )
-    now = F.struct("event_ts", "sent_at")
-    # When each attempt ended: only events that can end one are looked at, and they are
-    # reduced in every map task before they meet the others of their reference.
-    enders = checked.filter((F.col("verdict") == "ok") & F.col("status").isin(TERMINAL_STATUSES)).select(
-        "reference", *spread, "verdict"
-    )
-    ended = (
-        salted_join(enders, stored.select("reference", "attempted_at"), ["reference"], spread, hot=hot)
-        .filter(alive)
-        .groupBy("reference")
-        .agg(F.min(now).alias("_end"))
+    good, bad = signed_events(events, secret)
+    found = attempts_in_force(attempts, good, minutes, True, rows_per_split)
+    outcome = (
+        F.when(F.col("attempt").isNull(), F.lit("not_found"))
+        .when(F.col("event.status") == constants.APPROVED, F.lit("approved"))
+        .when(F.col("event.status").isin(constants.CLOSING_STATUSES), F.lit("closed"))
+        .otherwise(F.lit("waiting"))
     )
+    names = ["reference", "status", "sent_at", "event_ts"]
+    settled = [F.when(F.col("outcome") == "approved", F.col(f"attempt.{c}")).alias(c) for c in ("order_id", "total")]
+    matched = found.withColumn("outcome", outcome).select(*[f"event.{c}" for c in names], "outcome", *settled)
+    return matched.unionByName(bad.select(*names, "outcome"), allowMissingColumns=True)
+
+
+@dataclass
+class Settlement:
+    """What a batch of payment events changes: new orders and what goes with them, and the answer to every event."""
+
+    orders: DataFrame
+    lines: DataFrame
+    products: DataFrame
+    customers: DataFrame
+    outcomes: DataFrame
+    consumed: DataFrame
+
+
+def settle_payments(
+    attempts: DataFrame,
+    events: DataFrame,
+    secret: str,
+    products: DataFrame,
+    customers: DataFrame,
+    orders: DataFrame | None,
+    minutes: int = constants.PAYMENT_LIFETIME_MINUTES,
+    largest_order: Column | None = None,
+    largest_customer: Column | None = None,
+) -> Settlement:
+    """Paid orders of a batch of events, as if each was handled alone in order of event time, sending time and event id.
+
+    ``attempts`` has attempt_id (unique), reference, items, total, user_id, customer and attempted_at; ``events`` has a
+    unique event_id, what is signed, event_ts, and the payer's data. An approval makes an order of the waiting attempt
+    at the attempt's prices if the payer gave an address and every item is in stock; then the attempt is gone. One that
+    fails (outcome failed) leaves it waiting. Stock only falls within a batch, so of an attempt's approvals with an address the
+    first one alone can succeed; no other is tried.
+
+    Results: ``outcomes`` has one row per event (event_id, reference, outcome, order_id); ``consumed`` the attempt_id of each
+    order; ``products`` and ``customers`` are the whole new tables. Ids follow the largest there is, or the numbers given.
+    """
+    good, bad = signed_events(events, secret)
+    found = materialise(attempts_in_force(attempts, good, minutes, False), "in_force")
+    moment = F.struct("event.event_ts", "event.sent_at", "event.event_id")
+    tried = (
+        found.filter(F.col("attempt").isNotNull() & (F.col("event.status") == constants.APPROVED) & sem.has_text("event.customer_email"))
+        .groupBy("attempt.attempt_id")
+        .agg(F.min_by(F.struct("event", F.col("attempt")), moment).alias("_first"))
+        .select("_first.*")
+    )
+    heads = number_rows(
+        paid_order_heads(
+            tried.select(
+                "event.*", F.col("attempt.attempt_id").alias("attempt_id"), F.col("attempt.total").alias("total"),
+                F.nullif(F.col("attempt.user_id"), F.lit(0)).alias("user_id"),
+                F.col("attempt.customer.fullName").alias("attempt_name"), F.col("attempt.customer.phone").alias("attempt_phone"),
+                F.col("attempt.items").alias("items"), F.col("event.event_ts").alias("created_at"),
+            )
+        ),
+        ["event_ts", "sent_at", "event_id"], "request_id", "approvals",
+    )
+    wanted = heads.select("request_id", F.explode("items").alias("_i")).select(
+        "request_id", "_i.product_id", "_i.quantity", F.col("_i.price").alias("unit_price")
+    )
+    decided = admit_orders(wanted, products.select("product_id", "stock"), seq="request_id")
+    won = materialise(
+        heads.join(decided.filter("accepted").select("request_id"), "request_id", "left_semi"), "settled"
+    )
+    buyers, buyer_of, _ = resolve_customers(customers, won.select("request_id", "name", "email"), largest=largest_customer)
+    made = materialise(
+        build_orders(won.drop("total"), won.select("request_id", "total"), buyer_of, orders, largest=largest_order), "paid_orders"
+    )
+    sold = wanted.join(won.select("request_id"), "request_id", "left_semi")
+    winners = won.join(made.select("request_id", "order_id"), "request_id").select(
+        "attempt_id", F.struct("event_ts", "sent_at", "event_id").alias("_won"), F.col("order_id").alias("_order")
+    )
+    is_winner = F.coalesce(F.col("_moment") == F.col("_won"), F.lit(False))
     outcome = (
-        F.when(F.col("verdict") != "ok", F.col("verdict"))
-        .when(~alive | (now > F.col("_end")), F.lit("not_found"))
-        .when(F.col("status") == constants.APPROVED, F.lit("approved"))
+        F.when(F.col("_moment") > F.col("_won"), F.lit("not_found"))
+        .when(is_winner, F.lit("approved"))
+        .when(F.col("status") == constants.APPROVED, F.lit("failed"))
         .when(F.col("status").isin(constants.CLOSING_STATUSES), F.lit("closed"))
         .otherwise(F.lit("waiting"))
     )
-    settles = F.col("outcome") == "approved"
-    return (
-        salted_join(checked, stored.join(ended, "reference", "left"), ["reference"], spread, "left", hot)
+    lost = found.filter(F.col("attempt").isNull()).select("event.event_id", "event.reference", F.lit("not_found").alias("outcome"))
+    outcomes = (
+        found.filter(F.col("attempt").isNotNull())
+        .select("event.event_id", "event.reference", "event.status", "attempt.attempt_id", moment.alias("_moment"))
+        .join(winners, "attempt_id", "left")
         .withColumn("outcome", outcome)
-        .select(
-            "reference", "status", "sent_at", "event_ts", "outcome",
-            F.when(settles, F.col("order_id")).alias("order_id"),
-            F.when(settles, F.col("total")).alias("total"),
-        )
+        .select("event_id", "reference", "outcome", F.when(is_winner, F.col("_order")).alias("order_id"))
+        .unionByName(lost.unionByName(bad.select("event_id", "reference", "outcome")), allowMissingColumns=True)
+    )
+    return Settlement(
+        orders=made.drop("request_id"),
+        lines=build_order_lines(made, sold),
+        products=apply_stock(products, sold),
+        customers=buyers,
+        outcomes=outcomes,
+        consumed=winners.select("attempt_id"),
     )
 
 

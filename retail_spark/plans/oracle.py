@@ -140,6 +140,26 @@ VIEWS = {
     "payment_event": "select reference, amount_in_cents, currency, status, sent_at, event_ts, case when altered then "
     f"'tampered' else sha256(reference || amount_in_cents || currency || status || sent_at || '{TEST_SECRET}') end "
     "as checksum from payment_event_raw",
+    "payment_put": "select o_orderkey * 4 + again as attempt_id, 'ref_' || case when o_orderkey % 40 = 0 then 0 else o_orderkey end "
+    "as reference, case when again = 1 then lines[:2] else lines end as items, cast(o_totalprice as decimal(18,2)) as total, "
+    "nullif(o_custkey, 0) as user_id, case when o_orderkey % 7 = 0 then null else 'Comprador ' || o_custkey end as full_name, "
+    "'310' || o_custkey as phone, o_orderdate + again * (o_orderkey % 45) * interval '1' minute as attempted_at "
+    "from orders join (select l_orderkey as o_orderkey, list({'product_id': l_partkey, 'quantity': cast(l_quantity as int), "
+    "'price': cast(l_extendedprice as decimal(18,2))} order by l_linenumber, l_partkey, l_quantity, l_extendedprice) as lines from "
+    "lineitem group by 1) using (o_orderkey), (select unnest([0, 1]) as again) where again = 0 or o_orderkey % 3 = 1",
+    "payment_notice": "select o_orderkey * 8 + place as event_id, 'ref_' || case when o_orderkey % 40 = 0 then 0 else o_orderkey end as "
+    "reference, cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as amount_in_cents, 'COP' as currency, "
+    f"case place when 1 then {pick(['APPROVED', 'VOIDED', 'APPROVED'], 'o_orderkey % 3')} when 3 then "
+    f"{pick(['VOIDED', 'APPROVED', 'DECLINED'], 'o_orderkey % 3')} else "
+    f"{pick(['DECLINED', 'APPROVED', 'APPROVED', 'PENDING', 'ERROR'], 'o_orderkey % 5')} end as status, "
+    "o_orderkey * 2 + case when place = 1 then 2 else 1 end as sent_at, o_orderdate + case when place = 1 then o_orderkey % 23 + 10 "
+    "else o_orderkey % 41 end * interval '1' minute as event_ts, (o_orderkey + place) % 17 <> 0 as ok, "
+    "case when o_orderkey % 29 = 0 then null else 'guest' || o_custkey || '@example.com' end as customer_email, "
+    "case when o_orderkey % 6 = 0 then '' else 'Guest ' || o_custkey end as full_name, 'Calle ' || o_custkey as address_line_1, "
+    "case when o_orderkey % 2 = 0 then 'Apto 1' end as address_line_2, 'Atlantico' as region, 'Barranquilla' as city, "
+    "case when o_orderkey % 5 = 0 then null else '300' || o_custkey end as phone_number "
+    "from orders, (select unnest([0, 1, 2, 3]) as place) where place < 2 or (place = 2 and o_orderkey % 4 < 2) "
+    "or (place = 3 and o_orderkey % 9 < 3)",
     "cart_event": "select event_id, user_id, event_id % 20 as product_id, case event_type when 'purchase' then 'set' "
     "when 'error' then 'remove' when 'signup' then 'clear' else 'add' end as kind, "
     "cast(event_id % 7 as int) as quantity, ts from ev",

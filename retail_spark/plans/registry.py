@@ -899,6 +899,130 @@ def _(s: Store):
     return payments.match_payments(s.payment_attempts(), s.payment_events(), TEST_SECRET)
 
 
+def waiting_sql(approval_ends: bool) -> str:
+    """Views ``acts``, ``under_way`` and ``noticed``: each reference's log handled one by one, and each signed event with the attempt it finds.
+
+    ``under_way`` steps through all references at once: its row n holds what waits after a reference's n-th action.
+    """
+    ends = oracle.listed([*([constants.APPROVED] if approval_ends else []), *constants.CLOSING_STATUSES])
+    return (
+        "acts as materialized (select *, row_number() over (partition by reference order by moment, kind, t0, t1) as n from ("
+        "select reference, attempted_at + interval '30' minute as moment, 0 as kind, attempt_id as t0, 0 as t1, cast(null as varchar) as "
+        "status from payment_put union all select reference, attempted_at, 1, attempt_id, 0, null from payment_put union all "
+        "select reference, event_ts, 2, sent_at, event_id, status from payment_notice where ok)), "
+        "under_way as (select reference, cast(0 as bigint) as n, cast(null as bigint) as held, cast(null as bigint) as found "
+        "from (select distinct reference from acts) union all select a.reference, a.n, case a.kind when 0 then null when 1 then a.t0 "
+        f"else case when a.status in ({ends}) then null else u.held end end, u.held from under_way u join acts a on a.reference = u.reference and "
+        "a.n = u.n + 1), noticed as materialized (select e.*, u.found from under_way u join acts a using (reference, n) join payment_notice e "
+        "on e.event_id = a.t1 where a.kind = 2)"
+    )
+
+
+@query(
+    "match_payments_log",
+    f"select * from (with recursive {waiting_sql(True)} select event_id, reference, case when found is null then 'not_found' when status = "
+    f"'APPROVED' then 'approved' when status in ({oracle.listed(constants.CLOSING_STATUSES)}) then 'closed' else 'waiting' end as outcome, "
+    "found as attempt_id from noticed)",
+)
+def _(s: Store):
+    """Attempts stored anew, events delivered twice or at one instant: which attempt each signed event finds."""
+    good, _ = payments.signed_events(s.payment_notices(), TEST_SECRET)
+    found = payments.attempts_in_force(s.payment_puts(), good, constants.PAYMENT_LIFETIME_MINUTES, True)
+    return found.select(
+        "event.event_id", "event.reference",
+        F.when(F.col("attempt").isNull(), F.lit("not_found"))
+        .when(F.col("event.status") == constants.APPROVED, F.lit("approved"))
+        .when(F.col("event.status").isin(constants.CLOSING_STATUSES), F.lit("closed"))
+        .otherwise(F.lit("waiting")).alias("outcome"),
+        "attempt.attempt_id",
+    )
+
+
+def settled_sql(result: str) -> str:
+    """``result`` over all approvals served one by one, in ``tried``: v tells whether one became an order.
+
+    The table under way holds what is left of each product, -1 the last approval served, -2 - 2n the answer to the n-th, and
+    -3 - 2a a row once attempt a became an order.
+    """
+    return (
+        f"select * from (with recursive {waiting_sql(False)}, turns as materialized (select cast(row_number() over (order by event_ts, sent_at, event_id) as "
+        "bigint) as n, event_id, found, needs from noticed join (select attempt_id as found, list({'product_id': product_id, 'need': need, 'take': "
+        "take}) as needs from (select attempt_id, i.product_id as product_id, max(i.quantity) as need, sum(i.quantity) as take from (select attempt_id, "
+        "unnest(items) as i from payment_put) group by all) group by 1) using (found) where status = 'APPROVED' and coalesce(customer_email, '') <> ''), "
+        "served(k, v) using key (k) as (select product_id, cast(stock as bigint) from product union all select -1, cast(0 as bigint) union "
+        "select k, v from (with turn as (select n, found, unnest(needs, recursive := true) from turns where n = (select v + 1 from "
+        "recurring.served where k = -1)), now as (select t.*, coalesce(s.v, 0) as remaining, s.k is not null as known from turn t left join "
+        "recurring.served s on s.k = t.product_id), verdict as (select bool_and(known and remaining >= need) and max(found) not in (select "
+        "(-3 - k) // 2 from recurring.served where k <= -3 and k % 2 <> 0) as ok, min(n) as n, max(found) as a from now having count(*) > 0) "
+        "select -1 as k, n as v from verdict union all select -2 - 2 * n, cast(ok as bigint) from verdict union all select -3 - 2 * a, 1 from verdict "
+        "where ok union all select product_id, cast(greatest(0, remaining - take) as bigint) from now where (select ok from verdict))), "
+        "tried as materialized (select t.*, s.v from turns t join served s on s.k = -2 - 2 * t.n), "
+        "won as materialized (select e.*, t.n, p.items, p.total, p.user_id, coalesce(nullif(e.full_name, ''), nullif(p.full_name, ''), "
+        f"{oracle.quoted(constants.NAMELESS_PAYER)}) as name, coalesce(nullif(e.phone_number, ''), p.phone) as payer_phone from tried t join noticed e using (event_id) join "
+        "payment_put p on p.attempt_id = t.found where t.v = 1), created as materialized (select (select max(customer_id) from buyer) + "
+        "row_number() over (order by n) as customer_id, coalesce(nullif(name, ''), split_part(customer_email, '@', 1)) as first_name, '' as last_name, "
+        "customer_email as email from (select * from won where customer_email not in (select email from buyer) qualify row_number() over "
+        "(partition by customer_email order by n) = 1)), made as materialized (select (select max(order_id) from orders_v) + row_number() over "
+        "(order by n) as order_id, w.*, coalesce(k.customer_id, c.customer_id) as customer_id from won w left join buyer k on k.email = "
+        f"w.customer_email left join created c on c.email = w.customer_email) {result})"
+    )
+
+
+def settled(s: Store) -> payments.Settlement:
+    return payments.settle_payments(s.payment_puts(), s.payment_notices(), TEST_SECRET, s.goods(), s.customers(), s.orders())
+
+
+@query(
+    "settle_payments_orders",
+    settled_sql(
+        f"select order_id, user_id, cast(total as double) as total, {oracle.quoted(constants.STATUS_OF_NEW_PAID_ORDER)} as status, "
+        f"{oracle.quoted(constants.WOMPI)} as payment_method, reference as payment_ref, name as ship_name, trim(coalesce(address_line_1, '') || ' ' || "
+        "coalesce(address_line_2, '')) as ship_address, region as ship_department, city as ship_city, cast(null as varchar) as ship_reference, "
+        "payer_phone as ship_phone, customer_email as ship_email, event_ts as created_at, customer_id from made"
+    ),
+)
+def _(s: Store):
+    return settled(s).orders
+
+
+@query(
+    "settle_payments_lines",
+    settled_sql(
+        "select order_id, i.product_id as product_id, i.quantity as quantity, cast(i.price as double) as unit_price from (select order_id, "
+        "unnest(items) as i from made)"
+    ),
+)
+def _(s: Store):
+    return settled(s).lines
+
+
+@query(
+    "settle_payments_stock",
+    settled_sql("select k as product_id, cast(v as int) as stock from served where k >= 0"),
+)
+def _(s: Store):
+    return settled(s).products.select("product_id", "stock")
+
+
+@query("settle_payments_buyers", settled_sql("select * from buyer union all select * from created"))
+def _(s: Store):
+    return settled(s).customers
+
+
+@query(
+    "settle_payments_outcomes",
+    settled_sql(
+        "select e.event_id, e.reference, case when n.event_id is null then 'bad_signature' when n.found is null or w.n is not null and "
+        "(n.event_ts, n.sent_at, n.event_id) > (w.event_ts, w.sent_at, w.event_id) then 'not_found' when n.event_id = w.event_id then 'approved' when "
+        f"n.status = 'APPROVED' then 'failed' when n.status in ({oracle.listed(constants.CLOSING_STATUSES)}) then 'closed' else 'waiting' end as outcome, "
+        "case when n.event_id = w.event_id then m.order_id end as order_id from payment_notice e left join noticed n using (event_id) left join won w on "
+        "w.found = n.found left join made m on m.event_id = n.event_id"
+    ),
+)
+def _(s: Store):
+    return settled(s).outcomes
+
+
 @query(
     "verify_signature",
     "select reference, sent_at, case when checksum = sha256(reference || amount_in_cents || currency || status || sent_at "

@@ -41,10 +41,17 @@ CHECKOUT_REQUEST = (
 )
 
 PAYMENT_ATTEMPT = (
-    f"reference STRING, items ARRAY<{CART_ITEM}>, total DECIMAL(18,2), user_id BIGINT, "
+    f"attempt_id BIGINT, reference STRING, items ARRAY<{CART_ITEM}>, total DECIMAL(18,2), user_id BIGINT, "
     "customer STRUCT<fullName: STRING, phone: STRING>, attempted_at TIMESTAMP"
 )
 
+# A payment event flattened, with the id under which it was received and the time it came.
+PAYMENT_NOTICE = (
+    "event_id BIGINT, checksum STRING, sent_at BIGINT, reference STRING, status STRING, amount_in_cents BIGINT, currency STRING, "
+    "customer_email STRING, full_name STRING, address_line_1 STRING, address_line_2 STRING, region STRING, city STRING, "
+    "phone_number STRING, event_ts TIMESTAMP_NTZ"
+)
+
 PAYMENT_WEBHOOK = (
     "signature STRUCT<checksum: STRING>, timestamp BIGINT, "
     "data STRUCT<transaction: STRUCT<reference: STRING, status: STRING, amount_in_cents: BIGINT, currency: STRING, "

@@ -442,6 +442,64 @@ class Store:
             f"cast(struct(o_orderkey + 1, 1, 2.00) as {item})) end as items",
         )
 
+    def payment_puts(self) -> DataFrame:
+        """Every order as a stored payment attempt, every third stored once more; some share a reference. Items are the order's lines."""
+        items = self.raw("lineitem").groupBy("l_orderkey").agg(
+            F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))).alias("lines")
+        )
+        first, again = "o_orderkey * 4", "o_orderkey * 4 + 1"
+        columns = [
+            "concat('ref_', case when o_orderkey % 40 = 0 then 0 else o_orderkey end) as reference",
+            "cast({lines} as array<struct<product_id: bigint, quantity: int, price: decimal(18,2)>>) as items",
+            "cast(o_totalprice as decimal(18,2)) as total",
+            "nullif(o_custkey, 0) as user_id",
+            "struct(case when o_orderkey % 7 = 0 then null else concat('Comprador ', o_custkey) end as fullName, "
+            "concat('310', o_custkey) as phone) as customer",
+        ]
+        item = "transform({0}, l -> struct(l.l_partkey, cast(l.l_quantity as int), cast(l.l_extendedprice as decimal(18,2))))"
+        orders = self.raw("orders").join(items.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")
+        whole = [c.format(lines=item.format("lines")) for c in columns]
+        part = [c.format(lines=item.format("slice(lines, 1, 2)")) for c in columns]
+        return orders.selectExpr(f"{first} as attempt_id", *whole, "o_orderdate as attempted_at").unionByName(
+            orders.filter("o_orderkey % 3 = 1").selectExpr(
+                f"{again} as attempt_id", *part, "o_orderdate + make_dt_interval(0, 0, cast(o_orderkey % 45 as int)) as attempted_at"
+            )
+        )
+
+    def payment_notices(self) -> DataFrame:
+        """Four answers an order: a first, a later one, the first delivered again, one that contradicts it at the same instant."""
+        minutes = "o_orderdate + make_dt_interval(0, 0, cast({} as int))"
+        kinds = [
+            ("true", ["DECLINED", "APPROVED", "APPROVED", "PENDING", "ERROR"], "o_orderkey % 5", 1, minutes.format("o_orderkey % 41")),
+            ("true", ["APPROVED", "VOIDED", "APPROVED"], "o_orderkey % 3", 2, minutes.format("o_orderkey % 23 + 10")),
+            ("o_orderkey % 4 < 2", ["DECLINED", "APPROVED", "APPROVED", "PENDING", "ERROR"], "o_orderkey % 5", 1,
+             minutes.format("o_orderkey % 41")),
+            ("o_orderkey % 9 < 3", ["VOIDED", "APPROVED", "DECLINED"], "o_orderkey % 3", 1, minutes.format("o_orderkey % 41")),
+        ]
+        parts = [
+            self.raw("orders").filter(where).select(
+                F.expr(f"o_orderkey * 8 + {place}").alias("event_id"),
+                F.expr("concat('ref_', case when o_orderkey % 40 = 0 then 0 else o_orderkey end)").alias("reference"),
+                F.expr("cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint)").alias("amount_in_cents"),
+                F.lit("COP").alias("currency"),
+                pick(statuses, index).alias("status"),
+                F.expr(f"o_orderkey * 2 + {sent}").alias("sent_at"),
+                F.expr(at).alias("event_ts"),
+                F.expr(f"(o_orderkey + {place}) % 17 = 0").alias("altered"),
+                F.expr("case when o_orderkey % 29 = 0 then null else concat('guest', o_custkey, '@example.com') end").alias("customer_email"),
+                F.expr("case when o_orderkey % 6 = 0 then '' else concat('Guest ', o_custkey) end").alias("full_name"),
+                F.expr("concat('Calle ', o_custkey)").alias("address_line_1"),
+                F.expr("case when o_orderkey % 2 = 0 then 'Apto 1' end").alias("address_line_2"),
+                F.lit("Atlantico").alias("region"),
+                F.lit("Barranquilla").alias("city"),
+                F.expr("case when o_orderkey % 5 = 0 then null else concat('300', o_custkey) end").alias("phone_number"),
+            )
+            for place, (where, statuses, index, sent, at) in enumerate(kinds)
+        ]
+        every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+        signed = F.sha2(F.concat("reference", "amount_in_cents", "currency", "status", "sent_at", F.lit(TEST_SECRET)), 256)
+        return every.withColumn("checksum", F.when(F.col("altered"), F.lit("tampered")).otherwise(signed)).drop("altered")
+
     def webhook_messages(self) -> DataFrame:
         """Payment events as the JSON texts the provider sends."""
         transaction = F.struct(
