@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from retail_spark import constants
 from retail_spark.functions import semantics as sem
 from retail_spark.functions.scale import number_rows
+from retail_spark.operators.barcodes import standing_edits
 
 PRODUCT_TEXTS = [
     "description", "barcode", "image_url", "image_url_2", "image_url_3", "image_url_4", "image_url_5",
@@ -167,27 +168,15 @@ def create_products(products: DataFrame, new: DataFrame, position: str = "positi
 def update_products(
     products: DataFrame, changes: DataFrame, position: str = "position"
 ) -> tuple[DataFrame, DataFrame]:
-    """Replace whole rows by id, in order of ``position``; the last edit of a product that stands wins.
+    """Replace whole rows by id, as if edit by edit in order of ``position``; the last edit of a product that stands wins.
 
-    An edit is refused if the id is unknown, or if its barcode is another product's: one
-    that held it before the batch, or that took it with an earlier edit of the batch, whatever came after.
-    So every edit is applied, followed by a later one of its product, or refused.
+    An edit is refused if the id is unknown, or if another product bears its barcode at its turn: one that bore it before
+    the batch, or took it with an earlier edit, and has not left it since.
     """
     good, bad = valid_products(changes)
     known = good.join(products.select("product_id"), "product_id", "left_semi")
     missing = good.join(products.select("product_id"), "product_id", "left_anti")
-    owners = products.filter(F.col("barcode").isNotNull()).select("barcode", F.col("product_id").alias("_owner"))
-    free = known.join(owners, "barcode", "left").filter(
-        F.col("_owner").isNull() | (F.col("_owner") == F.col("product_id"))
-    ).drop("_owner")
-    claims = (
-        free.filter(F.col("barcode").isNotNull())
-        .groupBy("barcode")
-        .agg(F.min_by("product_id", position).alias("_claimant"))
-    )
-    stands = free.join(claims, "barcode", "left").filter(
-        F.col("_claimant").isNull() | (F.col("_claimant") == F.col("product_id"))
-    ).drop("_claimant")
+    stands = known.join(standing_edits(products, known, position), position, "left_semi")
     updated, _ = merge(products, stands.select(*products.columns, position), ["product_id"], "update", position)
     clashing = known.join(stands.select(position), position, "left_anti")
     rejects = (

@@ -202,11 +202,19 @@ VIEWS = {
     "'B' as brand, case cast(o_orderkey % 5 as int) when 0 then "
     "lpad(cast((o_orderkey * 7) % 3001 as varchar), 13, '0') when 1 then "
     "lpad(cast((o_orderkey * 7) % 3001 + 1 as varchar), 13, '0') else 'E' || o_orderkey end as barcode from orders",
-    "edit_free": "select e.* from product_edit e join product p using (product_id) where e.name <> '' and not exists "
-    "(select 1 from product o where o.barcode = e.barcode and o.product_id <> e.product_id)",
-    "edit_standing": "select e.* from edit_free e where not exists (select 1 from edit_free f where f.barcode = e.barcode "
-    "and f.product_id <> e.product_id and f.position < e.position and f.position = (select min(g.position) from edit_free "
-    "g where g.barcode = f.barcode))",
+    # Edits replayed one by one: -1 holds the last turn served, 'p' and an id what a product bears, 'b' and a barcode who bears it,
+    # 't' and a turn whether that edit stands.
+    "edit_turn": "select row_number() over (order by position) as turn, e.* from product_edit e where name <> '' and product_id in "
+    "(select product_id from product)",
+    "edit_replay": "with recursive served(k, v) using key (k) as (select 'p' || product_id as k, barcode as v from product union all select 'b' || "
+    "barcode, cast(product_id as varchar) from product union all select '-1', '0' union select k, v from (with now as (select e.turn, "
+    "cast(e.product_id as varchar) as id, e.barcode, (select v from recurring.served where k = 'b' || e.barcode) as holder, (select v from "
+    "recurring.served where k = 'p' || e.product_id) as old from edit_turn e where e.turn = (select cast(v as bigint) + 1 from "
+    "recurring.served where k = '-1')), verdict as (select *, holder is null or holder = id as ok from now) select '-1' as k, cast(turn as varchar) "
+    "as v from verdict union all select 't' || turn, cast(ok as varchar) from verdict union all select 'b' || old, null from verdict where ok and old "
+    "is not null and old is distinct from barcode union all select 'b' || barcode, id from verdict where ok and barcode is not null union all "
+    "select 'p' || id, barcode from verdict where ok)) select cast(k[2:] as bigint) as turn from served where k like 't%' and v = 'true'",
+    "edit_standing": "select e.* from edit_turn e join edit_replay using (turn)",
     "newest_edit": "select * from edit_standing qualify row_number() over (partition by product_id order by position desc) "
     "= 1",
     "registration": "select event_id as position, case when event_id % 9 = 0 then '' else 'n' || user_id end as username, "

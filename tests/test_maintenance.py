@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from retail_spark import schemas
 from retail_spark.operators import maintenance as m
+from retail_spark.operators.barcodes import standing_edits
 
 PRODUCT_REQUEST = (
     "position bigint, product_id bigint, name string, description string, unit_price string, brand string, barcode string, "
@@ -95,17 +96,19 @@ def test_update_products(spark, rows):
     assert rows(rejects, "position", "reason") == [(3, "duplicate_barcode"), (4, "not_found"), (5, "missing_field")]
 
 
-def test_an_edit_before_a_refused_one_stands(spark, rows):
-    """Edits replayed one by one: a barcode belongs to its holder, or to the first product that took it."""
-    rnd = random.Random(4)
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_an_edit_before_a_refused_one_stands(spark, rows, seed):
+    """Edits replayed one by one: a barcode belongs to the product that bears it, and is free once that bears another."""
+    rnd = random.Random(seed)
     codes = ["A", "B", "C", None]
     edits = [(n, rnd.randint(1, 5), rnd.choice(["A", "B", "C", "X", "Y", "Z", ""])) for n in range(1, 40)]
-    owner = {c: i for i, c in enumerate(codes, 1) if c}
+    bears = dict(enumerate(codes, 1))
     names, refused = {}, set()
     for n, product, code in edits:
-        if product > 4 or (code and owner.setdefault(code, product) != product):
+        if product > 4 or (code and any(c == code for p, c in bears.items() if p != product)):
             refused.add(n)
         else:
+            bears[product] = code or None
             names[product] = (f"e{n}", code or None)
     changes = spark.createDataFrame([request(n, product_id=p, name=f"e{n}", barcode=c) for n, p, c in edits], PRODUCT_REQUEST)
     table, rejects = m.update_products(product_table(spark, codes), changes)
@@ -114,6 +117,33 @@ def test_an_edit_before_a_refused_one_stands(spark, rows):
     assert {r.position for r in rejects.collect()} == refused
 
 
+def test_a_barcode_left_can_be_taken(spark, rows):
+    edits = [(1, 1, "X"), (2, 2, "A"), (3, 1, "A"), (4, 3, "B"), (5, 1, ""), (6, 3, "X")]
+    changes = spark.createDataFrame([request(n, product_id=p, name=f"e{n}", barcode=c) for n, p, c in edits], PRODUCT_REQUEST)
+    table, rejects = m.update_products(product_table(spark, ["A", "B", "C"]), changes)
+    assert rows(table, "product_id", "barcode") == [(1, None), (2, "A"), (3, "X")]
+    assert rows(rejects, "position", "reason") == [(3, "duplicate_barcode")]
+
+
+@pytest.mark.parametrize("seed,per_block", [(1, 250_000), (2, 7), (3, 1)])
+def test_standing_edits_of_hot_products_and_barcodes(spark, seed, per_block):
+    """A third of the edits are one product's, a third want one barcode; the log is cut into blocks of any size."""
+    rnd = random.Random(seed)
+    bears = {p: f"c{p}" if p % 3 else None for p in range(30)}
+    products = spark.createDataFrame(list(bears.items()), "product_id bigint, barcode string")
+    edits = [
+        (n, 1 if rnd.random() < 0.3 else rnd.randrange(30), "c2" if rnd.random() < 0.3 else rnd.choice([*(f"c{i}" for i in range(40)), None]))
+        for n in range(200)
+    ]
+    stands = set()
+    for n, product, code in edits:
+        if code is None or all(c != code for p, c in bears.items() if p != product):
+            bears[product] = code
+            stands.add(n)
+    df = spark.createDataFrame(edits, "position bigint, product_id bigint, barcode string")
+    assert {r.position for r in standing_edits(products, df, per_block=per_block).collect()} == stands
+
+
 def test_inserts_need_a_position(spark):
     table = spark.createDataFrame([(1, "a")], "id int, v string")
     with pytest.raises(ValueError):
