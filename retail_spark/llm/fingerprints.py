@@ -47,25 +47,29 @@ def fingerprints(texts: list[str], size: int = SKETCH) -> list[bytes]:
     """
     out = [b""] * len(texts)
     for start, part in parsing.parts(texts):
-        roots = np.zeros(len(part), np.uint64)
+        full = [start + i for i, t in enumerate(part) if t]
+        if not full:
+            continue
         names, owners = [], []
         for level in parsing.levels(part):
-            fits = (level.spans >= LEAST_SPAN) & (level.spans <= MOST_SPAN)
+            spans = level.spans()
+            fits = np.flatnonzero((spans >= LEAST_SPAN) & (spans <= MOST_SPAN))
             names.append(level.names[fits])
-            owners.append(level.owners[fits])
-            roots[level.owners] = level.names  # the last level has one name a text
-        if not names:
-            continue
-        full = np.flatnonzero([len(t) > 0 for t in part])
-        names.append(roots[full])
-        owners.append(full)
-        values = (mixed(np.concatenate(names)) >> np.uint64(32)).astype(np.uint64)
-        keys = np.unique((np.concatenate(owners).astype(np.uint64) << np.uint64(32)) | values)  # by text, then by value
-        bounds = np.searchsorted(keys >> np.uint64(32), np.arange(len(part) + 1, dtype=np.uint64))
-        sketch = (keys & np.uint64(0xFFFFFFFF)).astype(">u4")
-        for i in full:
-            chosen = sketch[bounds[i] : min(bounds[i + 1], bounds[i] + size)]
-            out[start + i] = int(roots[i]).to_bytes(8, "big") + chosen.tobytes()
+            owners.append(level.owners()[fits])
+        roots = level.names  # the last level has one name a text
+        names.append(roots)
+        owners.append(np.arange(len(full)))
+        keys = np.concatenate(owners).astype(np.uint64) << np.uint64(32)
+        keys |= mixed(np.concatenate(names)) >> np.uint64(32)
+        keys.sort()  # by text, then by value
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        keys = keys[new]
+        bounds = np.searchsorted(keys, np.arange(len(full) + 1, dtype=np.uint64) << np.uint64(32))
+        sketch = keys.astype(np.uint32).astype(">u4")
+        for k, i in enumerate(full):
+            chosen = sketch[bounds[k] : min(bounds[k + 1], bounds[k] + size)]
+            out[i] = int(roots[k]).to_bytes(8, "big") + chosen.tobytes()
     return out
 
 
@@ -78,9 +82,11 @@ def likeness(a: bytes, b: bytes, size: int = SKETCH) -> float:
         return 1.0
     if not a or not b:
         return 0.0
-    x, y = np.frombuffer(a[8:], ">u4"), np.frombuffer(b[8:], ">u4")
-    smallest = np.union1d(x, y)[:size]
-    return float(np.isin(smallest, np.intersect1d(x, y, assume_unique=True)).sum() / len(smallest))
+    both = np.sort(np.concatenate([np.frombuffer(a[8:], ">u4"), np.frombuffer(b[8:], ">u4")]).astype(np.uint32))
+    new = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    place = np.cumsum(new)  # a name of both stands twice, its second time not new
+    return float(np.count_nonzero(~new & (place <= size)) / min(size, int(place[-1])))
 
 
 def _edited(text: str, after: str) -> str:
