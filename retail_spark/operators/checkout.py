@@ -165,9 +165,14 @@ class Checkout:
 
 
 def place_orders(
-    heads: DataFrame, items: DataFrame, products: DataFrame, customers: DataFrame, orders: DataFrame
-) -> Checkout:
-    """A batch of checkouts from request to stock, as if served one by one in order of arrival."""
+    heads: DataFrame, items: DataFrame, products: DataFrame, customers: DataFrame, orders: DataFrame | None,
+    largest_order: Column | None = None, largest_customer: Column | None = None,
+) -> Checkout:
+    """A batch of checkouts from request to stock, as if served one by one in order of arrival.
+
+    ``products`` and ``customers`` need only hold those that the requests name. New ids follow the numbers given, or the
+    largest in ``orders`` and ``customers``.
+    """
     valid, invalid = validate_checkout(heads, items)
     valid_items = items.join(valid.select("request_id"), "request_id", "left_semi")
     totals, unpriced = price_carts(valid_items, products)
@@ -181,8 +186,12 @@ def place_orders(
     admitted = decided.filter("accepted").select("request_id")
     short = decided.filter("not accepted").select("request_id", F.lit("out_of_stock").alias("reason"))
     kept = arrivals.join(admitted, "request_id", "left_semi")
-    buyers, buyer_of, _ = resolve_customers(customers, kept.select("request_id", "name", "email", "seq"), order="seq")
-    new_orders = build_orders(kept.drop("total", "seq"), kept.select("request_id", "total"), buyer_of, orders)
+    buyers, buyer_of, _ = resolve_customers(
+        customers, kept.select("request_id", "name", "email", "seq"), order="seq", largest=largest_customer
+    )
+    new_orders = build_orders(
+        kept.drop("total", "seq"), kept.select("request_id", "total"), buyer_of, orders, largest=largest_order
+    )
     kept_items = items.join(admitted, "request_id", "left_semi")
     return Checkout(
         orders=new_orders,

@@ -60,6 +60,10 @@ def verify_signature(events: DataFrame, secret: str) -> DataFrame:
     return events.withColumn("verdict", signature_verdict(secret))
 
 
+def _micros(name: str) -> Column:
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
 def event_order(events: DataFrame) -> list[Column]:
     """What tells events of one instant apart: sending time, event id where there is one, then all else they say."""
     named = [F.col("event_id")] if "event_id" in events.columns else []
@@ -67,20 +71,29 @@ def event_order(events: DataFrame) -> list[Column]:
 
 
 def attempts_in_force(
-    attempts: DataFrame, events: DataFrame, minutes: int, approval_ends: bool, rows_per_block: int = ROWS_PER_SPLIT
+    attempts: DataFrame,
+    events: DataFrame,
+    minutes: int,
+    approval_ends: bool,
+    rows_per_block: int = ROWS_PER_SPLIT,
+    timers: DataFrame | None = None,
 ) -> DataFrame:
     """(event, attempt): every event, as a struct, with the attempt that waits under its reference when it comes, or null.
 
     Storing an attempt replaces the one before; ``minutes`` later its timer deletes whatever then waits there, a newer
     attempt too. Declined, voided and failed payments delete it, and so do approvals where ``approval_ends``. At one
     instant timers go first, then attempts, then events in the order of ``event_order``; rows that are equal in all
-    columns are each taken once, in any order. Events without reference find nothing.
+    columns are each taken once, in any order. Events without reference find nothing. ``timers`` has (reference,
+    attempted_at) of attempts that are gone, but whose timers still run.
 
     All of these are one log by reference and time, numbered in that order and cut into blocks of ``rows_per_block`` numbers, so a
     reference with any number of rows is spread. What is in force before a row is the last action before it in its block, or
     else what the blocks before leave.
     """
-    at = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
+    at = _micros
+    running = attempts.select("reference", "attempted_at")
+    if timers is not None:
+        running = running.unionByName(timers.select("reference", "attempted_at"))
     rows = lambda frame: F.struct(*[F.col(c) for c in frame.columns])
     order = event_order(events)
     ties = [f"_t{i}" for i in range(4)]
@@ -96,7 +109,7 @@ def attempts_in_force(
     log = (
         attempts.select("reference", at("attempted_at").alias("_at"), F.lit(1).alias("_rank"), *by_attempt,
                         no_event.alias("event"), put.alias("_act"))
-        .unionByName(attempts.select("reference", (at("attempted_at") + minutes * MICROS_PER_MINUTE).alias("_at"), F.lit(0).alias("_rank"),
+        .unionByName(running.select("reference", (at("attempted_at") + minutes * MICROS_PER_MINUTE).alias("_at"), F.lit(0).alias("_rank"),
                                      *nothing, no_event.alias("event"), cleared.alias("_act")))
         .unionByName(events.select("reference", at("event_ts").alias("_at"), F.lit(2).alias("_rank"),
                                    *[c.cast(n.split()[1]).alias(n.split()[0]) for c, n in zip(order, ("_t0 bigint", "_t1 bigint", "_t2 string", "_t3 bigint"), strict=True)],
@@ -121,6 +134,36 @@ def attempts_in_force(
     )
 
 
+def waiting_attempts(
+    attempts: DataFrame, events: DataFrame, timers: DataFrame, consumed: DataFrame, minutes: int, until: Column
+) -> DataFrame:
+    """What a batch leaves for the next: the attempts whose timers still run, with ``waits`` for those still in force.
+
+    An attempt waits if it is the last action under its reference but for timers after ``until`` (microseconds), and made no order.
+    The others are kept for their timers. ``attempts`` are those in force before the batch and those of the batch.
+    """
+    first, last = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    lifetime = minutes * MICROS_PER_MINUTE
+    running = attempts.select("reference", "attempted_at").unionByName(timers.select("reference", "attempted_at"))
+    closing = events.filter(F.col("status").isin(constants.CLOSING_STATUSES))
+    acts = (
+        attempts.select("reference", F.struct(_micros("attempted_at").alias("at"), F.lit(1).alias("rank"), F.col("attempt_id").alias("id")).alias("act"))
+        .unionByName(running.select("reference", F.struct((_micros("attempted_at") + lifetime).alias("at"), F.lit(0).alias("rank"), last.alias("id")).alias("act"))
+                     .filter(F.col("act.at") <= until))
+        .unionByName(closing.select("reference", F.struct(_micros("event_ts").alias("at"), F.lit(2).alias("rank"), first.alias("id")).alias("act")))
+    )
+    newest = acts.groupBy("reference").agg(F.max("act").alias("_act")).filter(F.col("_act.rank") == 1)
+    in_force = newest.select(F.col("_act.id").alias("attempt_id")).join(consumed, "attempt_id", "left_anti")
+    still = F.lit(True).alias("_waits")
+    every = attempts.withColumn("waits", F.lit(True)).unionByName(timers.withColumn("waits", F.lit(False)))
+    return (
+        every.filter(_micros("attempted_at") + lifetime > until)
+        .join(in_force.select("attempt_id", still), "attempt_id", "left")
+        .withColumn("waits", F.col("waits") & F.coalesce("_waits", F.lit(False)))
+        .drop("_waits")
+    )
+
+
 def signed_events(events: DataFrame, secret: str) -> tuple[DataFrame, DataFrame]:
     """Events that may count, and the others with ``outcome`` incomplete or bad_signature."""
     checked = verify_signature(events, secret)
@@ -176,6 +219,7 @@ def settle_payments(
     minutes: int = constants.PAYMENT_LIFETIME_MINUTES,
     largest_order: Column | None = None,
     largest_customer: Column | None = None,
+    timers: DataFrame | None = None,
 ) -> Settlement:
     """Paid orders of a batch of events, as if each was handled alone in order of event time, sending time and event id.
 
@@ -189,7 +233,7 @@ def settle_payments(
     order; ``products`` and ``customers`` are the whole new tables. Ids follow the largest there is, or the numbers given.
     """
     good, bad = signed_events(events, secret)
-    found = materialise(attempts_in_force(attempts, good, minutes, False), "in_force")
+    found = materialise(attempts_in_force(attempts, good, minutes, False, timers=timers), "in_force")
     moment = F.struct("event.event_ts", "event.sent_at", "event.event_id")
     tried = (
         found.filter(F.col("attempt").isNotNull() & (F.col("event.status") == constants.APPROVED) & sem.has_text("event.customer_email"))

@@ -147,6 +147,8 @@ VIEWS = {
     "from orders join (select l_orderkey as o_orderkey, list({'product_id': l_partkey, 'quantity': cast(l_quantity as int), "
     "'price': cast(l_extendedprice as decimal(18,2))} order by l_linenumber, l_partkey, l_quantity, l_extendedprice) as lines from "
     "lineitem group by 1) using (o_orderkey), (select unnest([0, 1]) as again) where again = 0 or o_orderkey % 3 = 1",
+    "stored_put": "select * from payment_put where len(list_filter(items, lambda i: coalesce(i.product_id, 0) = 0 or coalesce(i.quantity, 0) <= 0 "
+    "or i.price is null)) = 0 and len(items) > 0 and total is not null",
     "payment_notice": "select o_orderkey * 8 + place as event_id, 'ref_' || case when o_orderkey % 40 = 0 then 0 else o_orderkey end as "
     "reference, cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as amount_in_cents, 'COP' as currency, "
     f"case place when 1 then {pick(['APPROVED', 'VOIDED', 'APPROVED'], 'o_orderkey % 3')} when 3 then "

@@ -700,16 +700,19 @@ def _(s: Store):
     return placed.orders.select("request_id", "total", "payment_method", "status", "payment_ref")
 
 
-@query(
-    "place_orders",
+PLACED_SQL = (
     "select v.request_id, coalesce(v.reason, case when not t.known then 'unknown_product' when a.v = 1 then 'accepted' else "
     "'out_of_stock' end) as outcome from checkout_verdict v left join cart_total t using (request_id) left join ("
     + served_sql(
         placed_need_sql("true"),
         "select request_id, v from need join served on k = -2 - n",
     )
-    + ") a using (request_id)",
+    + ") a using (request_id)"
 )
+PLACED_REJECTS_SQL = f"select request_id, outcome as reason from ({PLACED_SQL}) where outcome <> 'accepted'"
+
+
+@query("place_orders", PLACED_SQL)
 def _(s: Store):
     placed = checkout.place_orders(
         s.checkout_heads(), s.checkout_lines(), s.goods(), s.customers(), s.orders()
@@ -908,7 +911,7 @@ def waiting_sql(approval_ends: bool) -> str:
     return (
         "acts as materialized (select *, row_number() over (partition by reference order by moment, kind, t0, t1) as n from ("
         "select reference, attempted_at + interval '30' minute as moment, 0 as kind, attempt_id as t0, 0 as t1, cast(null as varchar) as "
-        "status from payment_put union all select reference, attempted_at, 1, attempt_id, 0, null from payment_put union all "
+        "status from stored_put union all select reference, attempted_at, 1, attempt_id, 0, null from stored_put union all "
         "select reference, event_ts, 2, sent_at, event_id, status from payment_notice where ok)), "
         "under_way as (select reference, cast(0 as bigint) as n, cast(null as bigint) as held, cast(null as bigint) as found "
         "from (select distinct reference from acts) union all select a.reference, a.n, case a.kind when 0 then null when 1 then a.t0 "
@@ -927,7 +930,7 @@ def waiting_sql(approval_ends: bool) -> str:
 def _(s: Store):
     """Attempts stored anew, events delivered twice or at one instant: which attempt each signed event finds."""
     good, _ = payments.signed_events(s.payment_notices(), TEST_SECRET)
-    found = payments.attempts_in_force(s.payment_puts(), good, constants.PAYMENT_LIFETIME_MINUTES, True)
+    found = payments.attempts_in_force(payments.valid_attempts(s.payment_puts())[0], good, constants.PAYMENT_LIFETIME_MINUTES, True)
     return found.select(
         "event.event_id", "event.reference",
         F.when(F.col("attempt").isNull(), F.lit("not_found"))
@@ -948,7 +951,7 @@ def settled_sql(result: str) -> str:
         f"select * from (with recursive {waiting_sql(False)}, turns as materialized (select cast(row_number() over (order by event_ts, sent_at, event_id) as "
         "bigint) as n, event_id, found, needs from noticed join (select attempt_id as found, list({'product_id': product_id, 'need': need, 'take': "
         "take}) as needs from (select attempt_id, i.product_id as product_id, max(i.quantity) as need, sum(i.quantity) as take from (select attempt_id, "
-        "unnest(items) as i from payment_put) group by all) group by 1) using (found) where status = 'APPROVED' and coalesce(customer_email, '') <> ''), "
+        "unnest(items) as i from stored_put) group by all) group by 1) using (found) where status = 'APPROVED' and coalesce(customer_email, '') <> ''), "
         "served(k, v) using key (k) as (select product_id, cast(stock as bigint) from product union all select -1, cast(0 as bigint) union "
         "select k, v from (with turn as (select n, found, unnest(needs, recursive := true) from turns where n = (select v + 1 from "
         "recurring.served where k = -1)), now as (select t.*, coalesce(s.v, 0) as remaining, s.k is not null as known from turn t left join "
@@ -959,7 +962,7 @@ def settled_sql(result: str) -> str:
         "tried as materialized (select t.*, s.v from turns t join served s on s.k = -2 - 2 * t.n), "
         "won as materialized (select e.*, t.n, p.items, p.total, p.user_id, coalesce(nullif(e.full_name, ''), nullif(p.full_name, ''), "
         f"{oracle.quoted(constants.NAMELESS_PAYER)}) as name, coalesce(nullif(e.phone_number, ''), p.phone) as payer_phone from tried t join noticed e using (event_id) join "
-        "payment_put p on p.attempt_id = t.found where t.v = 1), created as materialized (select (select max(customer_id) from buyer) + "
+        "stored_put p on p.attempt_id = t.found where t.v = 1), created as materialized (select (select max(customer_id) from buyer) + "
         "row_number() over (order by n) as customer_id, coalesce(nullif(name, ''), split_part(customer_email, '@', 1)) as first_name, '' as last_name, "
         "customer_email as email from (select * from won where customer_email not in (select email from buyer) qualify row_number() over "
         "(partition by customer_email order by n) = 1)), made as materialized (select (select max(order_id) from orders_v) + row_number() over "
@@ -968,19 +971,27 @@ def settled_sql(result: str) -> str:
     )
 
 
+SETTLED_ORDERS = (
+    f"select order_id, user_id, cast(total as double) as total, {oracle.quoted(constants.STATUS_OF_NEW_PAID_ORDER)} as status, "
+    f"{oracle.quoted(constants.WOMPI)} as payment_method, reference as payment_ref, name as ship_name, trim(coalesce(address_line_1, '') || ' ' || "
+    "coalesce(address_line_2, '')) as ship_address, region as ship_department, city as ship_city, cast(null as varchar) as ship_reference, "
+    "payer_phone as ship_phone, customer_email as ship_email, event_ts as created_at, customer_id from made"
+)
+SETTLED_OUTCOMES = (
+    "select e.event_id, e.reference, case when n.event_id is null then 'bad_signature' when n.found is null or w.n is not null and "
+    "(n.event_ts, n.sent_at, n.event_id) > (w.event_ts, w.sent_at, w.event_id) then 'not_found' when n.event_id = w.event_id then 'approved' when "
+    f"n.status = 'APPROVED' then 'failed' when n.status in ({oracle.listed(constants.CLOSING_STATUSES)}) then 'closed' else 'waiting' end as outcome, "
+    "case when n.event_id = w.event_id then m.order_id end as order_id from payment_notice e left join noticed n using (event_id) left join won w on "
+    "w.found = n.found left join made m on m.event_id = n.event_id"
+)
+
+
 def settled(s: Store) -> payments.Settlement:
-    return payments.settle_payments(s.payment_puts(), s.payment_notices(), TEST_SECRET, s.goods(), s.customers(), s.orders())
+    stored, _ = payments.valid_attempts(s.payment_puts())
+    return payments.settle_payments(stored, s.payment_notices(), TEST_SECRET, s.goods(), s.customers(), s.orders())
 
 
-@query(
-    "settle_payments_orders",
-    settled_sql(
-        f"select order_id, user_id, cast(total as double) as total, {oracle.quoted(constants.STATUS_OF_NEW_PAID_ORDER)} as status, "
-        f"{oracle.quoted(constants.WOMPI)} as payment_method, reference as payment_ref, name as ship_name, trim(coalesce(address_line_1, '') || ' ' || "
-        "coalesce(address_line_2, '')) as ship_address, region as ship_department, city as ship_city, cast(null as varchar) as ship_reference, "
-        "payer_phone as ship_phone, customer_email as ship_email, event_ts as created_at, customer_id from made"
-    ),
-)
+@query("settle_payments_orders", settled_sql(SETTLED_ORDERS))
 def _(s: Store):
     return settled(s).orders
 
@@ -1009,16 +1020,7 @@ def _(s: Store):
     return settled(s).customers
 
 
-@query(
-    "settle_payments_outcomes",
-    settled_sql(
-        "select e.event_id, e.reference, case when n.event_id is null then 'bad_signature' when n.found is null or w.n is not null and "
-        "(n.event_ts, n.sent_at, n.event_id) > (w.event_ts, w.sent_at, w.event_id) then 'not_found' when n.event_id = w.event_id then 'approved' when "
-        f"n.status = 'APPROVED' then 'failed' when n.status in ({oracle.listed(constants.CLOSING_STATUSES)}) then 'closed' else 'waiting' end as outcome, "
-        "case when n.event_id = w.event_id then m.order_id end as order_id from payment_notice e left join noticed n using (event_id) left join won w on "
-        "w.found = n.found left join made m on m.event_id = n.event_id"
-    ),
-)
+@query("settle_payments_outcomes", settled_sql(SETTLED_OUTCOMES))
 def _(s: Store):
     return settled(s).outcomes
 

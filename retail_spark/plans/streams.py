@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from retail_spark import schemas
 from retail_spark.operators.maintenance import valid_contacts, valid_reviews
+from retail_spark.plans import registry
 from retail_spark.plans.registry import CART_STATE_SQL, CONTACTS_SQL, MATCH_SQL, REVIEWS_SQL, VIEWS_SQL, query
 from retail_spark.session import new_path
+from retail_spark.sources.tableset import TableSet, TableSpec
 from retail_spark.sources.testdata import TEST_SECRET, Store, StreamStore
-from retail_spark.streaming import carts, ingest, payments
+from retail_spark.streaming import carts, ingest, payments, service
 from retail_spark.streaming.state import rocksdb_state
 
 
@@ -62,3 +65,157 @@ def _(s: Store):
 
     changes = carts.cart_stream(streamed(s).cart_events(), s.goods())
     return carts.carts_from_changes(drained(changes, "carts", start))
+
+
+# --- streams over tables with one commit log ---------------------------------------------------
+
+
+def feed(rows: DataFrame, moment: str, label: str, files: int = 3) -> DataFrame:
+    """``rows`` as a stream of files of some years each, oldest first: several micro-batches, in order of time."""
+    spark = rows.sparkSession
+    path = new_path(spark, label)
+    first, last = rows.agg(F.min(F.year(moment)), F.max(F.year(moment))).first()
+    part = F.floor((F.year(moment) - first) * files / (last - first + 1))
+    for number in range(files):
+        rows.filter(part == number).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def served(rows: DataFrame, serve: Callable[[DataFrame, int], None], label: str) -> None:
+    """Run a stream of micro-batches to its end."""
+    started = (
+        rows.writeStream.foreachBatch(serve)
+        .option("checkpointLocation", new_path(rows.sparkSession, label))
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+
+
+def stocked(s: Store) -> TableSet:
+    """A new store with the products and buyers of the test data, and numbers that go on from theirs."""
+    store = service.open_store(s.spark, new_path(s.spark, "store"), buckets=16)
+    columns = [f.name for f in s.spark.createDataFrame([], schemas.TABLES["product"]).schema]
+    goods = s.goods().withColumn("category_id", F.lit(None).cast("int"))
+    store.load("product", goods.select(*columns))
+    store.load("customer", s.customers())
+    last = s.orders().agg(F.max("order_id").alias("o")).crossJoin(s.customers().agg(F.max("customer_id").alias("c"))).first()
+    store.commit(counters={"order_id": last["o"], "customer_id": last["c"]})
+    return store
+
+
+def checked_out(s: Store) -> TableSet:
+    """The store after a stream of checkout requests, in three micro-batches."""
+    store = stocked(s)
+    items = s.checkout_lines().groupBy("request_id").agg(
+        F.collect_list(F.struct("product_id", "quantity", F.lit(None).cast("decimal(18,2)").alias("price"))).alias("cart")
+    )
+    customer = F.struct("user_id", "name", "phone", "address", "department", "city", "complement", "email")
+    requests = s.checkout_heads().join(items, "request_id", "left").select(
+        "request_id", "created_at", "method", "cart", customer.alias("customer")
+    )
+    served(feed(requests, "created_at", "requests"), service.checkout_service(store), "checkout")
+    return store
+
+
+@query("checkout_stream_orders", registry.placed_sql("true", registry.PLACED_ORDERS))
+def _(s: Store):
+    store = checked_out(s)
+    answers = store.read("request_answer").filter(F.col("order_id").isNotNull()).select("request_id", "order_id")
+    return store.read("orders").join(answers, "order_id").select(*registry.PLACED_COLUMNS)
+
+
+@query("checkout_stream_lines", registry.placed_sql("true", registry.PLACED_LINES))
+def _(s: Store):
+    return checked_out(s).read("order_line")
+
+
+@query("checkout_stream_stock", registry.placed_sql("true", registry.PLACED_STOCK))
+def _(s: Store):
+    return checked_out(s).read("product").select("product_id", "stock")
+
+
+@query("checkout_stream_rejects", registry.PLACED_REJECTS_SQL)
+def _(s: Store):
+    return checked_out(s).read("request_answer").filter(F.col("order_id").isNull()).select("request_id", "reason")
+
+
+def paid(s: Store) -> TableSet:
+    """The store after a stream of payment attempts and events, in three micro-batches."""
+    store = stocked(s)
+    puts, notices = s.payment_puts(), s.payment_notices()
+    attempt = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in s.spark.createDataFrame([], schemas.PAYMENT_ATTEMPT).schema])
+    event = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in s.spark.createDataFrame([], schemas.PAYMENT_NOTICE).schema])
+    rows = puts.select(F.col("attempted_at").alias("moment"), attempt.alias("attempt")).unionByName(
+        notices.select(F.col("event_ts").alias("moment"), event.alias("event")), allowMissingColumns=True
+    )
+    served(feed(rows, "moment", "payment_rows"), service.payment_service(store, TEST_SECRET), "payments")
+    return store
+
+
+@query("settle_stream_orders", registry.settled_sql(registry.SETTLED_ORDERS))
+def _(s: Store):
+    return paid(s).read("orders")
+
+
+@query("settle_stream_stock", registry.settled_sql("select k as product_id, cast(v as int) as stock from served where k >= 0"))
+def _(s: Store):
+    return paid(s).read("product").select("product_id", "stock")
+
+
+@query("settle_stream_outcomes", registry.settled_sql(registry.SETTLED_OUTCOMES))
+def _(s: Store):
+    return paid(s).read("payment_answer")
+
+
+@query(
+    "pending_monitor_stream",
+    "select cast(c as bigint) as pending_count, cast(c - d as bigint) as previous_count, c > 0 and c > c - d as alert, cast(row_number() over "
+    "(order by y) - 1 as bigint) as batch from (select y, d, sum(d) over (order by y) as c from (select year(changed_at) as y, sum(delta) as d from "
+    "pending_change group by 1))",
+)
+def _(s: Store):
+    """Every look of a watch that sees a year of changes at a time."""
+    store = service.open_store(s.spark, new_path(s.spark, "store"))
+    rows = s.pending_changes()
+    first, last = rows.agg(F.min(F.year("changed_at")), F.max(F.year("changed_at"))).first()
+    changes = feed(rows, "changed_at", "changes", last - first + 1)
+    service.watch_pending(changes, store, new_path(s.spark, "watch"), every=None).awaitTermination()
+    return store.read("look")
+
+
+def sorted_out(rows: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], name: str) -> DataFrame:
+    """What a routed stream refuses."""
+    spark = rows.sparkSession
+    static = spark.createDataFrame([], rows.schema)
+    schema = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    good, bad = split(static)
+    store = TableSet(spark, new_path(spark, name), {name: TableSpec(schema(good)), f"{name}_reject": TableSpec(schema(bad))})
+    served(rows, service.routed(split, store, name), name)
+    return store.read(f"{name}_reject")
+
+
+@query(
+    "ingest_views_stream_rejects",
+    "select *, case when try_cast(product_id as double) is null then 'bad_product_id' else 'unknown_product' end as reason from "
+    "view_request where view_id not in (select view_id from view_request where try_cast(product_id as bigint) in (select product_id from product))",
+)
+def _(s: Store):
+    return sorted_out(streamed(s).view_requests(), lambda rows: ingest.split_views(rows, s.goods()), "view")
+
+
+@query(
+    "ingest_reviews_stream_rejects",
+    "select *, case when coalesce(name, '') = '' or coalesce(comment, '') = '' or coalesce(rating, 0) = 0 then 'missing_field' else "
+    "'rating_out_of_range' end as reason from review_request where not coalesce(name <> '' and comment <> '' and rating between 1 and 5, false)",
+)
+def _(s: Store):
+    return sorted_out(streamed(s).review_requests(), valid_reviews, "review")
+
+
+@query(
+    "ingest_contacts_stream_rejects",
+    "select *, 'missing_field' as reason from contact_request where not coalesce(name <> '' and email <> '' and message <> '', false)",
+)
+def _(s: Store):
+    return sorted_out(streamed(s).contact_requests(), valid_contacts, "contact")
