@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (makes pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +20,14 @@ MIN_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 
-#: Kept terms of one transducer, on average.
-SLICE = 4096
-#: Copies of each transducer, so that the rows of a very common term meet it in several tasks.
-SALTS = 4
-#: Distinct terms that a task counts before it gives them out.
-HELD = 400_000
+#: Kept terms of a slice of the vocabulary, on average; each language of a slice has its transducer.
+SLICE = 512
+#: Distinct terms, and words, that a task counts before it gives them out.
+HELD, WORDS = 400_000, 4_000_000
+#: Cells that wait in a slice before they are summed.
+COMPACT = 2_000_000
+#: Rows of a batch given out.
+ROWS = 8192
 #: Terms and sources of one block of the pairwise sums.
 CHUNK, TILE = 1024, 256
 
@@ -32,43 +35,109 @@ CHUNK, TILE = 1024, 256
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def _counted(docs: DataFrame, keys: list[str], each: bool) -> DataFrame:
-    """(keys, term, n): how often a term occurs under the keys, or in how many texts unless ``each``. Summed per task only.
+def _words(text: str) -> list[bytes]:
+    return text.encode().translate(_TERMS).split()
+
+
+def _document_counts(docs: DataFrame) -> DataFrame:
+    """(lang, term, n): in how many texts of a language a term occurs, summed per task only.
 
     A task gives its counts out whenever it holds HELD of them, so its memory is bounded; a term may come several times.
     """
-    schema = pa.schema([*((k, pa.string()) for k in keys), ("term", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("n", pa.int64())])
 
-    def given(held: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
-        for key, counts in held.items():
-            columns = [pa.array([k] * len(counts), pa.string()) for k in key]
+    def given(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
             terms = pa.array(list(counts), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, terms, pa.array(list(counts.values()), pa.int64())], schema=schema)
+            columns = [pa.array([lang] * len(counts), pa.string()), terms, pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Counter] = {}
+        held: dict[str, Counter] = {}
         size = 0
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for *key, text in zip(*columns, strict=True):
-                words = text.encode().translate(_TERMS).split()
-                counts = held.setdefault(tuple(key), Counter())
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = held.setdefault(lang, Counter())
                 before = len(counts)
-                counts.update(words if each else set(words))
+                counts.update(set(_words(text)))
                 size += len(counts) - before
                 if size >= HELD:
                     yield from given(held)
                     held, size = {}, 0
         yield from given(held)
 
-    ddl = ", ".join([*(f"{k} string" for k in keys), "term string", "n bigint"])
-    return docs.select(*keys, "text").mapInArrow(count, ddl)
+    return docs.select("lang", "text").mapInArrow(count, "lang string, term string, n bigint")
+
+
+class _Numbers(dict):
+    """Numbers its keys 0, 1, ... as they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class _Occurrences:
+    """The terms of one language's texts by source, as numbers."""
+
+    def __init__(self) -> None:
+        self.terms, self.sources = _Numbers(), _Numbers()
+        self.codes: list[np.ndarray] = []
+        self.source_of: list[int] = []
+
+    def add(self, source: str, words: list[bytes]) -> None:
+        self.codes.append(np.array(list(map(self.terms.__getitem__, words)), np.int32))
+        self.source_of.append(self.sources[source])
+
+    def summed(self) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """(terms, their sources, their occurrences under each)."""
+        width = len(self.sources)
+        keys = np.concatenate(self.codes).astype(np.int64) * width
+        keys += np.repeat(self.source_of, [len(c) for c in self.codes])
+        keys.sort()
+        at = np.flatnonzero(np.diff(keys, prepend=-1))
+        n, keys = np.diff(at, append=len(keys)), keys[at]
+        bounds = np.searchsorted(keys, np.arange(len(self.terms) + 1) * width).astype(np.int32)
+        names = pa.array(list(self.sources), pa.string()).take(pa.array(keys % max(width, 1)))
+        terms = pa.array(list(self.terms), pa.binary()).cast(pa.string())
+        return terms, pa.ListArray.from_arrays(pa.array(bounds), names), pa.ListArray.from_arrays(pa.array(bounds), pa.array(n))
+
+
+def _source_counts(docs: DataFrame) -> DataFrame:
+    """(lang, term, sources, ns): how often a term occurs under each source of a language, summed per task only.
+
+    A task gives its sums out whenever it holds WORDS words, so its memory is bounded; a term may come several times.
+    """
+    kind = [("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("ns", pa.list_(pa.int64()))]
+
+    def given(held: dict[str, _Occurrences]) -> Iterator[pa.RecordBatch]:
+        for lang, found in held.items():
+            if found.terms:
+                columns = found.summed()
+                langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(columns[0]), np.int32)))
+                yield from pa.Table.from_arrays([langs, *columns], schema=pa.schema(kind)).to_batches(max_chunksize=ROWS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _Occurrences] = {}
+        size = 0
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = _words(text)
+                held.setdefault(lang, _Occurrences()).add(source, words)
+                size += len(words)
+                if size >= WORDS:
+                    yield from given(held)
+                    held, size = {}, 0
+        yield from given(held)
+
+    ddl = "lang string, term string, sources array<string>, ns array<bigint>"
+    return docs.select("lang", "source", "text").mapInArrow(count, ddl)
 
 
 def kept_terms(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(lang, term, ordinal): terms in enough documents of their language, numbered by language and term in byte order."""
     found = (
-        _counted(docs, ["lang"], each=False)
+        _document_counts(docs)
         .groupBy("lang", "term")
         .agg(F.sum("n").alias("_documents"))
         .filter(F.col("_documents") >= min_documents)
@@ -103,50 +172,104 @@ def transducers(kept: DataFrame, slices: int) -> DataFrame:
     return kept.withColumn("slice", _slice_of(slices)).groupBy("slice").applyInArrow(made, "slice int, machine binary")
 
 
+class _Cells:
+    """Occurrences of one slice's terms by language and source. Summed up whenever COMPACT of them wait, so memory is bounded."""
+
+    def __init__(self, machines: dict[str, tuple[transducer.Transducer, np.ndarray]]):
+        self.machines = machines
+        self.sources: dict[tuple[str, str], int] = {}
+        self.keys: list[np.ndarray] = []
+        self.n: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, rows: pa.Table) -> None:
+        """Runs the rows' terms through their language's transducer."""
+        for lang in pa.compute.unique(rows["lang"]).to_pylist():
+            if lang not in self.machines:
+                continue
+            of_lang = rows.filter(pa.compute.equal(rows["lang"], lang))
+            machine, ordinals = self.machines[lang]
+            places = [machine.ordinal(t) for t in of_lang["term"].cast(pa.binary()).to_pylist()]
+            found = np.flatnonzero([p is not None for p in places])
+            if not len(found):
+                continue
+            kept = of_lang.take(pa.array(found)).combine_chunks()
+            names, ns = kept["sources"].chunk(0), kept["ns"].chunk(0)
+            ordinal = ordinals[[places[i] for i in found]]
+            coded = names.flatten().dictionary_encode()
+            code = np.array([self.sources.setdefault((lang, s), len(self.sources)) for s in coded.dictionary.to_pylist()], np.int64)
+            per_row = pa.compute.list_value_length(names).to_numpy()
+            # ordinals number the terms of all languages, so an ordinal and a source make a cell
+            self.keys.append(np.stack([np.repeat(ordinal, per_row), code[coded.indices.to_numpy()]]))
+            self.n.append(ns.flatten().to_numpy())
+            self.waiting += len(self.n[-1])
+            if self.waiting >= COMPACT:
+                self._sum()
+                self.waiting = 0
+
+    def _sum(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = np.concatenate(self.keys, axis=1), np.concatenate(self.n)
+        order = np.lexsort(keys[::-1])
+        keys, n = keys[:, order], n[order]
+        first = np.ones(len(n), bool)
+        first[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+        at = np.flatnonzero(first)
+        keys, n = keys[:, at], np.add.reduceat(n, at)
+        self.keys, self.n = [keys], [n]
+        return keys, n
+
+    def given(self) -> Iterator[pa.RecordBatch]:
+        if not self.keys:
+            return
+        (ordinal, source), n = self._sum()
+        first = np.ones(len(n), bool)
+        first[1:] = ordinal[1:] != ordinal[:-1]
+        at = np.flatnonzero(first)
+        of_lang = np.repeat(np.add.reduceat(n, at), np.diff(np.append(at, len(n))))
+        langs, names = (pa.array(list(x), pa.string()) for x in zip(*self.sources, strict=True))
+        source = pa.array(source)
+        table = pa.table(
+            {"lang": langs.take(source), "source": names.take(source), "ordinal": ordinal, "n": n, "lang_n": of_lang}
+        )
+        yield from table.to_batches(max_chunksize=ROWS)
+
+
 def recount(docs: DataFrame, machines: DataFrame, slices: int) -> DataFrame:
-    """(lang, source, ordinal, n): occurrences of every kept term under every source that has it.
+    """(lang, source, ordinal, n, lang_n): occurrences of every kept term under every source that has it, and in its language.
 
-    The texts are read again; each task sums their words by source, sends them to the slice they belong to, and there
-    they run through the transducer, which comes first in its slice's rows and is the only one held.
+    The texts are read again; each task sums their words by source and sends them to the slice they belong to. There
+    they run through the slice's transducers, which come first and are the only ones held. A term has as many rows as tasks met it,
+    however common it is, and a slice has about SLICE kept terms, so slices are of like size.
     """
-    salt = F.pmod(F.xxhash64("source", "n"), F.lit(SALTS)).cast("int")
-    words = _counted(docs, ["lang", "source"], each=True).select(
-        _slice_of(slices).alias("slice"), salt.alias("salt"), F.lit(None).cast("binary").alias("machine"), "lang", "source", "term", "n"
-    )
-    copies = machines.select(
-        "slice",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-        "machine",
-        *[F.lit(None).cast("string").alias(c) for c in ("lang", "source", "term")],
-        F.lit(None).cast("bigint").alias("n"),
-    )
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("ordinal", pa.int64()), ("n", pa.int64())])
+    words = _source_counts(docs).select(_slice_of(slices).alias("slice"), F.lit(None).cast("binary").alias("machine"), "*")
+    none = {"lang": "string", "term": "string", "sources": "array<string>", "ns": "array<bigint>"}
+    first = machines.select("slice", "machine", *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, machines = None, {}
+        at, cells = None, None
         for batch in batches:
-            out: list[tuple] = []
-            marks = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            packed = batch.column(2)
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3, 7)), strict=True)
-            for i, (mark, (lang, source, term, n)) in enumerate(zip(marks, rows, strict=True)):
-                if term is None:
-                    at, machines = mark, transducer.unpacked(packed[i].as_py())
-                elif mark == at and lang in machines:  # a slice without kept terms has no transducer
-                    machine, ordinals = machines[lang]
-                    place = machine.ordinal(term.encode())
-                    if place is not None:
-                        out.append((lang, source, int(ordinals[place]), n))
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            slices = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(slices[1:] != slices[:-1]) + 1).tolist(), len(slices)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if begin == end:
+                    continue
+                rows = pa.Table.from_batches([batch.slice(begin, end - begin)])
+                if slices[begin] != at:
+                    if cells:
+                        yield from cells.given()
+                    at, machine = slices[begin], rows["machine"][0].as_py()
+                    cells = _Cells(transducer.unpacked(machine)) if machine else None  # no kept term has this slice
+                    rows = rows.slice(1) if machine else rows
+                if cells:
+                    cells.add(rows)
+        if cells:
+            yield from cells.given()
 
     return (
-        words.unionByName(copies)
-        .repartition("slice", "salt")
-        .sortWithinPartitions("slice", "salt", F.col("machine").isNull())
-        .mapInArrow(run, "lang string, source string, ordinal bigint, n bigint")
-        .groupBy("lang", "source", "ordinal")
-        .agg(F.sum("n").alias("n"))
+        words.unionByName(first)
+        .repartition("slice")
+        .sortWithinPartitions("slice", F.col("machine").isNull())
+        .mapInArrow(run, "lang string, source string, ordinal bigint, n bigint, lang_n bigint")
     )
 
 
@@ -253,13 +376,11 @@ def pair_sums(kept: DataFrame, counts: DataFrame, groups: DataFrame) -> DataFram
 def term_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, ordinal, value): terms that a group uses more than its language does, with their part of the divergence."""
     of_lang = groups.groupBy("lang").agg(F.sum("total").alias("_lang_total"))
-    all_n = F.sum("n").over(Window.partitionBy("lang", "ordinal"))
     p = scaled(F.col("n"), F.col("total") + F.col("terms"))
-    q = scaled(F.col("_lang_n"), F.col("_lang_total") + F.col("terms"))
+    q = scaled(F.col("lang_n"), F.col("_lang_total") + F.col("terms"))
     away = F.col("p") - F.col("q")
     return (
-        counts.withColumn("_lang_n", all_n)
-        .join(groups.join(of_lang, "lang"), ["lang", "source"])
+        counts.join(groups.join(of_lang, "lang"), ["lang", "source"])
         .select("lang", "source", "ordinal", p.alias("p"), q.alias("q"))
         .filter("p > q")
         .select("lang", "source", "ordinal", F.call_function("div", away * away, F.col("q")).alias("value"))

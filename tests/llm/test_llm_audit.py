@@ -133,7 +133,7 @@ def test_parsing_of_runs_and_alone_as_together():
     assert together == [fingerprints.fingerprints([t])[0] for t in texts]
     assert together[0] == b"" and together[4] == together[8] and len(set(together)) == len(texts) - 1
     for level in parsing.levels([t for t in texts if t]):
-        assert np.bincount(level.owners, level.spans).tolist() == [len(t) for t in texts if t]
+        assert np.bincount(level.owners(), level.spans()).tolist() == [len(t) for t in texts if t]
 
 
 def test_likeness():
@@ -158,7 +158,7 @@ def test_divergence_in_many_slices_and_tiles(spark, monkeypatch):
         for i in range(150)
     ]
     expected = by_sql(divergence.AUDIT_SQL, rows)
-    for name, value in (("SLICE", 20), ("CHUNK", 50), ("TILE", 3), ("HELD", 100)):
+    for name, value in (("SLICE", 20), ("CHUNK", 50), ("TILE", 3), ("HELD", 100), ("WORDS", 200), ("COMPACT", 50), ("ROWS", 7)):
         monkeypatch.setattr(divergence, name, value)
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(4)
     assert as_dicts(divergence.divergences(df), expected) == expected
