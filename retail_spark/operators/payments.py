@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -135,17 +136,24 @@ def attempts_in_force(
 
 
 def waiting_attempts(
-    attempts: DataFrame, events: DataFrame, timers: DataFrame, consumed: DataFrame, minutes: int, until: Column
+    attempts: DataFrame,
+    events: DataFrame,
+    timers: DataFrame,
+    minutes: int,
+    until: Column,
+    consumed: DataFrame | None = None,
+    ends: Sequence[str] = tuple(constants.CLOSING_STATUSES),
 ) -> DataFrame:
     """What a batch leaves for the next: the attempts whose timers still run, with ``waits`` for those still in force.
 
-    An attempt waits if it is the last action under its reference but for timers after ``until`` (microseconds), and made no order.
-    The others are kept for their timers. ``attempts`` are those in force before the batch and those of the batch.
+    An attempt waits if it is the last action under its reference but for timers after ``until`` (microseconds), and is not among those
+    ``consumed``. Events of a status in ``ends`` are actions. The others are kept for their timers. ``attempts`` are those
+    in force before the batch and those of the batch; all have a unique attempt_id.
     """
     first, last = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
     lifetime = minutes * MICROS_PER_MINUTE
     running = attempts.select("reference", "attempted_at").unionByName(timers.select("reference", "attempted_at"))
-    closing = events.filter(F.col("status").isin(constants.CLOSING_STATUSES))
+    closing = events.filter(F.col("status").isin(list(ends)))
     acts = (
         attempts.select("reference", F.struct(_micros("attempted_at").alias("at"), F.lit(1).alias("rank"), F.col("attempt_id").alias("id")).alias("act"))
         .unionByName(running.select("reference", F.struct((_micros("attempted_at") + lifetime).alias("at"), F.lit(0).alias("rank"), last.alias("id")).alias("act"))
@@ -153,7 +161,9 @@ def waiting_attempts(
         .unionByName(closing.select("reference", F.struct(_micros("event_ts").alias("at"), F.lit(2).alias("rank"), first.alias("id")).alias("act")))
     )
     newest = acts.groupBy("reference").agg(F.max("act").alias("_act")).filter(F.col("_act.rank") == 1)
-    in_force = newest.select(F.col("_act.id").alias("attempt_id")).join(consumed, "attempt_id", "left_anti")
+    in_force = newest.select(F.col("_act.id").alias("attempt_id"))
+    if consumed is not None:
+        in_force = in_force.join(consumed, "attempt_id", "left_anti")
     still = F.lit(True).alias("_waits")
     every = attempts.withColumn("waits", F.lit(True)).unionByName(timers.withColumn("waits", F.lit(False)))
     return (

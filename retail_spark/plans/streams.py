@@ -52,9 +52,9 @@ def _(s: Store):
 def _(s: Store):
     stream = streamed(s)
     matches = payments.match_payments_stream(stream.payment_attempts(), stream.payment_events(), TEST_SECRET)
-    return drained(matches, "matches", payments.write_matches).withColumn(
-        "event_ts", F.col("event_ts").cast("timestamp_ntz")
-    )
+    path = new_path(s.spark, "matches")
+    payments.write_matches(matches, path, new_path(s.spark, "checkpoint")).awaitTermination()
+    return s.spark.read.parquet(path).drop("batch").withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
 
 
 @query("cart_stream", CART_STATE_SQL)

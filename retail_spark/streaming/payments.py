@@ -2,85 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from retail_spark.constants import APPROVED, CLOSING_STATUSES, PAYMENT_LIFETIME_MINUTES
 from retail_spark.functions.scale import number_rows
 from retail_spark.operators.admission import admit_orders
-from retail_spark.operators.payments import verify_signature
+from retail_spark.operators.payments import TERMINAL_STATUSES, attempts_in_force, verify_signature, waiting_attempts
+from retail_spark.session import discard, materialise
 from retail_spark.sources.tables import SnapshotTable
-from retail_spark.streaming.state import rocksdb_state
+from retail_spark.sources.tableset import TableSet, TableSpec
 
-ATTEMPT_STATE = "order_id BIGINT, user_id BIGINT, total DECIMAL(18,2), attempted_us BIGINT"
-MATCH_SCHEMA = (
-    "reference STRING, status STRING, sent_at BIGINT, event_us BIGINT, outcome STRING, order_id BIGINT, "
-    "total DECIMAL(18,2)"
-)
-
-Match = Row("reference", "status", "sent_at", "event_us", "outcome", "order_id", "total")
+ATTEMPT = "order_id BIGINT, user_id BIGINT, total DECIMAL(18,2), attempted_at TIMESTAMP, attempt_id BIGINT"
 MICROS_PER_MINUTE = 60_000_000
 
 
-class PaymentMatcher(StatefulProcessor):
-    """Holds each attempt until an event ends it or its time is over.
-
-    A timer frees the state of attempts nobody answered. It does not decide expiry: rows of a batch
-    are handled before its timers, so the age is compared for every event.
-    """
-
-    def __init__(self, minutes: int, approval_ends: bool):
-        self.lifetime = minutes * MICROS_PER_MINUTE
-        self.approval_ends = approval_ends
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.attempt = handle.getValueState("attempt", ATTEMPT_STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        reference = key[0]
-        stored = self.attempt.get()
-        waiting = stored
-        # One reference's rows of one micro-batch, in event order; an attempt precedes its events.
-        for row in sorted(rows, key=lambda r: (r.us, r.kind != "attempt", r.sent_at or 0)):
-            if row.kind == "attempt":
-                if waiting is None:
-                    waiting = (row.order_id, row.user_id, row.total, row.us)
-                continue
-            found = waiting
-            if found is None or not 0 <= row.us - found[3] < self.lifetime:
-                outcome = "not_found"
-            elif row.status == APPROVED:
-                outcome = "approved"
-                waiting = None if self.approval_ends else found
-            elif row.status in CLOSING_STATUSES:
-                outcome = "closed"
-                waiting = None
-            else:
-                outcome = "waiting"
-            order_id, total = (found[0], found[2]) if outcome == "approved" else (None, None)
-            yield Match(reference, row.status, row.sent_at, row.us, outcome, order_id, total)
-        if waiting == stored:
-            return
-        if stored is not None:
-            self.attempt.clear()
-            self.handle.deleteTimer(self._expiry(stored))
-        if waiting is not None:
-            self.attempt.update(waiting)
-            self.handle.registerTimer(self._expiry(waiting))
+@dataclass
+class PaymentRows:
+    """Attempts and signed events as one stream, and the rules they are matched by."""
 
-    def _expiry(self, attempt: tuple) -> int:
-        return (attempt[3] + self.lifetime) // 1000
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.attempt.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+    rows: DataFrame
+    minutes: int
+    delay: str
+    approval_ends: bool
 
 
 def match_payments_stream(
@@ -90,49 +38,73 @@ def match_payments_stream(
     minutes: int = PAYMENT_LIFETIME_MINUTES,
     delay: str = "10 minutes",
     approval_ends: bool = True,
-) -> DataFrame:
-    """Outcome of every signed event, as ``match_payments`` finds them in batch.
+) -> PaymentRows:
+    """A stream for ``write_matches``, which finds the outcome of every signed event as ``match_payments`` does in batch.
 
-    Unsigned events are dropped before the state, so they cost nothing there. With
-    ``approval_ends`` off, an approved attempt stays, for callers whose approval may still fail.
+    Unsigned events are dropped here. With ``approval_ends`` off, an approved attempt stays, for callers whose approval may
+    still fail. Attempts are forgotten once the newest row is ``delay`` past the end of their time.
     """
-    none = {
-        name: F.lit(None).cast(kind)
-        for name, kind in (("order_id", "bigint"), ("user_id", "bigint"), ("total", "decimal(18,2)"))
-    }
-    stored = attempts.select(
-        "reference", F.lit("attempt").alias("kind"), F.col("attempted_at").cast("timestamp").alias("at"),
-        F.lit(None).cast("string").alias("status"), F.lit(None).cast("bigint").alias("sent_at"),
-        "order_id", "user_id", "total",
-    )
-    signed = verify_signature(events, secret).filter(F.col("verdict") == "ok").select(
-        "reference", F.lit("event").alias("kind"), F.col("event_ts").cast("timestamp").alias("at"), "status", "sent_at",
-        *[value.alias(name) for name, value in none.items()],
-    )
-    matched = (
-        stored.unionByName(signed)
-        .withWatermark("at", delay)
-        .withColumn("us", F.unix_micros("at"))
-        .groupBy("reference")
-        .transformWithState(
-            PaymentMatcher(minutes, approval_ends), outputStructType=MATCH_SCHEMA, outputMode="Append", timeMode="EventTime"
-        )
-    )
-    return matched.select(
-        "reference", "status", "sent_at", F.timestamp_micros("event_us").alias("event_ts"), "outcome", "order_id", "total"
-    )
+    attempt = F.struct("order_id", "user_id", "total", F.col("attempted_at").cast("timestamp").alias("attempted_at"))
+    event = F.struct("status", "sent_at", F.col("event_ts").cast("timestamp").alias("event_ts"))
+    stored = attempts.select("reference", attempt.alias("attempt"))
+    signed = verify_signature(events, secret).filter(F.col("verdict") == "ok").select("reference", event.alias("event"))
+    return PaymentRows(stored.unionByName(signed, allowMissingColumns=True), minutes, delay, approval_ends)
+
 
+def match_batches(stream: PaymentRows, waiting: TableSet, path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: matches of a micro-batch go to a folder of its own, which a replay overwrites.
 
-def write_matches(matches: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    with rocksdb_state(matches.sparkSession):
-        return (
-            matches.writeStream.format("parquet")
-            .option("path", path)
-            .option("checkpointLocation", checkpoint)
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
+    What waits is kept by reference in ``waiting``; only the batch's references are read and written. Rows of a
+    micro-batch are handled in order of their times, after all of earlier ones, by the same scan as in batch, so
+    that a reference may have any number of them.
+    """
+    life = stream.minutes * MICROS_PER_MINUTE
+    ends = TERMINAL_STATUSES if stream.approval_ends else CLOSING_STATUSES
+
+    def match(rows: DataFrame, batch_id: int) -> None:
+        if waiting.has_batch("matches", batch_id):
+            return
+        rows = materialise(rows, "payment_rows")
+        number = F.xxhash64("reference", "attempt", F.monotonically_increasing_id(), F.lit(batch_id)).alias("attempt_id")
+        stored = rows.filter(F.col("attempt").isNotNull()).select("reference", "attempt.*", number)
+        events = rows.filter(F.col("event").isNotNull()).select("reference", "event.*")
+        newest = rows.agg(F.max(F.unix_micros(F.coalesce("attempt.attempted_at", "event.event_ts"))).alias("t")).first()["t"]
+        delay = rows.select(F.expr(f"unix_micros(timestamp '1970-01-01 00:00:00' + interval {stream.delay})").alias("d")).first()
+        until = max(waiting.counter("until"), newest - delay["d"] if newest is not None else 0)
+        references = materialise(rows.select("reference").distinct(), "references")
+        held = materialise(waiting.read("attempt", references), "held")
+        attempts = held.filter("waits").drop("waits").unionByName(stored)
+        timers = held.filter("not waits").drop("waits")
+        found = attempts_in_force(attempts, events, stream.minutes, stream.approval_ends, timers=timers)
+        outcome = (
+            F.when(F.col("attempt").isNull(), F.lit("not_found"))
+            .when(F.col("event.status") == APPROVED, F.lit("approved"))
+            .when(F.col("event.status").isin(CLOSING_STATUSES), F.lit("closed"))
+            .otherwise(F.lit("waiting"))
         )
+        settles = [F.when(F.col("outcome") == "approved", F.col(f"attempt.{c}")).alias(c) for c in ("order_id", "total")]
+        names = ["event.reference", "event.status", "event.sent_at", "event.event_ts", "outcome"]
+        found.withColumn("outcome", outcome).select(*names, *settles).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        left = waiting_attempts(attempts, events, timers, stream.minutes, F.lit(until), ends=ends)
+        still = F.unix_micros("attempted_at") + life > until
+        waiting.commit({"attempt": (references, left)}, None, {"until": until}, ("matches", batch_id), {"attempt": still})
+        for table in (rows, references, held):
+            discard(table)
+
+    return match
+
+
+def write_matches(stream: PaymentRows, path: str, checkpoint: str) -> StreamingQuery:
+    """Run the matching until the sources are empty. What waits is kept beside ``path``."""
+    path = path.rstrip("/")
+    specs = {"attempt": TableSpec(f"reference STRING, {ATTEMPT}, waits BOOLEAN", "reference")}
+    waiting = TableSet(stream.rows.sparkSession, f"{path}_waiting", specs)
+    return (
+        stream.rows.writeStream.foreachBatch(match_batches(stream, waiting, path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def settle_candidates(candidates: DataFrame, items: DataFrame, stock: DataFrame, settled: DataFrame) -> DataFrame:

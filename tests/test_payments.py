@@ -29,15 +29,20 @@ def event(reference, status, minute, sent_at, checksum=None):
 
 
 def one_by_one(attempts, events):
-    """Keep attempts for 30 minutes; the first approval or refusal ends one."""
+    """An attempt replaces the one before; after 30 minutes its timer deletes what waits then; an approval or refusal ends it."""
     waiting, out = {}, {}
-    moves = [(a[4], 0, 0, a) for a in attempts] + [(e[5], 1, e[4], e) for e in events]
-    for at, is_event, sent_at, row in sorted(moves, key=lambda m: m[:3]):
-        if not is_event:
-            waiting.setdefault(row[0], row)
+    life = timedelta(minutes=30)
+    moves = [(a[4], 1, a[1], a) for a in attempts] + [(a[4] + life, 0, 0, a) for a in attempts]
+    moves += [(e[5], 2, e[4], e) for e in events]
+    for _, kind, sent_at, row in sorted(moves, key=lambda m: m[:3]):
+        if kind == 0:
+            waiting.pop(row[0], None)
+            continue
+        if kind == 1:
+            waiting[row[0]] = row
             continue
         known = waiting.get(row[0])
-        if known is None or not timedelta(0) <= at - known[4] < timedelta(minutes=30):
+        if known is None:
             out[sent_at] = "not_found"
         elif row[3] == "APPROVED":
             out[sent_at] = "approved"
@@ -52,7 +57,7 @@ def one_by_one(attempts, events):
 
 def random_case(seed):
     rnd = random.Random(seed)
-    attempts = [attempt(f"r{i}", rnd.randrange(60), i) for i in range(15)]
+    attempts = [attempt(f"r{i % 15}", rnd.randrange(60), i) for i in range(40)]  # many stored anew
     events = [
         event(
             "r1" if rnd.random() < 0.4 else f"r{rnd.randrange(18)}",
@@ -160,3 +165,28 @@ def test_late_event_finds_no_state(spark, tmp_path):
         )
         write_matches(matches, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     assert [(r.sent_at, r.outcome) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "not_found")]
+
+
+def test_a_new_attempt_replaces_the_old_one_whose_timer_still_runs(spark):
+    attempts = [attempt("a", 0, 1), attempt("a", 10, 2), attempt("b", 0, 3), attempt("b", 20, 4), attempt("c", 0, 5), attempt("c", 30, 6)]
+    events = [
+        event("a", "APPROVED", 12, 1), event("b", "PENDING", 29, 2), event("b", "APPROVED", 35, 3), event("c", "APPROVED", 31, 4),
+    ]
+    got = match_payments(spark.createDataFrame(attempts, ATTEMPT), spark.createDataFrame(events, EVENT), SECRET).collect()
+    assert {r.sent_at: (r.outcome, r.order_id) for r in got} == {
+        1: ("approved", 2), 2: ("waiting", None), 3: ("not_found", None), 4: ("approved", 6),
+    }
+
+
+def test_events_of_one_instant_and_events_delivered_twice(spark):
+    """One attempt: exactly one of two equal approvals finds it, and what comes after finds nothing."""
+    twice = event("a", "APPROVED", 1, 7)
+    events = [twice, twice, event("a", "DECLINED", 1, 8), event("b", "APPROVED", 1, 9), event("b", "DECLINED", 1, 9)]
+    got = match_payments(
+        spark.createDataFrame([attempt("a"), attempt("b")], ATTEMPT), spark.createDataFrame(events, EVENT), SECRET, rows_per_split=2
+    )
+    outcomes = sorted((r.reference, r.sent_at, r.status, r.outcome) for r in got.collect())
+    assert outcomes == [
+        ("a", 7, "APPROVED", "approved"), ("a", 7, "APPROVED", "not_found"), ("a", 8, "DECLINED", "not_found"),
+        ("b", 9, "APPROVED", "approved"), ("b", 9, "DECLINED", "not_found"),
+    ]
