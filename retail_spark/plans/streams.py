@@ -16,7 +16,6 @@ from retail_spark.session import new_path
 from retail_spark.sources.tableset import TableSet, TableSpec
 from retail_spark.sources.testdata import TEST_SECRET, Store, StreamStore
 from retail_spark.streaming import carts, ingest, payments, service
-from retail_spark.streaming.state import rocksdb_state
 
 
 def drained(rows: DataFrame, label: str, start: Callable[[DataFrame, str, str], StreamingQuery]) -> DataFrame:
@@ -28,6 +27,18 @@ def drained(rows: DataFrame, label: str, start: Callable[[DataFrame, str, str],
     return spark.read.schema(rows.schema).parquet(f"{base}/table")
 
 
+def feed(rows: DataFrame, moment: str, label: str, files: int = 3) -> DataFrame:
+    """``rows`` as a stream of files of equal spans of days, oldest first: several micro-batches, in order of time."""
+    spark = rows.sparkSession
+    path = new_path(spark, label)
+    day = F.unix_date(F.col(moment).cast("date"))
+    first, last = rows.agg(F.min(day), F.max(day)).first()
+    part = F.floor((day - first) * files / (last - first + 1))
+    for number in range(files):
+        rows.filter(part == number).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def streamed(s: Store) -> StreamStore:
     return StreamStore(s.spark, s.folder)
 
@@ -59,28 +70,16 @@ def _(s: Store):
 
 @query("cart_stream", CART_STATE_SQL)
 def _(s: Store):
-    def start(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-        with rocksdb_state(rows.sparkSession):
-            return ingest.append_stream(rows, path, checkpoint)
-
-    changes = carts.cart_stream(streamed(s).cart_events(), s.goods())
-    return carts.carts_from_changes(drained(changes, "carts", start))
+    """Three micro-batches by time."""
+    kept = carts.open_carts(s.spark, new_path(s.spark, "carts"), buckets=16)
+    rows = feed(s.cart_events(), "ts", "cart_events")
+    carts.cart_stream(rows, s.goods, kept, new_path(s.spark, "checkpoint")).awaitTermination()
+    return carts.current_carts(kept)
 
 
 # --- streams over tables with one commit log ---------------------------------------------------
 
 
-def feed(rows: DataFrame, moment: str, label: str, files: int = 3) -> DataFrame:
-    """``rows`` as a stream of files of some years each, oldest first: several micro-batches, in order of time."""
-    spark = rows.sparkSession
-    path = new_path(spark, label)
-    first, last = rows.agg(F.min(F.year(moment)), F.max(F.year(moment))).first()
-    part = F.floor((F.year(moment) - first) * files / (last - first + 1))
-    for number in range(files):
-        rows.filter(part == number).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 def served(rows: DataFrame, serve: Callable[[DataFrame, int], None], label: str) -> None:
     """Run a stream of micro-batches to its end."""
     started = (
@@ -170,16 +169,14 @@ def _(s: Store):
 
 @query(
     "pending_monitor_stream",
-    "select cast(c as bigint) as pending_count, cast(c - d as bigint) as previous_count, c > 0 and c > c - d as alert, cast(row_number() over "
-    "(order by y) - 1 as bigint) as batch from (select y, d, sum(d) over (order by y) as c from (select year(changed_at) as y, sum(delta) as d from "
-    "pending_change group by 1))",
+    "select cast(c as bigint) as pending_count, cast(c - d as bigint) as previous_count, c > 0 and c > c - d as alert, cast(y as bigint) as batch "
+    "from (select y, d, sum(d) over (order by y) as c from (select floor((changed_at::date - lo) * 5 / (hi - lo + 1)) as y, sum(delta) as d "
+    "from pending_change, (select min(changed_at)::date as lo, max(changed_at)::date as hi from pending_change) group by 1))",
 )
 def _(s: Store):
-    """Every look of a watch that sees a year of changes at a time."""
+    """Every look of a watch that sees the changes of a fifth of all days at a time."""
     store = service.open_store(s.spark, new_path(s.spark, "store"))
-    rows = s.pending_changes()
-    first, last = rows.agg(F.min(F.year("changed_at")), F.max(F.year("changed_at"))).first()
-    changes = feed(rows, "changed_at", "changes", last - first + 1)
+    changes = feed(s.pending_changes(), "changed_at", "changes", 5)
     service.watch_pending(changes, store, new_path(s.spark, "watch"), every=None).awaitTermination()
     return store.read("look")
 

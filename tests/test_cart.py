@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from retail_spark.operators.cart import cart_state, cart_totals, clean_cart
-from retail_spark.streaming.carts import next_quantity
+from retail_spark.streaming.carts import cart_batches, current_carts, next_quantity, open_carts, with_guests
 
 START = datetime(2024, 1, 1)
 EVENTS = "event_id bigint, user_id bigint, product_id bigint, kind string, quantity int, ts timestamp_ntz"
@@ -51,6 +51,46 @@ def test_single_events(kind, current, quantity, stock, after):
     assert next_quantity(kind, current, quantity, stock) == after
 
 
+def test_stream_of_a_user_with_most_events_equals_replaying_the_log(spark, rows, tmp_path):
+    """Micro-batches in order of time, each replayed; one user holds most events, and clears reach lines of earlier batches."""
+    rnd = random.Random(5)
+    stock = {p: rnd.choice([3, 10, 500]) for p in range(9)}
+    log = []
+    for n in range(600):
+        kind = rnd.choices(["add", "set", "remove", "clear"], [70, 20, 6, 2])[0]
+        user = 1 if rnd.random() < 0.7 else rnd.randrange(4)
+        log.append((n, user, None if kind == "clear" else rnd.randrange(10), kind, rnd.choice([None, 0, 1, 2, 7]), START + timedelta(seconds=n)))
+    products = spark.createDataFrame(list(stock.items()), "product_id bigint, stock int")
+    carts = open_carts(spark, str(tmp_path / "carts"), buckets=4)
+    fold = cart_batches(carts, lambda: products)
+    for batch, start in enumerate(range(0, 600, 200)):
+        part = spark.createDataFrame(log[start : start + 200], EVENTS)
+        fold(part, batch)
+        version = carts.version()
+        fold(part, batch)
+        assert carts.version() == version
+        assert rows(current_carts(carts), "user_id", "product_id", "quantity") == sorted(replay(log[: start + 200], stock), key=repr)
+
+
+def test_a_clear_writes_one_row(spark, rows, tmp_path):
+    products = spark.createDataFrame([(p, 9) for p in range(50)], "product_id bigint, stock int")
+    carts = open_carts(spark, str(tmp_path / "carts"), buckets=8)
+    fold = cart_batches(carts, lambda: products)
+    fold(spark.createDataFrame([(p, 1, p, "add", 2, START) for p in range(50)], EVENTS), 0)
+    before = carts.manifest().keyed["cart"]
+    fold(spark.createDataFrame([(99, 1, None, "clear", None, START)], EVENTS), 1)
+    assert carts.manifest().keyed["cart"] == before and current_carts(carts).isEmpty()
+    assert rows(carts.read("owner")) == [(1, 1)]
+    fold(spark.createDataFrame([(100, 1, 3, "add", 1, START), (101, 1, 4, "set", 5, START)], EVENTS), 2)
+    assert rows(current_carts(carts)) == [(1, 3, 1)]
+
+
+def test_guests_have_carts_of_their_own(spark):
+    df = spark.createDataFrame([(None, "b1"), (None, "b2"), (None, "b1"), (7, "b1")], "user_id bigint, browser_id string")
+    users = [r.user_id for r in with_guests(df).collect()]
+    assert users[0] == users[2] < 0 and users[1] < 0 and users[1] != users[0] and users[3] == 7
+
+
 def test_unreadable_items_count_nothing(spark, rows):
     items = spark.createDataFrame(
         [(1, "10.50", "2"), (1, "gratis", "3"), (1, "5 COP", "x"), (2, None, None)], "user_id bigint, price string, quantity string"
