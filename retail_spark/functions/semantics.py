@@ -35,6 +35,11 @@ def null_if_empty(value: str | Column) -> Column:
     return F.nullif(_column(value), F.lit(""))
 
 
+def comparable(value: str | Column, collation: str | None = None) -> Column:
+    """The text as it is compared, joined and grouped under a collation such as UNICODE_CI or UNICODE_CI_AI; byte by byte without one."""
+    return F.collate(_column(value), collation) if collation else _column(value)
+
+
 def js_trim(value: str | Column) -> Column:
     """The text without white space of any kind, Unicode's included, at its ends."""
     return F.regexp_replace(_column(value), r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")

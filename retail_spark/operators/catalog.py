@@ -117,8 +117,8 @@ def carousel(catalog: DataFrame, n: int = 5, blurb: int = 70) -> DataFrame:
     return first_products(catalog, n).withColumn("blurb", text)
 
 
-def category_list(categories: DataFrame) -> DataFrame:
-    return categories.select("category_id", "name").orderBy("name")
+def category_list(categories: DataFrame, collation: str | None = None) -> DataFrame:
+    return categories.select("category_id", "name").orderBy(sem.comparable("name", collation), "category_id")
 
 
 def with_stock_status(df: DataFrame) -> DataFrame:

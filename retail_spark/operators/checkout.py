@@ -73,21 +73,26 @@ def apply_stock(products: DataFrame, accepted_items: DataFrame) -> DataFrame:
 
 
 def resolve_customers(
-    customers: DataFrame, requests: DataFrame, order: str = "request_id", largest: Column | None = None
+    customers: DataFrame,
+    requests: DataFrame,
+    order: str = "request_id",
+    largest: Column | None = None,
+    collation: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The buyer of every request by address, creating those not known yet.
 
     ``requests`` has (request_id, name, email) and ``order``, by which the first request of
     an address names the new buyer. Returns (customers, request_id with customer_id, rejects without address).
-    New ids follow ``largest``, or the largest in ``customers`` where it is not given.
+    New ids follow ``largest``, or the largest in ``customers`` where it is not given. Addresses are equal under ``collation``.
     """
     good, bad = split_by_rules(requests, [("missing_email", ~sem.has_text("email"))])
-    known = customers.groupBy("email").agg(F.min("customer_id").alias("customer_id"))
+    key = sem.comparable("email", collation)
+    known = customers.groupBy(key.alias("_key")).agg(F.min("customer_id").alias("customer_id"))
     first = (
-        good.groupBy("email")
-        .agg(F.min_by(F.struct(F.col(order).alias("_order"), "name"), F.col(order)).alias("_v"))
-        .select("email", "_v.*")
-        .join(known, "email", "left_anti")
+        good.groupBy(key.alias("_key"))
+        .agg(F.min_by(F.struct(F.col(order).alias("_order"), "name", "email"), F.col(order)).alias("_v"))
+        .join(known, "_key", "left_anti")
+        .select("_v.*")
     )
     if largest is None:
         largest = customers.agg(F.coalesce(F.max("customer_id"), F.lit(0)).cast("bigint").alias("m")).scalar()
@@ -98,8 +103,8 @@ def resolve_customers(
         F.lit("").alias("last_name"),
         "email",
     )
-    everyone = known.unionByName(created.select("email", "customer_id"))
-    resolved = good.join(everyone, "email").select("request_id", "customer_id")
+    everyone = known.unionByName(created.select(key.alias("_key"), "customer_id"))
+    resolved = good.withColumn("_key", key).join(everyone, "_key").select("request_id", "customer_id")
     return customers.unionByName(created, allowMissingColumns=True), resolved, bad
 
 

@@ -207,11 +207,11 @@ def delete_products(products: DataFrame, ids: DataFrame, lines: DataFrame) -> tu
 
 
 def register_users(
-    users: DataFrame, customers: DataFrame, new: DataFrame, position: str = "position"
+    users: DataFrame, customers: DataFrame, new: DataFrame, position: str = "position", collation: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Add accounts and the buyers that go with them. Returns users, customers, rejects.
 
-    ``new`` carries ``password_length`` and ``password_hash``: hashing happens before.
+    ``new`` carries ``password_length`` and ``password_hash``: hashing happens before. Addresses are equal under ``collation``.
     """
     from retail_spark.operators.checkout import resolve_customers
 
@@ -219,12 +219,12 @@ def register_users(
         ~sem.has_text("username") | ~sem.has_text("email") | (F.coalesce("password_length", F.lit(0)) < 6)
     )
     good, bad = split_by_rules(new, [("invalid_registration", invalid)])
-    values = [c for c in good.columns if c != "email"]
+    key = sem.comparable("email", collation).alias("_key")
     first = (
-        good.groupBy("email")
-        .agg(F.min_by(F.struct(*values), F.col(position)).alias("_v"))
-        .select("email", "_v.*")
-        .join(users.select("email"), "email", "left_anti")
+        good.groupBy(key)
+        .agg(F.min_by(F.struct(*good.columns), F.col(position)).alias("_v"))
+        .join(users.select(key), "_key", "left_anti")
+        .select("_v.*")
     )
     rejects = bad.select(position, "email", "reason").unionByName(
         good.join(first.select(position), position, "left_anti").select(
@@ -233,7 +233,7 @@ def register_users(
     )
     rows = with_new_ids(users, first.withColumn("role", F.lit(constants.DEFAULT_ROLE)), "user_id", [position])
     buyers, _, _ = resolve_customers(
-        customers, rows.select(F.col(position).alias("request_id"), F.col("username").alias("name"), "email")
+        customers, rows.select(F.col(position).alias("request_id"), F.col("username").alias("name"), "email"), collation=collation
     )
     return users.unionByName(rows.select(*users.columns)), buyers, rejects
 

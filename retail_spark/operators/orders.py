@@ -45,11 +45,15 @@ def _mine(
 
 
 def _newest_first(history: DataFrame, user_id: int | None, *then: str) -> DataFrame:
-    """Newest orders first. For all users the order holds within each: there is no order across users to sort for."""
+    """Newest orders first; for all users, account by account.
+
+    Rows are dealt out by ranges of account, time and order, so that an account with any number of rows spans as many tasks as
+    it needs, and partitions follow each other in this order.
+    """
     by = [F.desc("created_at"), F.desc("order_id"), *then]
     if user_id is not None:
         return history.orderBy(*by)
-    return history.repartition("user_id").sortWithinPartitions("user_id", *by)
+    return history.repartitionByRange("user_id", *by).sortWithinPartitions("user_id", *by)
 
 
 def nest_items(
@@ -165,10 +169,10 @@ def admin_users(users: DataFrame) -> DataFrame:
     return users.select("user_id", "username", "email", "role").orderBy(F.desc("user_id"))
 
 
-def user_by_email(users: DataFrame, email: str) -> DataFrame:
-    """The account with this address; accounts without a role count as customers."""
+def user_by_email(users: DataFrame, email: str, collation: str | None = None) -> DataFrame:
+    """The account with this address, under ``collation``; accounts without a role count as customers."""
     return (
-        users.filter(F.col("email") == email)
+        users.filter(sem.comparable("email", collation) == sem.comparable(F.lit(email), collation))
         .orderBy("user_id")
         .limit(1)
         .withColumn("role", sem.or_default("role", constants.DEFAULT_ROLE))

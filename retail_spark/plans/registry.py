@@ -621,6 +621,33 @@ def _(s: Store):
     return checkout.resolve_customers(s.customers(), s.checkout_heads())[1]
 
 
+def shouting(heads: DataFrame) -> DataFrame:
+    """Every other request with its address in capitals."""
+    return heads.withColumn("email", F.when(F.col("request_id") % 2 == 0, F.upper("email")).otherwise(F.col("email")))
+
+
+SHOUTED_SQL = (
+    "with shouted as (select request_id, name, case when request_id % 2 = 0 then upper(email) else email end as email from checkout_head where "
+    "coalesce(email, '') <> ''), created as (select (select max(customer_id) from buyer) + row_number() over (order by request_id) as customer_id, "
+    "coalesce(nullif(name, ''), split_part(email, '@', 1)) as first_name, '' as last_name, email from (select * from shouted where lower(email) not "
+    "in (select email from buyer) qualify row_number() over (partition by lower(email) order by request_id) = 1)) "
+)
+
+
+@query("resolve_customers_collated", f"select * from ({SHOUTED_SQL} select * from buyer union all select * from created)")
+def _(s: Store):
+    return checkout.resolve_customers(s.customers(), shouting(s.checkout_heads()), collation="UNICODE_CI")[0]
+
+
+@query(
+    "customer_of_request_collated",
+    f"select * from ({SHOUTED_SQL} select e.request_id, coalesce(k.customer_id, c.customer_id) as customer_id from shouted e left join buyer k on "
+    "k.email = lower(e.email) left join created c on lower(c.email) = lower(e.email))",
+)
+def _(s: Store):
+    return checkout.resolve_customers(s.customers(), shouting(s.checkout_heads()), collation="UNICODE_CI")[1]
+
+
 NEW_ORDERS_SQL = (
     "select v.request_id, (select max(order_id) from orders_v) + row_number() over (order by v.created_at, v.request_id) "
     f"as order_id, v.user_id, cast(t.total as double) as total, case when v.method = {oracle.quoted(constants.CASH_ON_DELIVERY)} "

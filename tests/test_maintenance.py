@@ -133,7 +133,7 @@ def test_standing_edits_of_hot_products_and_barcodes(spark, seed, per_block):
     products = spark.createDataFrame(list(bears.items()), "product_id bigint, barcode string")
     edits = [
         (n, 1 if rnd.random() < 0.3 else rnd.randrange(30), "c2" if rnd.random() < 0.3 else rnd.choice([*(f"c{i}" for i in range(40)), None]))
-        for n in range(200)
+        for n in range(90)
     ]
     stands = set()
     for n, product, code in edits:

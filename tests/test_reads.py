@@ -2,9 +2,12 @@ from datetime import date, datetime
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from retail_spark import constants, schemas
 from retail_spark.operators import analytics, catalog, content, monitor, orders, text
+from retail_spark.operators.checkout import resolve_customers
+from retail_spark.operators.maintenance import register_users
 
 
 def products(spark, n=6):
@@ -106,6 +109,45 @@ def test_history_keeps_orders_whose_products_are_gone(spark, rows):
     assert [(r.order_id, len(r["items"])) for r in nested.collect()] == [(1, 1), (2, 0)]
 
 
+def test_an_account_with_most_orders_spans_partitions(spark):
+    """All users' histories: one user has two thirds of 3000 orders, and partitions follow each other in order."""
+    heads = spark.range(3000).selectExpr(
+        "id as order_id", "case when id % 3 < 2 then 7 else id % 50 end as user_id", "cast(1 as decimal(18,2)) as total", "'Pagado' as status",
+        "'x' as payment_method", "cast(null as string) as payment_ref",
+        "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id * 7919 % 1000 as int)) as created_at",
+    )
+    lines = spark.range(3000).selectExpr("id as order_id", "cast(1 as bigint) as product_id", "1 as quantity", "cast(1 as decimal(18,2)) as unit_price")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for history in (orders.user_order_history, orders.user_order_documents):
+            got = history(heads, lines, products(spark)).select("user_id", "created_at", "order_id", F.spark_partition_id().alias("p")).collect()
+            assert len({r.p for r in got if r.user_id == 7}) > 1
+            expected = sorted(got, key=lambda r: (r.user_id, -r.created_at.timestamp(), -r.order_id))
+            assert [r.order_id for r in sorted(got, key=lambda r: r.p)] == [r.order_id for r in expected]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_addresses_and_names_under_a_collation(spark, rows):
+    users = spark.createDataFrame([(1, "a", "Ana@X.co", "h", ""), (2, "b", "ána@x.co", "h", "admin")], schemas.TABLES["users"])
+    assert rows(orders.user_by_email(users, "ana@x.co"), "user_id") == []
+    assert rows(orders.user_by_email(users, "ana@x.co", "UNICODE_CI"), "user_id") == [(1,)]
+    assert rows(orders.user_by_email(users.filter("user_id = 2"), "ANA@x.co", "UNICODE_CI_AI"), "user_id") == [(2,)]
+    names = spark.createDataFrame([(1, "zinc"), (2, "Éter"), (3, "eje"), (4, "Faro")], schemas.TABLES["category"])
+    assert [r.name for r in catalog.category_list(names).collect()] == ["Faro", "eje", "zinc", "Éter"]
+    assert [r.name for r in catalog.category_list(names, "UNICODE_CI").collect()] == ["eje", "Éter", "Faro", "zinc"]
+    customers = spark.createDataFrame([(9, "n", "", "ANA@x.co")], schemas.TABLES["customer"])
+    requests = spark.createDataFrame([(1, "x", "ana@X.co"), (2, "y", "new@x"), (3, "z", "NEW@x")], "request_id bigint, name string, email string")
+    everyone, found, _ = resolve_customers(customers, requests, collation="UNICODE_CI")
+    assert rows(found) == [(1, 9), (2, 10), (3, 10)] and rows(everyone, "customer_id", "email") == [(10, "new@x"), (9, "ANA@x.co")]
+    assert rows(resolve_customers(customers, requests)[1], "customer_id") == [(10,), (11,), (12,)]
+    new = spark.createDataFrame([(1, "a", "ANA@x.co", 8, "h"), (2, "b", "B@x", 8, "h"), (3, "c", "b@X", 8, "h")],
+                                "position bigint, username string, email string, password_length int, password_hash string")
+    _, _, rejects = register_users(users, customers, new, collation="UNICODE_CI")
+    assert rows(rejects, "position", "reason") == [(1, "email_taken"), (3, "email_taken")]
+
+
 def test_badges_and_lookup(spark, rows):
     o = order_rows(spark)
     assert rows(orders.with_display_bucket(o), "order_id", "bucket", "method_label")[:2] == [(1, "green", "N/A"), (2, "yellow", "N/A")]
