@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retail_spark.session import materialise
+from retail_spark.session import discard, materialise
 
 # Fixed values of the contract.
 SCALE = 64
@@ -18,17 +19,16 @@ K = 20
 
 #: Bits of a cell: each component is told apart to one of 2**BITS steps between its least and largest value in the block.
 BITS = 5
-#: Vectors in a block of the file, about, queries in a block of queries, and blocks of the file that one task row meets.
-VECTORS, QUERIES, SPAN = 4096, 512, 4
-#: Exact vectors read at once, in the order of their bounds.
+#: Vectors in a block of the file, about, queries in a block of queries, and queries whose bounds are held at once.
+VECTORS, QUERIES, HELD = 16384, 1024, 64
+#: Exact vectors that each query reads first, those of the highest bounds.
 READ = 64
-#: Bounds are exact for whole numbers up to this; blocks with larger ones are read whole.
-EXACT = 2.0**21
+#: What rounding may change in a bound, as a share of the largest products it is made of, for each component.
+ROUNDING = 2.0**-50
 
 FILE = pa.schema(
-    [(n, t) for n, t in (("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("low", pa.binary()), ("step", pa.binary()), ("cells", pa.binary()), ("exact", pa.binary()))]
+    [(n, t) for n, t in (("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("places", pa.binary()), ("low", pa.binary()), ("step", pa.binary()), ("cells", pa.binary()))]
 )
-FOUND = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def whole_numbers(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -50,82 +50,102 @@ def whole_numbers(vectors: DataFrame, id_column: str = "vec_id", vector: str = "
 
 
 def _blocks(rows: pa.Table) -> pa.Table:
-    """The rows of one deal to a block per dimension: ids, per component the least value and the step, the cells, and the exact vectors apart."""
+    """The rows of one deal to a block per dimension: ids, places in the table, per component the least value and the step, and the cells."""
     out = []
-    by_dim: dict[int, tuple[list, list]] = {}
-    for vec_id, v in zip(rows["vec_id"].to_pylist(), rows["v"].to_pylist(), strict=True):
-        ids, vectors = by_dim.setdefault(len(v), ([], []))
-        ids.append(vec_id)
-        vectors.append(v)
-    for dim, (ids, vectors) in by_dim.items():
-        exact = np.array(vectors, np.float64).reshape(len(ids), dim)
-        low = exact.min(axis=0) if dim else np.zeros(0)
-        top = exact.max(axis=0) if dim else np.zeros(0)
-        with np.errstate(all="ignore"):  # cells of blocks with numbers beyond EXACT are not used
-            step = np.floor((top - low) / 2**BITS) + 1
-            cells = np.floor((exact - low) / step).astype(np.uint8)
-        numbers = (np.array(ids, np.int64), low, step, cells, exact)
+    lengths = np.array([len(v) for v in rows["v"].to_pylist()])
+    ids, places = rows["vec_id"].to_numpy(), rows["place"].to_numpy()
+    for dim in np.unique(lengths).tolist():
+        chosen = np.flatnonzero(lengths == dim)
+        exact = rows["v"].take(pa.array(chosen)).combine_chunks().flatten().to_numpy().reshape(len(chosen), dim)
+        low, top = exact.min(axis=0), exact.max(axis=0)
+        with np.errstate(all="ignore"):
+            step = np.maximum(np.floor(top / 2**BITS - low / 2**BITS) + 1, (top / 2**BITS - low / 2**BITS) * (1 + ROUNDING))
+            cells = np.clip(np.floor((exact - low) / step), 0, 2**BITS - 1).astype(np.uint8)
+        numbers = (ids[chosen], places[chosen], low, step, cells)
         out.append((rows["block"][0].as_py(), dim, *(x.tobytes() for x in numbers)))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), FILE, strict=True)], schema=FILE)
 
 
 def bounds(queries: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least and the largest inner product that each cell leaves open with each query."""
-    least = low + cells * step
-    most = least + (step - 1)  # components are whole numbers
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    return up @ least.T + down @ most.T, up @ most.T + down @ least.T
+    """The least and the largest inner product that each cell leaves open with each query, rounding included."""
+    with np.errstate(all="ignore"):
+        least = low + cells * step
+        most = least + step
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        largest = np.maximum(np.abs(low), np.abs(low + 2**BITS * step))
+        off = (np.abs(queries) @ largest)[:, None] * (ROUNDING * (queries.shape[1] + 4))
+        below, above = up @ least.T + down @ most.T - off, up @ most.T + down @ least.T + off
+    # Where products pass the range of doubles nothing is known.
+    return np.where(np.isnan(below), -np.inf, below), np.where(np.isnan(above), np.inf, above)
 
 
-def nearest(query: np.ndarray, own: np.ndarray, least: np.ndarray, most: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int):
-    """The k best of one block for one query as (score, id) rows; ties go to the smaller id.
+def _scan(batches: Iterator[pa.RecordBatch], give) -> Iterator[pa.RecordBatch]:
+    """Meetings of a block of queries with a block of cells, a few queries at a time; ``give`` makes the rows of one query."""
+    for batch in batches:
+        for pair in batch.to_pylist():
+            if pair["dim"] != pair["q_dim"]:
+                continue
+            dim, whole, real = pair["dim"], *(lambda name, t=t: np.frombuffer(pair[name], t) for t in (np.int64, np.float64))  # noqa: B023
+            ids, places, rows, q_ids = (whole(name) for name in ("ids", "places", "q_rows", "q_ids"))
+            cells = np.frombuffer(pair["cells"], np.uint8).reshape(len(ids), dim)
+            queries, floors = real("q_exact").reshape(len(q_ids), dim), real("q_floor")
+            out: list[tuple] = []
+            for start in range(0, len(q_ids), HELD):
+                least, most = bounds(queries[start : start + HELD], real("low"), real("step"), cells)
+                for i in range(len(least)):
+                    q = start + i
+                    out += give(rows[q], np.flatnonzero(ids != q_ids[q]), least[i], most[i], floors[q], places)
+            yield out
 
-    Vectors whose upper bound is under the k-th lower bound are out. The rest are
-    read exactly by falling upper bound, until the next bound is under the k-th score.
-    """
-    others = np.flatnonzero(~own)
-    if len(others) > k:
-        certain = np.partition(least[others], len(others) - k)[len(others) - k]
-        others = others[most[others] >= certain]
-    others = others[np.argsort(-most[others], kind="stable")]
-    scores = np.empty(0)
-    for start in range(0, len(others), READ):
-        if len(scores) >= k and most[others[start]] < np.partition(scores, len(scores) - k)[len(scores) - k]:
-            break
-        scores = np.append(scores, exact[others[start : start + READ]] @ query)
-    read = others[: len(scores)]
-    best = np.lexsort((ids[read], -scores))[:k]
-    return scores[best], ids[read[best]]
-
-
-def _search(k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pair in batch.to_pylist():
-                if pair["dim"] != pair["q_dim"]:
-                    continue
-                dim, real = pair["dim"], lambda name: np.frombuffer(pair[name], np.float64)  # noqa: B023
-                ids = np.frombuffer(pair["ids"], np.int64)
-                cells = np.frombuffer(pair["cells"], np.uint8).reshape(len(ids), dim)
-                exact = real("exact").reshape(len(ids), dim)
-                rows, q_ids = (np.frombuffer(pair[name], np.int64) for name in ("q_rows", "q_ids"))
-                queries = real("q_exact").reshape(len(q_ids), dim)
-                if max(np.abs(exact).max(initial=0), np.abs(queries).max(initial=0)) <= EXACT:
-                    least, most = bounds(queries, real("low"), real("step"), cells)
-                else:
-                    least, most = (np.full((len(q_ids), len(ids)), x) for x in (-np.inf, np.inf))
-                out = [[], [], [], []]
-                for i in range(len(q_ids)):
-                    scores, found = nearest(queries[i], ids == q_ids[i], least[i], most[i], ids, exact, k)
-                    if not (np.abs(scores) < 2.0**63).all():
-                        raise OverflowError(f"a score of query {q_ids[i]} is no bigint")
-                    for column, values in zip(
-                        out, (np.full(len(found), rows[i]), np.full(len(found), q_ids[i]), found, scores.astype(np.int64)), strict=True
-                    ):
-                        column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=FOUND)
-
-    return search
+
+def _lower_bounds(k: int):
+    """(row, bound): for each query the k largest lower bounds of a block."""
+
+    def give(row, others, least, most, floor, places):
+        bound = least[others]
+        if len(bound) > k:
+            bound = np.partition(bound, len(bound) - k)[len(bound) - k :]
+        return [(row, x) for x in bound.tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in _scan(batches, give):
+            rows, bound = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(bound, pa.float64())], names=["row", "bound"])
+
+    return run
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, place, most): the vectors that may be among a query's best."""
+
+    def give(row, others, least, most, floor, places):
+        kept = others[most[others] >= floor]
+        return list(zip([row] * len(kept), places[kept].tolist(), most[kept].tolist(), strict=True))
+
+    for out in _scan(batches, give):
+        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        types = (pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row", "place", "most"])
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact inner products: in doubles where all sums stay under 2**53, in whole numbers of any size elsewhere."""
+    for batch in batches:
+        a, b = batch.column(4), batch.column(5)
+        n = batch.num_rows
+        lengths = pc.list_value_length(a).to_numpy(zero_copy_only=False)
+        scores = np.zeros(n, object)
+        for dim in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == dim)
+            x, y = (c.take(pa.array(at)).flatten().to_numpy().reshape(len(at), dim) for c in (a, b))
+            with np.errstate(over="ignore"):
+                small = (np.abs(x) * np.abs(y)).sum(axis=1) < 2.0**53
+            scores[at[small]] = (x[small] * y[small]).sum(axis=1).astype(np.int64)
+            for i in np.flatnonzero(~small):
+                scores[at[i]] = sum(int(p) * int(q) for p, q in zip(x[i].tolist(), y[i].tolist(), strict=True))
+        if any(not -(2**63) <= s < 2**63 for s in scores):
+            raise OverflowError("a score is no bigint")
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores.tolist(), pa.int64())], names=["row", "query_id", "vec_id", "most", "score"])
 
 
 def _query_block(rows: pa.Table) -> pa.Table:
@@ -142,22 +162,35 @@ def _query_block(rows: pa.Table) -> pa.Table:
                 "q_rows": np.array([m["row"] for m in members], np.int64).tobytes(),
                 "q_ids": np.array([m["vec_id"] for m in members], np.int64).tobytes(),
                 "q_exact": np.array([m["v"] for m in members], np.float64).tobytes(),
+                "q_floor": np.array([m["floor"] for m in members], np.float64).tobytes(),
             }
         )
     schema = pa.schema(
-        [("q_block", pa.int64()), ("q_dim", pa.int32()), ("q_rows", pa.binary()), ("q_ids", pa.binary()), ("q_exact", pa.binary())]
-    )
+        [("q_block", pa.int64()), ("q_dim", pa.int32()), *((n, pa.binary()) for n in ("q_rows", "q_ids", "q_exact", "q_floor"))]
+    )
     return pa.Table.from_pylist(out, schema=schema)
 
 
+def _meet(file: DataFrame, queries: DataFrame, q_blocks: int, blocks: int) -> DataFrame:
+    """Every block of queries beside every block of cells: a grid of equal keys, each meeting a row of its own."""
+    dealt = (
+        queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id", "row"), F.lit(q_blocks)))
+        .groupBy("q_block")
+        .applyInArrow(_query_block, "q_block bigint, q_dim int, q_rows binary, q_ids binary, q_exact binary, q_floor binary")
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    )
+    grid = file.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
+    return grid.join(dealt, ["q_block", "block"])
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "embedding") -> DataFrame:
-    """For each vector whose id is divisible by ``every``: the k others of highest integer inner product, exactly.
+    """For each vector whose id is divisible by ``every``: the k others of highest integer inner product, exactly at every size.
 
-    The file is written in blocks of cells and exact vectors, the queries are
-    dealt by hash into blocks, and each block of queries meets each block of the
-    file in a grid of equal keys, (query block, span of file blocks): a stated query set against all
-    rows. Every meeting leaves at most k rows a query, and a
-    rank limit takes the best of them.
+    Three passes. The first meets blocks of queries with blocks of cells, a stated query set against all rows, and leaves
+    the k largest lower bounds of each query and block; the k-th of all is a floor that k vectors are certain to reach. The
+    second meets them again and leaves the vectors whose upper bound reaches the query's floor. Exact vectors are read in
+    the third only, by their place in the table, for those left: first the READ of highest bounds, whose k-th score is a higher
+    floor, then the others that may still reach it. Cells alone travel in the first two passes.
 
     Of rows with the same vector, however many, only those of the k + 1 smallest ids can be among the best, as a
     query's own id takes one of them at most, and of each id k rows. The rest are left out of the file by rank
@@ -169,33 +202,55 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "emb
     same = Window.partitionBy("v").orderBy("vec_id")
     few = numbers.withColumn("_n", F.row_number().over(repeated)).filter(F.col("_n") <= k)
     distinct = materialise(few.withColumn("_n", F.dense_rank().over(same)).filter(F.col("_n") <= k + 1).drop("_n"), "va_vectors")
+    placed = distinct.withColumn("place", F.monotonically_increasing_id())  # the same on every reading of the written table
     blocks = max(1, -(-distinct.count() // VECTORS))
     stored = (
-        distinct.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
+        placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
         .groupBy("block")
-        .applyInArrow(_blocks, "block bigint, dim int, ids binary, low binary, step binary, cells binary, exact binary")
+        .applyInArrow(_blocks, "block bigint, dim int, ids binary, places binary, low binary, step binary, cells binary")
     )
     file = materialise(stored, "va_file")
     queries = materialise(
         numbers.filter(F.col("vec_id") % every == 0).withColumn("row", F.monotonically_increasing_id()), "va_queries"
     )
     q_blocks = max(1, -(-queries.count() // QUERIES))
-    spans = max(1, -(-blocks // SPAN))
-    dealt = (
-        queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id", "row"), F.lit(q_blocks)))
-        .groupBy("q_block")
-        .applyInArrow(_query_block, "q_block bigint, q_dim int, q_rows binary, q_ids binary, q_exact binary")
-        .withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
+
+    lowest = F.lit(float("-inf"))
+    lower = _meet(file, queries.withColumn("floor", lowest), q_blocks, blocks).mapInArrow(_lower_bounds(k), "row bigint, bound double")
+    highest = Window.partitionBy("row").orderBy(F.desc("bound"))
+    floors = (
+        lower.withColumn("_n", F.row_number().over(highest))
+        .filter(F.col("_n") <= k)
+        .groupBy("row")
+        .agg(F.when(F.count(F.lit(1)) >= k, F.min("bound")).otherwise(lowest).alias("floor"))
     )
-    grid = file.withColumn("span", (F.col("block") % spans).cast("int")).withColumn(
-        "q_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint")))
+    aimed = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", lowest))
+    left = materialise(
+        _meet(file, aimed, q_blocks, blocks).mapInArrow(_candidates, "row bigint, place bigint, most double"), "va_candidates"
     )
-    found = grid.join(dealt, ["q_block", "span"]).mapInArrow(
-        _search(k), "row bigint, query_id bigint, vec_id bigint, score bigint"
+    discard(file)
+
+    def read(chosen: DataFrame) -> DataFrame:
+        return (
+            chosen.join(placed.withColumnRenamed("v", "_v"), "place")
+            .join(queries.select("row", F.col("vec_id").alias("query_id"), "v"), "row")
+            .select("row", "query_id", "vec_id", "most", "v", "_v")
+            .mapInArrow(_scores, "row bigint, query_id bigint, vec_id bigint, most double, score bigint")
+        )
+
+    order = Window.partitionBy("row").orderBy(F.desc("most"), "place")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    first = left.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max(READ, k)).drop("_n")
+    early = materialise(read(first), "va_scores")
+    certain = (
+        early.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") == k).select("row", F.col("score").alias("_floor"))
     )
-    best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
+    last = early.groupBy("row").agg(F.min("most").alias("_last"))  # no vector beyond those read has a higher bound
+    rest = left.join(certain, "row").join(last, "row").filter((F.col("most") >= F.col("_floor")) & (F.col("most") <= F.col("_last")))
+    late = read(rest.join(first.select("row", "place"), ["row", "place"], "left_anti").select("row", "place", "most"))
     return (
-        found.withColumn("rank", F.row_number().over(best))
+        early.unionByName(late)
+        .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
@@ -203,7 +258,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "emb
 
 TOP_K_SQL = """
 with numbers as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::hugeint) as v
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
