@@ -26,6 +26,8 @@ CLASSES = {
     "entropy_hex": ("0123456789abcdef", 3.0),
     "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 3.9),
 }
+#: The letter that stands for a count of 0.
+_NONE = "A"
 SPANS = "array<struct<start:bigint,order:int,end:bigint,kind:string>>"
 KINDS = ("assign", "access", "hex", *CLASSES)
 
@@ -72,75 +74,68 @@ def _gain(count: Column) -> Column:
 
 
 def high_entropy(candidate: Column, alphabet: str, bits: float, cleared: Column) -> Column:
-    """(first, end) of the windows of ``candidate`` whose entropy is at least ``bits`` and that touch no run of ``cleared``; null without one.
+    """(first, end) of the stretches of ``candidate`` that windows of entropy at least ``bits`` cover, in order.
 
-    The window slides by one character. Its entropy is log2 W - (sum of c log2 c)/W;
+    Windows that touch a run of ``cleared`` do not count, so no stretch holds a character of such a run; windows that
+    overlap or touch make one stretch. The window slides by one character. Its entropy is log2 W - (sum of c log2 c)/W;
     the counts c and that sum are carried along, and only the character that
-    enters and the one that leaves change them. So is the place of the first run of ``cleared``, an
+    enters and the one that leaves change them: counts are the letters of a text, one for each character of the alphabet, and two of
+    them are overwritten. So is the place of the first run of ``cleared``, an
     array of (start, end) in order, that ends behind the window's start.
     """
-    n = len(alphabet)
+    stretch = "struct<first:int,end:int>"
     start = F.struct(
-        F.array_repeat(F.lit(0), n).alias("counts"),
+        F.repeat(F.lit(_NONE), len(alphabet)).alias("counts"),
         F.lit(0.0).cast("double").alias("sum"),
         F.lit(None).cast("int").alias("first"),
-        F.lit(None).cast("int").alias("last"),
+        F.lit(None).cast("int").alias("end"),
         F.lit(0).alias("run"),
+        F.array().cast(f"array<{stretch}>").alias("done"),
     )
     least = WINDOW * (math.log2(WINDOW) - bits)  # the sum may be this at most
 
     def slide(places: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
             enters, leaves = F.get(places, i), F.get(places, i - WINDOW)
+            count = lambda place: F.ascii(F.substring(state["counts"], place + 1, F.lit(1))) - F.lit(ord(_NONE))
+            put = lambda counts, place, c: F.overlay(counts, F.char(c + F.lit(ord(_NONE))), place + 1, F.lit(1))
 
             def moved(c_in: Column, c_out: Column) -> Column:
                 same = F.coalesce(enters == leaves, F.lit(False))
-                total = (
-                    F.when(same, state["sum"])
-                    .when(
-                        leaves.isNull(), state["sum"] - _gain(c_in) + _gain(c_in + 1)
-                    )
-                    .otherwise(state["sum"] - _gain(c_in) + _gain(c_in + 1) - _gain(c_out) + _gain(c_out - 1))
-                )
-                counts = F.when(same, state["counts"]).otherwise(
-                    F.transform(
-                        state["counts"],
-                        lambda c, k: c
-                        + F.when(k == enters, 1).otherwise(0)
-                        - F.when(k == leaves, 1).otherwise(0),
-                    )
-                )
+                more = state["sum"] - _gain(c_in) + _gain(c_in + 1)
+                total = F.when(same, state["sum"]).when(leaves.isNull(), more).otherwise(more - _gain(c_out) + _gain(c_out - 1))
+                entered = put(state["counts"], enters, c_in + 1)
+                counts = F.when(same, state["counts"]).when(leaves.isNull(), entered).otherwise(put(entered, leaves, c_out - 1))
                 begin = i - (WINDOW - 1)
                 passed = F.coalesce(F.get(cleared, state["run"])["end"] <= begin, F.lit(False))
                 run = F.when(passed, state["run"] + 1).otherwise(state["run"])  # one at a time: runs are longer than a step
                 touched = F.coalesce(F.get(cleared, run)["start"] <= i, F.lit(False))
                 hit = (i >= WINDOW - 1) & (total <= least + 1e-9) & ~touched
+                apart = hit & F.coalesce(state["end"] < begin, F.lit(False))
+                closed = F.array(F.struct(state["first"].alias("first"), state["end"].alias("end")).cast(stretch))
                 return F.struct(
                     counts.alias("counts"),
                     total.alias("sum"),
-                    F.when(hit & state["first"].isNull(), i - (WINDOW - 1)).otherwise(state["first"]).alias("first"),
-                    F.when(hit, i + 1).otherwise(state["last"]).alias("last"),
+                    F.when(hit & (state["first"].isNull() | apart), begin).otherwise(state["first"]).alias("first"),
+                    F.when(hit, i + 1).otherwise(state["end"]).alias("end"),
                     run.alias("run"),
+                    F.when(apart, F.concat(state["done"], closed)).otherwise(state["done"]).alias("done"),
                 )
 
-            return let(
-                F.get(state["counts"], enters),
-                lambda c_in: let(F.get(state["counts"], F.coalesce(leaves, F.lit(0))), lambda c_out: moved(c_in, c_out)),
-            )
+            return let(count(enters), lambda c_in: let(count(F.coalesce(leaves, F.lit(0))), lambda c_out: moved(c_in, c_out)))
 
-        return F.aggregate(
-            indexes(places),
-            start,
-            step,
-            lambda s: F.when(s["first"].isNotNull(), F.struct(s["first"].alias("first"), s["last"].alias("end"))),
-        )
+        def last(state: Column) -> Column:
+            own = F.array(F.struct(state["first"].alias("first"), state["end"].alias("end")).cast(stretch))
+            return F.when(state["first"].isNull(), state["done"]).otherwise(F.concat(state["done"], own))
+
+        return F.aggregate(indexes(places), start, step, last)
 
-    place = F.map_from_arrays(F.array(*map(F.lit, alphabet)), F.array(*map(F.lit, range(n))))
+    place = F.map_from_arrays(F.array(*map(F.lit, alphabet)), F.array(*map(F.lit, range(len(alphabet)))))
     return let(F.transform(F.split(candidate, "", -1), lambda c: F.element_at(place, c)), slide)
 
 
 def _entropy_spans(text: Column) -> Column:
-    """Spans of the entropy method: one per candidate that mixes letters and digits, is not allowed, and has a window."""
+    """Spans of the entropy method: the stretches of every candidate that mixes letters and digits and is not allowed."""
     runs = lambda m: F.transform(
         find_all(F.lower(m), "|".join(ALLOWED_RUNS), F.length),
         lambda r: F.struct(r["start"].alias("start"), (r["start"] + F.length(r["match"])).alias("end")),
@@ -151,23 +146,19 @@ def _entropy_spans(text: Column) -> Column:
         def spans(kind: str, of_class) -> Column:
             alphabet, bits = CLASSES[kind]
             fold = F.lower if kind == "entropy_hex" else (lambda x: x)
-            return F.filter(
+            return F.flatten(
                 F.transform(
                     F.filter(candidates, lambda m: of_class(m["match"])),
-                    lambda m: let(
+                    lambda m: F.transform(
                         let(runs(m["match"]), lambda cleared: high_entropy(fold(m["match"]), alphabet, bits, cleared)),
-                        lambda w: F.when(
-                            w.isNotNull(),
-                            F.struct(
-                                (m["start"] + w["first"]).alias("start"),
-                                F.lit(KINDS.index(kind)).alias("order"),
-                                (m["start"] + w["end"]).alias("end"),
-                                F.lit(kind).alias("kind"),
-                            ),
+                        lambda w: F.struct(
+                            (m["start"] + w["first"]).alias("start"),
+                            F.lit(KINDS.index(kind)).alias("order"),
+                            (m["start"] + w["end"]).alias("end"),
+                            F.lit(kind).alias("kind"),
                         ),
                     ),
-                ),
-                lambda s: s.isNotNull(),
+                )
             )
 
         return F.concat(

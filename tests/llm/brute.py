@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 
+from retail_spark.llm import secrets
 from retail_spark.llm.quality import BOILERPLATE
 
 
@@ -54,6 +55,31 @@ def secret_base(text):
     return (*count, sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)))
 
 
+def entropy_spans(text):
+    """(kind, start, end) of the stretches that high-entropy windows cover, window by window."""
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text or ""):
+        word = m[0]
+        if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)) or re.search("|".join(secrets.ALLOWED_WORDS), word.lower()):
+            continue
+        kind = "entropy_hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", word) else "entropy_base64"
+        cleared = [r.span() for r in re.finditer("|".join(secrets.ALLOWED_RUNS), word.lower())]
+        spans = []
+        for i in range(len(word) - secrets.WINDOW + 1):
+            window = word[i : i + secrets.WINDOW]
+            shares = [window.count(c) / len(window) for c in set(window)]
+            if -sum(p * math.log2(p) for p in shares) < secrets.CLASSES[kind][1] - 1e-10:
+                continue
+            if any(a < i + len(window) and i < b for a, b in cleared):
+                continue
+            if spans and spans[-1][1] >= i:
+                spans[-1][1] = i + len(window)
+            else:
+                spans.append([i, i + len(window)])
+        out += [(kind, m.start() + a, m.start() + b) for a, b in spans]
+    return out
+
+
 def quality_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
