@@ -20,36 +20,108 @@ MAX_MARKED = 0.3
 MAX_SEPARATORS = 0.15
 #: Lines of so many words and more are looked at for one word said over and over.
 RUN_WORDS = 10
-#: Share of distinct words below which such a line is no prose.
-MIN_DISTINCT = 0.2
+#: Share of distinct words below which such a line is no prose; prose has at least n^GROWTH different ones among n words.
+MIN_DISTINCT, GROWTH = 0.2, 0.73
 #: Characters of a line's words per closing mark at most; longer lines without any end of sentence are lists or code.
 MAX_WITHOUT_STOP = 1500
-
-# Phrases of site furniture. A line of at most BOILERPLATE_WORDS words with one of them is removed.
-BOILERPLATE = (
-    "accept all cookies",
-    "add to cart",
-    "all comments are moderated",
-    "back to top",
-    "click here to",
-    "cookie policy",
-    "enable javascript",
-    "follow us on",
-    "leave a comment",
-    "log in to",
-    "lorem ipsum",
-    "privacy policy",
-    "read more",
-    "share this",
-    "sign up for",
-    "skip to content",
-    "skip to main content",
-    "subscribe to our newsletter",
-    "terms of service",
-    "terms of use",
-    "use of cookies",
-)
+#: Words of a line at most that neither ends with a closing mark nor holds one.
+MAX_OPEN_WORDS = 60
+
+# Phrases of site furniture by language. A line of at most BOILERPLATE_WORDS words with one of them is removed.
+BOILERPLATE = {
+    "en": (
+        "accept all cookies",
+        "add to cart",
+        "all comments are moderated",
+        "back to top",
+        "click here to",
+        "cookie policy",
+        "enable javascript",
+        "follow us on",
+        "leave a comment",
+        "log in to",
+        "lorem ipsum",
+        "privacy policy",
+        "read more",
+        "share this",
+        "sign up for",
+        "skip to content",
+        "skip to main content",
+        "subscribe to our newsletter",
+        "terms of service",
+        "terms of use",
+        "use of cookies",
+    ),
+    "fr": (
+        "accepter les cookies",
+        "accepter tous les cookies",
+        "activer javascript",
+        "ajouter au panier",
+        "aller au contenu",
+        "cliquez ici",
+        "conditions d'utilisation",
+        "conditions générales de vente",
+        "inscrivez-vous à notre newsletter",
+        "laisser un commentaire",
+        "lire la suite",
+        "mentions légales",
+        "partager cet article",
+        "plan du site",
+        "politique de confidentialité",
+        "retour en haut",
+        "se connecter pour",
+        "suivez-nous sur",
+        "utilisation de cookies",
+    ),
+    "de": (
+        "abonnieren sie unseren newsletter",
+        "agb und datenschutz",
+        "alle cookies akzeptieren",
+        "bitte aktivieren sie javascript",
+        "cookies zu",
+        "datenschutzerklärung",
+        "diesen artikel teilen",
+        "folgen sie uns auf",
+        "hier klicken",
+        "in den warenkorb",
+        "kommentar hinterlassen",
+        "mehr erfahren",
+        "melden sie sich an",
+        "nach oben",
+        "nutzungsbedingungen",
+        "verwendung von cookies",
+        "weiterlesen",
+        "zum inhalt springen",
+    ),
+    "es": (
+        "aceptar todas las cookies",
+        "activar javascript",
+        "añadir al carrito",
+        "aviso legal",
+        "compartir este artículo",
+        "deja un comentario",
+        "haz clic aquí",
+        "inicia sesión para",
+        "ir al contenido",
+        "leer más",
+        "mapa del sitio",
+        "política de cookies",
+        "política de privacidad",
+        "saltar al contenido",
+        "seguir leyendo",
+        "suscríbete a nuestro boletín",
+        "síguenos en",
+        "términos y condiciones",
+        "uso de cookies",
+        "volver arriba",
+    ),
+}
 BOILERPLATE_WORDS = 25
+PHRASES = "|".join(phrase for phrases in BOILERPLATE.values() for phrase in phrases)
+#: How the lines of teasers and menus end: on dots that stand for more, or on a mark that points on or parts entries.
+LEADS_ON = rf"(?:\.\.\.|…|[»›>→|·•])[{SPACES}]*$"
+#: Closing marks, with what may stand behind them.
+CLOSING = "[.!?…:;]"
 
 
 def _words(text: Column) -> Column:
@@ -105,19 +177,26 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line is removed. Lines without a word never fail and hold nothing."""
+    """Whether a line is removed. Lines without a word never fail and hold nothing.
+
+    Punctuation: too many words that end in symbols or repeated marks; a long line without a closing mark. Navigation: too
+    many separators; a short line that ends by leading on. Repetition: fewer different words than prose of any
+    length has. Boilerplate: a short line with a phrase of site furniture, in any of the four languages.
+    """
 
     def judged(words: Column) -> Column:
         n = F.size(words)
         marked = _count(line, rf"(?:[#*$%&|<>]|[!?][!?])(?![^{SPACES}])")
         separators = _count(line, rf"(?<![^{SPACES}])[|»›><·•/](?![^{SPACES}])")
-        phrase = F.lower(line).rlike("|".join(BOILERPLATE))
+        phrase = F.lower(line).rlike(PHRASES)
+        distinct = F.size(F.array_distinct(words))
+        short, closed = n <= BOILERPLATE_WORDS, line.rlike(CLOSING)
         return F.when(n == 0, F.lit(False)).otherwise(
             (marked > n * MAX_MARKED)
             | (separators > n * MAX_SEPARATORS)
-            | ((n >= RUN_WORDS) & (F.size(F.array_distinct(words)) < F.least(n, F.lit(400)) * MIN_DISTINCT))
-            | ((n <= BOILERPLATE_WORDS) & phrase)
-            | ((F.length(line) > MAX_WITHOUT_STOP) & ~line.rlike(r"[.!?…:;]"))
+            | ((n >= RUN_WORDS) & (distinct < F.least(n * MIN_DISTINCT, F.pow(n, F.lit(GROWTH)))))
+            | (short & (phrase | line.rlike(LEADS_ON)))
+            | (((F.length(line) > MAX_WITHOUT_STOP) | (n > MAX_OPEN_WORDS)) & ~closed)
         )
 
     return let(_words(line), judged)

@@ -18,7 +18,7 @@ EVERY = 20
 K = 20
 
 #: Bits of a cell: each component is told apart to one of 2**BITS steps between its least and largest value in the block.
-BITS = 5
+BITS = 8
 #: Vectors in a block of the file, about, queries in a block of queries, and queries whose bounds are held at once.
 VECTORS, QUERIES, HELD = 16384, 1024, 64
 #: Exact vectors that each query reads first, those of the highest bounds.

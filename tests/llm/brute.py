@@ -204,13 +204,15 @@ def line_fails(line):
         return False
     marked = sum(bool(re.search(r"(?:[#*$%&|<>]|[!?][!?])$", w)) for w in words)
     bars = sum(w in tuple("|»›><·•/") for w in words)
-    phrase = any(p in line.lower() for p in BOILERPLATE)
+    phrase = any(p in line.lower() for phrases in BOILERPLATE.values() for p in phrases)
+    leads_on = line.rstrip(" \t\n\x0b\x0c\r").endswith(("...", *"…»›>→|·•"))
+    closed = any(c in line for c in ".!?…:;")
     return (
         marked > 0.3 * n
         or bars > 0.15 * n
-        or (n >= 10 and len(set(words)) < 0.2 * min(n, 400))
-        or (n <= 25 and phrase)
-        or (len(line) > 1500 and not re.search(r"[.!?…:;]", line))
+        or (n >= 10 and len(set(words)) < min(0.2 * n, n**0.73))
+        or (n <= 25 and (phrase or leads_on))
+        or ((len(line) > 1500 or n > 60) and not closed)
     )
 
 
