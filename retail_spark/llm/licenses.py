@@ -17,6 +17,8 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 #: Priorities: an identifier or address names one license; a notice grants it; a mention may be talk.
 IDENTIFIER, NOTICE, MENTION = 3, 2, 1
+#: Above all: what it covers is no license of the text. Such detections silence others and are not reported.
+SILENCE = 4
 CONFIDENCE = {IDENTIFIER: 1.0, NOTICE: 0.9, MENTION: 0.6}
 BASE_CONFIDENCE = 0.5
 
@@ -129,14 +131,111 @@ WORDINGS = (
     Rule("proprietary", "rights", "reserved", "copyright(?: c)?(?: [0-9]{4}){1,2}(?: [^ ]+){1,6} all rights reserved", NOTICE),
     Rule("proprietary", "licen", "agreement", "end user license agreement", MENTION),
     Rule("copyright", "copyright", "copyright", "copyright(?: c)? [0-9]{4}", MENTION),
+    # bodies: clause openings and sentences that stand in the licenses themselves
+    Rule("mit", "permission", "sublicense", "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies", NOTICE),
+    Rule("mit", "permission", "substantial", "permission notice shall be included in all copies or substantial portions of the software", NOTICE),
+    Rule("mit", "liab", "dealings", "from out of or in connection with the software or the use or other dealings in the software", MENTION),
+    Rule("x11", "advertising", "promote", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software", NOTICE),
+    Rule("mit-0", "permission", "granted", "permission is hereby granted free of charge to any person obtaining a copy(?: [a-z]+){30,60} and to permit persons to whom the software is furnished to do so the software is provided", NOTICE),
+    Rule("isc", "warrant", "disclaims", "the author disclaims all warranties with regard to this software", NOTICE),
+    Rule("0bsd", "permission", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", NOTICE),
+    Rule("bsd-2-clause", "redistribution", "retain", "redistributions of source code must retain the above copyright notice", NOTICE),
+    Rule("bsd-2-clause", "redistribution", "reproduce", "redistributions in binary form must reproduce the above copyright notice", NOTICE),
+    Rule("bsd-3-clause", "endorse", "contributors", "neither the names? of (?:the )?(?:[^ ]+ ){1,8}nor the names of (?:its|any|the) contributors may be used to endorse", NOTICE),
+    Rule("bsd-4-clause", "acknowledg", "product", "this product includes software developed by(?: [^ ]+){1,8}", MENTION),
+    Rule("bsd", "liab", "consequential", "direct indirect incidental special exemplary or consequential damages", MENTION),
+    Rule("apache-2.0", "licen", "compliance", "you may not use this file except in compliance with the license", NOTICE),
+    Rule("apache-2.0", "licen", "perpetual", "perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", NOTICE),
+    Rule("apache-2.0", "licen", "litigation", "institute patent litigation against any entity", NOTICE),
+    Rule("apache-2.0", "licen", "derivative", "you must cause any modified files to carry prominent notices stating that you changed the files", NOTICE),
+    Rule("apache-2.0", "licen", "governing", "see the license for the specific language governing permissions and limitations under the license", MENTION),
+    Rule("apache-1.1", "acknowledg", "apache", "this product includes software developed by the apache software foundation", NOTICE),
+    Rule("gpl", "licen", "freedom", "the licenses for most software are designed to take away your freedom to share and change it", NOTICE),
+    Rule("gpl", "licen", "copies", "you may copy and distribute verbatim copies of the program s source code", NOTICE),
+    Rule("gpl", "licen", "received", "you should have received a copy of the gnu general public license", NOTICE),
+    Rule("gpl", "warrant", "fitness", "without even the implied warranty of merchantability or fitness for a particular purpose", MENTION),
+    Rule("gpl-2.0", "licen", "distribute", "if you distribute copies of such a program whether gratis or for a fee", NOTICE),
+    Rule("gpl-2.0", "licen", "notice", "this license applies to any program or other work which contains a notice placed by the copyright holder", NOTICE),
+    Rule("gpl-3.0", "licen", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works", NOTICE),
+    Rule("gpl-3.0", "licen", "convey", "to convey a work means any kind of propagation that enables other parties to make or receive copies", NOTICE),
+    Rule("gpl-3.0", "licen", "tivo", "installation information for a user product means any methods procedures authorization keys", NOTICE),
+    Rule("lgpl", "licen", "lesser", "you should have received a copy of the gnu lesser general public license", NOTICE),
+    Rule("lgpl", "library", "linked", "a program that contains no derivative of any portion of the library but is designed to work with the library", NOTICE),
+    Rule("lgpl-2.1", "licen", "lesser", "the first released version of the lesser gpl", NOTICE),
+    Rule("lgpl-3.0", "library", "combined", "a combined work is a work produced by combining or linking an application with the library", NOTICE),
+    Rule("agpl-3.0", "affero", "network", "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network", NOTICE),
+    Rule("agpl-3.0", "affero", "received", "you should have received a copy of the gnu affero general public license", NOTICE),
+    Rule("gfdl", "document", "invariant", "with no invariant sections no front cover texts and no back cover texts", NOTICE),
+    Rule("gfdl", "document", "permission", "permission is granted to copy distribute and or modify this document", NOTICE),
+    Rule("mpl-2.0", "mozilla", "source", "this source code form is subject to the terms of the mozilla public license v 2 0", NOTICE),
+    Rule("mpl-2.0", "covered", "secondary", "this source code form is incompatible with secondary licenses as defined by", NOTICE),
+    Rule("mpl-1.1", "mozilla", "contents", "the contents of this file are subject to the mozilla public license version 1 1", NOTICE),
+    Rule("mpl", "covered", "modifications", "you must cause all covered code to which you contribute to contain a file documenting the changes", NOTICE),
+    Rule("epl", "eclipse", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license", NOTICE),
+    Rule("epl", "agreement", "recipient", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement", NOTICE),
+    Rule("zlib", "warrant", "implied", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", NOTICE),
+    Rule("zlib", "origin", "misrepresented", "the origin of this software must not be misrepresented", NOTICE),
+    Rule("libpng", "origin", "png", "the contributing authors and group 42 inc", NOTICE),
+    Rule("bsl-1.0", "boost", "software", "boost software license version 1 0 august 17th 2003", NOTICE),
+    Rule("artistic-2.0", "artistic", "package", "the copyright holder intends that the package as a whole may be distributed under the terms of the artistic license", NOTICE),
+    Rule("artistic", "package", "standard", "you may make and give away verbatim copies of the source form of the standard version of this package", NOTICE),
+    Rule("ofl-1.1", "font", "reserved", "the font software may be modified altered or added to", NOTICE),
+    Rule("ofl-1.1", "font", "sold", "neither the font software nor any of its individual components in original or modified versions may be sold by itself", NOTICE),
+    Rule("wtfpl", "fuck", "want", "you just do what the fuck you want to", NOTICE),
+    Rule("unlicense", "domain", "dedicate", "the author or authors of this software dedicate any and all copyright interest in the software to the public domain", NOTICE),
+    Rule("unlicense", "anyone", "compile", "anyone is free to copy modify publish use compile sell or distribute this software", NOTICE),
+    Rule("cc0-1.0", "affirm", "waive", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright", NOTICE),
+    Rule("cc-by", "attribution", "credit", "you must give appropriate credit provide a link to the license and indicate if changes were made", NOTICE),
+    Rule("cc-by-sa", "remix", "contributions", "if you remix transform or build upon the material you must distribute your contributions under the same license", NOTICE),
+    Rule("cc-by-nc", "commercial", "material", "you may not use the material for commercial purposes", NOTICE),
+    Rule("cc-by-nd", "remix", "material", "if you remix transform or build upon the material you may not distribute the modified material", NOTICE),
+    Rule("creative-commons", "adapt", "attribution", "by exercising the licensed rights(?: defined below)? you accept and agree to be bound", NOTICE),
+    Rule("odbl-1.0", "database", "derivative", "any derivative database that you publicly use must be only under the terms", NOTICE),
+    Rule("openssl", "openssl", "toolkit", "this product includes software developed by the openssl project", NOTICE),
+    Rule("php-3.01", "php", "freely", "this product includes php software freely available from", NOTICE),
+    Rule("python-2.0", "python", "psf", "this license agreement is between the python software foundation", NOTICE),
+    Rule("ruby", "ruby", "gpl", "you can redistribute it and or modify it under either the terms of the (?:2 clause bsdl|gpl)", NOTICE),
+    Rule("curl", "permission", "curl", "copyright(?: c)? [0-9]{4}(?: [0-9]{4})? daniel stenberg", NOTICE),
+    Rule("beerware", "beer", "stuff", "you can buy me a beer in return", NOTICE),
+    Rule("json", "evil", "good", "the software shall be used for good not evil", NOTICE),
+    Rule("commons-clause", "sell", "commons", "the license does not grant to you the right to sell the software", NOTICE),
+    Rule("sspl-1.0", "service", "program", "if you make the functionality of the program or a modified version available to third parties as a service", NOTICE),
+    Rule("busl-1.1", "production", "licensor", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", NOTICE),
+    Rule("proprietary", "propriet", "trade", "(?:contains|constitutes|is) (?:the )?(?:confidential|proprietary|trade secret) (?:and proprietary )?information", NOTICE),
+    Rule("proprietary", "copying", "unauthori", "unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: (?:or|and) (?:copying|use|reproduction|distribution))? of this (?:file|software|document|material|program)", NOTICE),
+    Rule("proprietary", "reproduc", "transmitted", "no part of this (?:publication|book|document|work|material) may be reproduced", NOTICE),
+    Rule("proprietary", "licen", "revers", "(?:may not|shall not|agree not to) (?:copy modify )?reverse engineer decompile or disassemble", NOTICE),
+    Rule("proprietary", "licen", "installing", "by installing (?:copying )?or (?:otherwise )?using (?:this|the) software you agree to", NOTICE),
+    Rule("proprietary", "propriet", "internal", "for internal use only", MENTION),
+    Rule("public-domain", "domain", "waive", "no copyright is claimed|no rights reserved", NOTICE),
+    Rule("us-government", "government", "united", "work of the united states government|united states government work", NOTICE),
     Rule("warranty-disclaimer", "warrant", "warrant", "without warranties or conditions of any kind", MENTION),
     Rule("warranty-disclaimer", "warrant", "warrant", "provided as is without warranty of any kind", MENTION),
     Rule("warranty-disclaimer", "warrant", "merchantability", "implied warrant(?:y|ies) of merchantability", MENTION),
 )
 
 
+_ANY_LICENSE = "(?:[^ ]+ ){0,8}licen[cs]es?(?: (?:v|version ?)?[0-9]+(?: [0-9]+)?)?"
+# Wordings that speak of a license and grant nothing: root, keyword, pattern.
+SILENCED = tuple(
+    Rule("", root, key, pattern, SILENCE)
+    for root, key, pattern in (
+        ("licen", "not", f"(?:not|never|no longer) (?:be )?(?:licensed|released|distributed|available|published|covered) under (?:the )?(?:terms of (?:the )?)?{_ANY_LICENSE}"),
+        ("licen", "not", f"(?:is|are|was|were) not (?:compatible with |subject to )?(?:the |a |an )?{_ANY_LICENSE}"),
+        ("licen", "compatible", f"incompatible with (?:the )?{_ANY_LICENSE}"),
+        ("licen", "unlike", f"unlike (?:the )?{_ANY_LICENSE}"),
+        ("licen", "instead", f"instead of (?:the )?{_ANY_LICENSE}"),
+        ("licen", "rather", f"rather than (?:the )?{_ANY_LICENSE}"),
+        ("licen", "compar", f"compared (?:to|with) (?:the )?{_ANY_LICENSE}"),
+        ("licen", "histor", f"(?:the )?history of (?:the )?{_ANY_LICENSE}"),
+        ("licen", "plate", "(?:driver s|driving|number|fishing|hunting|marriage|liquor) licen[cs]es?(?: plates?)?"),
+        ("domain", "not", "(?:is|are|was|were) not in the public domain"),
+    )
+)
+
+
 def signatures() -> tuple[Rule, ...]:
-    """All rules in order: for each license its identifier, address, notices and name; then the wordings."""
+    """All rules in order: for each license its identifier, address, notices and name; then the wordings; then what silences."""
     rules = []
     for label, key, name, identifier, address in LICENSES:
         rules += [
@@ -148,7 +247,7 @@ def signatures() -> tuple[Rule, ...]:
         ]
         if " " in identifier:  # one-word identifiers are words of everyday texts
             rules.append(Rule(label, "licen", "licen", f"licen[cs]e (?:is )?{identifier}", NOTICE))
-    return (*rules, *WORDINGS)
+    return (*rules, *WORDINGS, *SILENCED)
 
 
 RULES = signatures()
@@ -173,7 +272,7 @@ def settle(found: Column) -> Column:
 
     In order of start, longest first, a detection is contained if the furthest
     end of those before it, of its priority or higher, reaches its own end. Of
-    equal intervals the first rule of the highest priority stays.
+    equal intervals the first rule of the highest priority stays. Detections that silence are left out at the end.
     """
 
     def ranked(d: Column) -> Column:
@@ -182,17 +281,18 @@ def settle(found: Column) -> Column:
             return prefixes(ends, lambda a, b: F.greatest(a, b), -1)
 
         return let(
-            F.struct(*(reach(p).alias(f"r{p}") for p in (MENTION, NOTICE, IDENTIFIER))),
+            F.struct(*(reach(p).alias(f"r{p}") for p in (MENTION, NOTICE, IDENTIFIER, SILENCE))),
             lambda r: F.transform(
                 F.filter(
                     indexes(d),
-                    lambda i: F.get(
+                    lambda i: (F.get(d, i)["order_priority"] > -SILENCE)
+                    & (F.get(
                         F.when(F.get(d, i)["order_priority"] == -IDENTIFIER, r[f"r{IDENTIFIER}"])
                         .when(F.get(d, i)["order_priority"] == -NOTICE, r[f"r{NOTICE}"])
                         .otherwise(r[f"r{MENTION}"]),
                         i,
                     )
-                    < -F.get(d, i)["order_end"],
+                    < -F.get(d, i)["order_end"]),
                 ),
                 lambda i: F.struct(
                     F.get(d, i)["start"].alias("start"),
