@@ -27,7 +27,7 @@ def drained(rows: DataFrame, label: str, start: Callable[[DataFrame, str, str],
     return spark.read.schema(rows.schema).parquet(f"{base}/table")
 
 
-def feed(rows: DataFrame, moment: str, label: str, files: int = 3) -> DataFrame:
+def feed(rows: DataFrame, moment: str, label: str, files: int = 2) -> DataFrame:
     """``rows`` as a stream of files of equal spans of days, oldest first: several micro-batches, in order of time."""
     spark = rows.sparkSession
     path = new_path(spark, label)
@@ -70,7 +70,7 @@ def _(s: Store):
 
 @query("cart_stream", CART_STATE_SQL)
 def _(s: Store):
-    """Three micro-batches by time."""
+    """Two micro-batches by time."""
     kept = carts.open_carts(s.spark, new_path(s.spark, "carts"), buckets=16)
     rows = feed(s.cart_events(), "ts", "cart_events")
     carts.cart_stream(rows, s.goods, kept, new_path(s.spark, "checkpoint")).awaitTermination()
@@ -104,7 +104,7 @@ def stocked(s: Store) -> TableSet:
 
 
 def checked_out(s: Store) -> TableSet:
-    """The store after a stream of checkout requests, in three micro-batches."""
+    """The store after a stream of checkout requests, in two micro-batches."""
     store = stocked(s)
     items = s.checkout_lines().groupBy("request_id").agg(
         F.collect_list(F.struct("product_id", "quantity", F.lit(None).cast("decimal(18,2)").alias("price"))).alias("cart")
@@ -140,7 +140,7 @@ def _(s: Store):
 
 
 def paid(s: Store) -> TableSet:
-    """The store after a stream of payment attempts and events, in three micro-batches."""
+    """The store after a stream of payment attempts and events, in two micro-batches."""
     store = stocked(s)
     puts, notices = s.payment_puts(), s.payment_notices()
     attempt = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in s.spark.createDataFrame([], schemas.PAYMENT_ATTEMPT).schema])
