@@ -49,6 +49,16 @@ def split_corrupt(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def read_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A parquet table with its schema, empty as long as nothing was written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
+
+
 def parse_requests(lines: DataFrame, column: str, schema: str) -> DataFrame:
     """Read JSON held in a text column, for message sources."""
     return lines.withColumn("_request", F.from_json(column, schema)).select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from retail_spark import schemas
 from retail_spark.operators.checkout import place_orders, split_requests
-from retail_spark.sources.tables import SnapshotTable
+from retail_spark.sources.tables import SnapshotTable, read_if_any
 
 ORDER_SCHEMA = f"request_id BIGINT, {schemas.TABLES['orders']}"
 
@@ -28,11 +28,7 @@ def checkout_batches(
         if products.has_batch(batch_id):
             return
         spark = requests.sparkSession
-        earlier = (
-            spark.read.schema(f"{ORDER_SCHEMA}, batch BIGINT").parquet(f"{folder}/orders").filter(F.col("batch") < batch_id)
-            if products.version() > 1
-            else spark.createDataFrame([], ORDER_SCHEMA)
-        )
+        earlier = read_if_any(spark, f"{folder}/orders", f"{ORDER_SCHEMA}, batch BIGINT").filter(F.col("batch") < batch_id)
         heads, items = split_requests(requests)
         placed = place_orders(heads, items, products.current(), customers.current(), earlier)
         path = f"batch={batch_id}"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from retail_spark.functions import semantics as sem
 from retail_spark.operators.maintenance import valid_contacts, valid_reviews
+from retail_spark.sources.tables import split_corrupt
 
 
 def _whole_number(column: str) -> Column:
@@ -32,6 +35,19 @@ def split_views(requests: DataFrame, products: DataFrame) -> tuple[DataFrame, Da
     return good, marked.filter(F.col("_exists").isNull()).withColumn("reason", reason).select(*requests.columns, "reason")
 
 
+def with_unreadable(
+    split: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """``split`` for requests as ``read_requests`` gives them: lines that are no JSON are refused too, with their text in ``line``."""
+
+    def both(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+        readable, unreadable = split_corrupt(requests)
+        good, bad = split(readable)
+        return good, bad.unionByName(unreadable, allowMissingColumns=True)
+
+    return both
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a parquet table until its source is drained."""
     return (

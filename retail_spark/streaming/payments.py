@@ -14,7 +14,7 @@ from retail_spark.functions.scale import number_rows
 from retail_spark.operators.admission import admit_orders
 from retail_spark.operators.payments import TERMINAL_STATUSES, attempts_in_force, verify_signature, waiting_attempts
 from retail_spark.session import discard, materialise
-from retail_spark.sources.tables import SnapshotTable
+from retail_spark.sources.tables import SnapshotTable, read_if_any
 from retail_spark.sources.tableset import TableSet, TableSpec
 
 ATTEMPT = "order_id BIGINT, user_id BIGINT, total DECIMAL(18,2), attempted_at TIMESTAMP, attempt_id BIGINT"
@@ -140,11 +140,7 @@ def settle_batches(
             return
         spark = matches.sparkSession
         schema = "reference STRING, order_id BIGINT, total DECIMAL(18,2), event_ts TIMESTAMP"
-        done = (
-            spark.read.schema(f"{schema}, batch BIGINT").parquet(orders_path).filter(F.col("batch") < batch_id)
-            if stock.version() > 1
-            else spark.createDataFrame([], schema)
-        )
+        done = read_if_any(spark, orders_path, f"{schema}, batch BIGINT").filter(F.col("batch") < batch_id)
         approved = matches.filter(F.col("outcome") == "approved")
         products = stock.current()
         new = settle_candidates(approved, items(), products, done).select(
