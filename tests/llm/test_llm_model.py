@@ -10,6 +10,7 @@ import pytest
 
 from retail_spark.llm import hpylm
 from retail_spark.llm.hashing import mixed
+from retail_spark.session import materialise
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -112,3 +113,32 @@ def test_numbers_pack_and_rise():
     assert (hpylm.risen(hpylm.rising(x)) == x).all() and len(hpylm.risen(hpylm.rising(x[:0]))) == 0
     cuts = hpylm._cuts(x, 7)
     assert cuts[0] == 0 and cuts[-1] == len(x) and all((int(k) * 7) >> 64 == r for r in range(7) for k in x[cuts[r] : cuts[r + 1]])
+
+
+def test_the_first_sweeps_are_not_averaged():
+    assert hpylm.BURN_IN > 0 and hpylm.SWEEPS - hpylm.BURN_IN >= 4
+
+
+def test_only_rounds_still_needed_are_kept(spark, monkeypatch):
+    kept = []
+
+    def watched(df, label):
+        kept.append((label, materialise(df, label)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(hpylm, "materialise", watched)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scores = hpylm.score_texts(docs, sweeps=5, burn_in=3)
+
+    def left(label):
+        found = []
+        for number, df in enumerate(df for name, df in kept if name == label):
+            try:
+                df.count()
+                found.append(number)
+            except Exception:
+                pass
+        return found
+
+    assert left("lm_asks") == [] and left("lm_words") == [0, 5, 6] and left("lm_seats") == [3, 4]  # of rounds 4 and 5
+    assert all(r.score < 0 for r in scores.collect())
