@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from retail_spark.operators.admission import admit_orders
+from retail_spark.operators.admission import _next_round, admit_orders
 from retail_spark.operators.checkout import apply_stock
 from retail_spark.streaming.payments import settle_candidates
 
@@ -95,3 +95,12 @@ def test_one_approval_per_reference_settles(spark):
         spark.createDataFrame([("r3",)], "reference string"),
     )
     assert {r.sent_at for r in got.collect()} == expected
+
+
+def test_a_refused_order_passes_through_the_rounds_as_one_line(spark):
+    state = spark.createDataFrame(
+        [(1, p, 5, 5, 1, "open") for p in range(4)] + [(2, 0, 1, 1, 1, "open"), (2, 9, 1, 1, 1, "open")],
+        "seq bigint, product_id bigint, need bigint, take bigint, remaining bigint, state string",
+    )
+    got = _next_round(state, None, 100).groupBy("seq", "state").count().collect()
+    assert ((1, "refused", 1) in {tuple(r) for r in got}) and sum(r["count"] for r in got if r.seq == 1) == 1
