@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from retail_spark.operators.payments import match_payments, paid_order_heads, valid_attempts, verify_signature
+from retail_spark.operators.payments import attempts_in_force, match_payments, paid_order_heads, valid_attempts, verify_signature
 from retail_spark.streaming.payments import match_payments_stream, write_matches
 
 SECRET = "s3cret"
@@ -190,3 +190,16 @@ def test_events_of_one_instant_and_events_delivered_twice(spark):
         ("a", 7, "APPROVED", "approved"), ("a", 7, "APPROVED", "not_found"), ("a", 8, "DECLINED", "not_found"),
         ("b", 9, "APPROVED", "approved"), ("b", 9, "DECLINED", "not_found"),
     ]
+
+
+@pytest.mark.parametrize("rows_per_block", [250_000, 10])
+def test_the_log_carries_only_what_is_kept_and_finds_the_same(spark, rows_per_block):
+    attempts, events = random_case(3)
+    attempts.append(attempt(None, 5, 77))
+    events += [event("r1", "PENDING", 7, 500 + n, "x") for n in range(15)] + [(None, *event("r1", "PENDING", 8, 700)[1:])] * 12
+    frames = spark.createDataFrame(attempts, ATTEMPT), spark.createDataFrame(events, EVENT)
+    whole = attempts_in_force(*frames, 30, True).select("event.sent_at", "attempt.order_id")
+    thin = attempts_in_force(*frames, 30, True, rows_per_block, kept=["sent_at"], held=["order_id"])
+    assert thin.schema["event"].dataType.names == ["sent_at"] and thin.schema["attempt"].dataType.names == ["order_id"]
+    got = thin.select("event.sent_at", "attempt.order_id").collect()
+    assert sorted(got, key=repr) == sorted(whole.collect(), key=repr) and len(got) == len(events)
