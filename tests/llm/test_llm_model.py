@@ -142,3 +142,39 @@ def test_only_rounds_still_needed_are_kept(spark, monkeypatch):
 
     assert left("lm_asks") == [] and left("lm_words") == [0, 5, 6] and left("lm_seats") == [3, 4]  # of rounds 4 and 5
     assert all(r.score < 0 for r in scores.collect())
+
+
+def test_rounds_go_on_from_what_was_worked_out_once(monkeypatch):
+    """A round needs no tokens of a block, only its pairs with all customers, whatever the blocks and ranges."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 23}" for k in range(30))) for i in range(60)]
+    monkeypatch.setattr(hpylm, "BLOCK_TOKENS", 400)
+    texts = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    blocks = pa.Table.from_batches(hpylm._blocks(texts.slice(s, 5) for s in range(0, 60, 5)))
+    asks = pa.Table.from_batches(hpylm._pair_asks(3)(iter(blocks.to_batches())))
+    answers = pa.concat_tables([hpylm._count_pairs(asks.filter(pc.equal(asks["range"], r))) for r in range(3)])
+    numbers = blocks["block"].to_pylist()
+    assert len(numbers) > 2
+    states = [hpylm._states(blocks.slice(i, 1), answers.filter(pc.equal(answers["block"], b))) for i, b in enumerate(numbers)]
+    expected = Counter()
+    for i, text in rows:
+        if not hpylm.held_out(i):
+            hashes = [hpylm.START, *next(hpylm.words_of([text])).hashes.tolist(), hpylm.END]
+            expected.update(zip(hashes, hashes[1:]))  # noqa: B905
+    owned = Counter()
+    for state in states:
+        s = hpylm.state_of(state.to_pylist()[0])
+        pairs = list(zip(s.words[s.before].tolist(), s.words[s.after].tolist()))  # noqa: B905
+        assert s.customers.tolist() == [expected[p] for p in pairs]
+        owned.update(pairs[i] for i in s.owned)
+    assert set(owned.values()) == {1} and set(expected) <= set(owned)
+
+    def no_tokens(*_):
+        raise AssertionError("a round opened the tokens of a block")
+
+    monkeypatch.setattr(hpylm, "opened", no_tokens)
+    asked = pa.concat_tables([hpylm._word_asks(3, [], 1)(s, answers.slice(0, 0)) for s in states]).to_pylist()
+    tables = sum(int(hpylm.unpacked(r["numbers"], np.uint64).sum()) for r in asked)
+    assert tables == len(expected)  # one for each pair to begin with
