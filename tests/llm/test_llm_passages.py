@@ -177,3 +177,68 @@ def test_runs_of_fifty_words_and_a_few_more(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = {r.doc_id for r in passages.shared_passages(docs).collect()}
     assert len(found) == 2 * 60
+
+
+def test_an_edited_passage_has_a_source_though_all_its_seeds_stand_in_earlier_documents(spark):
+    """Ten words, one changed, ten words: no sixteen in a row are equal, and the ten stand in smaller documents among other words."""
+    rng, rows = random.Random(31), []
+    word = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    passages_of = []
+    for trial in range(3):
+        pieces = [word(10) for _ in range(6)]
+        rows += [(1000 * trial + i, " ".join(word(30) + pieces[i % 6] + word(30))) for i in range(240)]
+        for i in (250, 251):
+            text = word(i - 180) + [w for p in pieces for w in [*p, *word(1)]] + word(15)
+            rows.append((1000 * trial + i, " ".join(text)))
+        passages_of.append((1000 * trial + 251, 1000 * trial + 250))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {(r.doc_id, r.source_doc_id): (r.start, r.end, r.source_start, r.source_end) for r in passages.shared_passages(docs).collect()}
+    assert found == {p: (71, 136, 70, 135) for p in passages_of}
+
+
+def test_pairs_of_a_seed_do_not_depend_on_batches_or_blocks(monkeypatch):
+    """Rows of equal and other surroundings: those pairs alone that may have a passage, an open text's, however the rows are cut."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    wide = 50 + 2 * passages.DROP
+    kinds = rng.integers(0, 1 << 16, (6, 2 * wide)).astype(np.uint16)
+    rows, wanted = [], set()
+    for seed in range(5):
+        for doc in range(12):
+            kind, is_open = int(rng.integers(0, 6)), bool(rng.integers(0, 2))
+            around = np.array([wide, 7, 9], np.int32).tobytes() + kinds[kind].tobytes()
+            wanted |= {(doc, d) for s, _, d, o, k in rows if s == seed and is_open and k == kind}
+            rows.append((seed, around, doc, is_open, kind))
+    for blocks, size, together in ((1, 1000, 1000), (3, 7, 20), (2, 1, 1)):
+        monkeypatch.setattr(passages, "TOGETHER", together)
+        out = [
+            (s, min(d % blocks, o), max(d % blocks, o), d % blocks, d, is_open, around)
+            for s, around, d, is_open, _ in rows for o in range(blocks)
+        ]
+        out.sort(key=lambda r: r[:3])
+        names = ["seed", "low", "high", "block", "doc", "open", "around"]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out[i : i + size])], names=names) for i in range(0, len(out), size)]  # noqa: B905
+        found = {(r["doc"], r["first_doc"]) for b in passages._meetings(50, 0.8)(iter(batches)) for r in b.to_pylist()}
+        assert found == wanted
+
+
+def test_quick_bounds_are_never_too_low():
+    """The words that two rows have in common, in any order and in the same one, against counting them one by one."""
+    from collections import Counter
+
+    rng = np.random.default_rng(6)
+    for kinds in (3, 20, 1 << 16):
+        a, b = rng.integers(0, kinds, (300, 31)), rng.integers(0, kinds, (300, 46))
+        b[:, 8:30:3] = a[:, 3:25:3]
+        a[::3, 20:], b[::4, 30:] = -1, -2
+        n = np.arange(len(a))
+        marked, ordered = passages._common(passages._marks(a), passages._marks(b), n, n), passages.in_order(a, b)
+        for i in n.tolist():
+            x, y = a[i][a[i] >= 0].tolist(), b[i][b[i] >= 0].tolist()
+            longest = [0] * (len(y) + 1)
+            for w in x:
+                before = 0
+                for j, v in enumerate(y, 1):
+                    before, longest[j] = longest[j], before + 1 if v == w else max(longest[j], longest[j - 1])
+            assert ordered[i] == longest[-1] and marked[i] >= sum((Counter(x) & Counter(y)).values())
