@@ -66,3 +66,14 @@ def test_idf_falls_with_every_document(texts):
     df = np.unique(np.linspace(1, texts, 50).astype(int))
     idf = neardup.idf_of(texts, df)
     assert idf[0] == 1 and (idf > 0).all() and (np.diff(idf) < 0).all()
+
+
+def test_a_large_group_of_near_copies_stays_one(spark):
+    """Forty copies of a text, one word changed in each, among 600 others: what they share weighs as if one text had it."""
+    draw = random.Random(9)
+    words = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    base = words(60)
+    copies = [[*base[:i], "x", *base[i + 1 :]] for i in range(8, 48)]
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate([base, *copies, *(words(20) for _ in range(600))])]
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(found[d] == (1 if d <= 41 else d) for d, _ in rows)
