@@ -67,12 +67,15 @@ def _blocks(rows: pa.Table) -> pa.Table:
 
 
 def bounds(queries: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least and the largest inner product that each cell leaves open with each query, rounding included."""
+    """The least and the largest inner product that each cell leaves open with each query, rounding included.
+
+    Components are whole numbers, so the largest of a cell is the next cell's least one less; one that holds a single number leaves nothing open.
+    """
     with np.errstate(all="ignore"):
         least = low + cells * step
-        most = least + step
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
         largest = np.maximum(np.abs(low), np.abs(low + 2**BITS * step))
+        most = least + np.where((step == np.floor(step)) & (largest < 2.0**53), step - 1, step)
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
         off = (np.abs(queries) @ largest)[:, None] * (ROUNDING * (queries.shape[1] + 4))
         below, above = up @ least.T + down @ most.T - off, up @ most.T + down @ least.T + off
     # Where products pass the range of doubles nothing is known.
@@ -180,7 +183,12 @@ def _meet(file: DataFrame, queries: DataFrame, q_blocks: int, blocks: int) -> Da
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     )
     grid = file.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
-    return grid.join(dealt, ["q_block", "block"])
+    return grid.join(by_merging(dealt), ["q_block", "block"])
+
+
+def by_merging(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts and merges: files of vectors and bounds are many times larger in memory, so Spark would send them to the driver."""
+    return df.hint("merge")
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "embedding") -> DataFrame:
@@ -194,7 +202,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "emb
 
     Of rows with the same vector, however many, only those of the k + 1 smallest ids can be among the best, as a
     query's own id takes one of them at most, and of each id k rows. The rest are left out of the file by rank
-    limits before it is built. All rows with a query's own id are its own. A score that is no bigint is an error, as in SQL. Repeated query rows are answered
+    limits before it is built. No join sends a table to the driver. All rows with a query's own id are its own. A score that is no bigint is an error, as in SQL. Repeated query rows are answered
     each. Vectors of different length do not meet. Ties go to the smaller id.
     """
     numbers = whole_numbers(vectors, vector=vector)
@@ -224,7 +232,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "emb
         .groupBy("row")
         .agg(F.when(F.count(F.lit(1)) >= k, F.min("bound")).otherwise(lowest).alias("floor"))
     )
-    aimed = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", lowest))
+    aimed = queries.join(by_merging(floors), "row", "left").withColumn("floor", F.coalesce("floor", lowest))
     left = materialise(
         _meet(file, aimed, q_blocks, blocks).mapInArrow(_candidates, "row bigint, place bigint, most double"), "va_candidates"
     )
@@ -232,8 +240,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "emb
 
     def read(chosen: DataFrame) -> DataFrame:
         return (
-            chosen.join(placed.withColumnRenamed("v", "_v"), "place")
-            .join(queries.select("row", F.col("vec_id").alias("query_id"), "v"), "row")
+            chosen.join(by_merging(placed.withColumnRenamed("v", "_v")), "place")
+            .join(by_merging(queries.select("row", F.col("vec_id").alias("query_id"), "v")), "row")
             .select("row", "query_id", "vec_id", "most", "v", "_v")
             .mapInArrow(_scores, "row bigint, query_id bigint, vec_id bigint, most double, score bigint")
         )
@@ -246,8 +254,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector: str = "emb
         early.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") == k).select("row", F.col("score").alias("_floor"))
     )
     last = early.groupBy("row").agg(F.min("most").alias("_last"))  # no vector beyond those read has a higher bound
-    rest = left.join(certain, "row").join(last, "row").filter((F.col("most") >= F.col("_floor")) & (F.col("most") <= F.col("_last")))
-    late = read(rest.join(first.select("row", "place"), ["row", "place"], "left_anti").select("row", "place", "most"))
+    rest = left.join(by_merging(certain), "row").join(by_merging(last), "row").filter((F.col("most") >= F.col("_floor")) & (F.col("most") <= F.col("_last")))
+    late = read(rest.join(by_merging(first.select("row", "place")), ["row", "place"], "left_anti").select("row", "place", "most"))
     return (
         early.unionByName(late)
         .withColumn("rank", F.row_number().over(best))

@@ -57,3 +57,21 @@ def test_no_exact_vector_travels_before_candidates_are_known(spark):
     """The blocks of the file hold cells, a byte a component; the tables of bounds hold no vector."""
     names = [f.name for f in vafile.FILE]
     assert "exact" not in names and names[-1] == "cells"
+
+
+def test_no_table_is_sent_to_the_driver(spark, monkeypatch):
+    """Files of whole numbers are small and their rows are not, so no join may go by the size of a file."""
+    plans, write = [], vafile.materialise
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(vafile, "materialise", lambda df, label: plans.append(plan(df)) or write(df, label))
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(200)]
+    plans.append(plan(top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_a_cell_of_one_whole_number_leaves_nothing_open():
+    import numpy as np
+
+    queries, low, step = np.array([[3.0, -2.0]]), np.array([-4.0, 10.0]), np.array([1.0, 3.0])
+    least, most = vafile.bounds(queries, low, step, np.array([[5, 2]], np.uint8))
+    assert np.allclose(least, 3 * 1 - 2 * 18) and np.allclose(most, 3 * 1 - 2 * 16)
